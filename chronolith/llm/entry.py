@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import host_rules, language_id
+from . import chat_format, host_rules, language_id, token_files
 
 
 def queries() -> dict:
     return {
         "op4_host_rules": host_rules.op4_host_rules,
         "op5_language_id": language_id.op5_language_id,
+        "op6_chat_format": chat_format.op6_chat_format,
+        "op10_token_files": token_files.op10_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_host_rules": host_rules.OP4_SQL}
+    return {"op4_host_rules": host_rules.OP4_SQL, "op6_chat_format": chat_format.OP6_SQL}
