@@ -25,6 +25,8 @@ from .textops import Chunk, chunks, mix
 
 PROFILE = 300
 UNKNOWN = "und"
+#: Bytes of text at a time; n-grams take some 60 times their text's space.
+CHUNK_BYTES = 1 << 20
 #: Distinct (language, n-gram) counts that a task gathers before it hands them on.
 FLUSH = 2_000_000
 
@@ -74,7 +76,7 @@ def _count(batches):
         names = batch.column("lang").dictionary_encode()
         codes = np.asarray(names.indices)
         langs = names.dictionary.to_pylist()
-        for c in chunks(batch.column("text")):
+        for c in chunks(batch.column("text"), CHUNK_BYTES):
             doc, h = ngrams(c)
             keys, n = np.unique(codes[c.first + doc].astype(np.uint64) << np.uint64(32) | h, return_counts=True)
             held.append(pd.DataFrame({"lang": np.array(langs, object)[(keys >> np.uint64(32)).astype(int)], "gram": (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), "n": n}))
@@ -156,7 +158,7 @@ def identify(docs: DataFrame, profiles: pd.DataFrame, profile: int = PROFILE, ke
             t = pa.Table.from_batches([batch])
             langs: list[str] = []
             scores = [np.empty(0)]
-            for c in chunks(t["__text"]):
+            for c in chunks(t["__text"], CHUNK_BYTES):
                 pred, score = model.value.predict(c)
                 langs += pred
                 scores.append(score)
