@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, host_rules, language_id, mixing, token_files
+from . import chat_format, host_rules, language_id, mixing, pii, token_files
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op4_host_rules": host_rules.op4_host_rules,
         "op5_language_id": language_id.op5_language_id,
         "op6_chat_format": chat_format.op6_chat_format,
+        "op8_personal_data": pii.op8_personal_data,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_token_files": token_files.op10_token_files,
     }
