@@ -50,6 +50,11 @@ _BLOCK = 256
 SPAN = "struct<start:long,end:long,value:string,before:string,after:string>"
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x evaluated once; written out in a lambda it would be evaluated for each element."""
+    return F.transform(F.array(x), f)[0]
+
+
 def running(lengths: Column) -> Column:
     """Sums of all earlier elements, for each element of an array of longs. Sums run within blocks
     and over block totals, as appending to one array is quadratic in its length."""
@@ -60,20 +65,26 @@ def running(lengths: Column) -> Column:
         step = lambda acc, v: F.struct((acc["sum"] + v).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out"))
         return F.aggregate(x, start, step, lambda acc: acc["out"])
 
-    n = F.size(lengths)
-    firsts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(_BLOCK))).otherwise(F.array().cast("array<int>"))
-    blocks = F.transform(firsts, lambda i: F.slice(lengths, i, _BLOCK))
-    bases = prefix(F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, v: a + v)))
-    return F.flatten(F.zip_with(blocks, bases, lambda b, base: F.transform(prefix(b), lambda v: v + base)))
+    def sums(blocks: Column) -> Column:
+        bases = prefix(F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, v: a + v)))
+        return F.flatten(F.zip_with(blocks, bases, lambda b, base: F.transform(prefix(b), lambda v: v + base)))
+
+    def blocked(x: Column) -> Column:
+        n = F.size(x)
+        firsts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(_BLOCK))).otherwise(F.array().cast("array<int>"))
+        return let(F.transform(firsts, lambda i: F.slice(x, i, _BLOCK)), sums)
+
+    return let(lengths, blocked)
 
 
 def found(text: Column, pattern: str) -> Column:
     """All matches with their code point spans and up to 100 characters around them. Matches and
     the text between them come from the same search, so lengths add up to positions."""
     m = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    cut = F.transform(m, lambda x, i: F.struct(x.alias("value"), F.get(gaps, i).alias("gap"), F.get(gaps, i + 1).alias("next")))
-    ahead = running(F.transform(cut, lambda x: (F.length(x["gap"]) + F.length(x["value"])).cast("long")))
+
+    def spans(cut: Column) -> Column:
+        ahead = running(F.transform(cut, lambda x: (F.length(x["gap"]) + F.length(x["value"])).cast("long")))
+        return F.zip_with(cut, ahead, span)
 
     def span(x: Column, base: Column) -> Column:
         start = base + F.length(x["gap"])
@@ -82,7 +93,13 @@ def found(text: Column, pattern: str) -> Column:
             F.right(x["gap"], F.lit(100)).alias("before"), F.left(x["next"], F.lit(100)).alias("after"),
         )
 
-    return F.zip_with(cut, ahead, span)
+    def zipped(gaps: Column) -> Column:
+        n = F.size(gaps) - 1
+        around = F.zip_with(F.slice(gaps, F.lit(1), n), F.slice(gaps, F.lit(2), n), lambda g, h: F.struct(g.alias("gap"), h.alias("next")))
+        cut = F.zip_with(m, around, lambda x, g: F.struct(x.alias("value"), g["gap"].alias("gap"), g["next"].alias("next")))
+        return let(cut, spans)
+
+    return let(F.split(text, pattern, -1), zipped)
 
 
 def _luhn(digits: Column) -> Column:
@@ -99,7 +116,7 @@ def _valid(kind: str, value: Column) -> Column:
         return value.rlike(rf"^{BYTE}(?:\.{BYTE}){{3}}$")
     digits = F.regexp_replace(value, "[^0-9]", "")
     if kind == "card":
-        return F.length(digits).between(16, 19) & _luhn(digits)
+        return F.when(F.length(digits).between(16, 19), _luhn(digits)).otherwise(False)
     if kind == "phone":
         return F.length(digits).between(8, 15)
     return F.lit(True)
@@ -115,7 +132,7 @@ def base_spans(text: Column, kind: str) -> Column:
 def _trimmed(s: Column) -> Column:
     """A candidate without the punctuation around it."""
     lead = F.length(F.regexp_extract(s["value"], r"^[^\p{L}\p{N}+@]*", 0))
-    value = F.regexp_extract(s["value"], r"^[^\p{L}\p{N}+@]*+(.*[\p{L}\p{N}])", 1)
+    value = F.regexp_extract(s["value"], r"(?s)^[^\p{L}\p{N}+@]*+(.*[\p{L}\p{N}])", 1)
     start = s["start"] + lead
     return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), s["before"].alias("before"), s["after"].alias("after"))
 
@@ -147,9 +164,11 @@ def lexical_patterns(before: Column, after: Column) -> Column:
 
 def edges(spots: DataFrame) -> DataFrame:
     """Distinct (pattern, value, kind); kind is null for a candidate."""
-    seeds = reduce(lambda a, b: F.concat(a, b), [F.transform(F.col(k), lambda s, k=k: F.struct(F.lit(k).alias("kind"), s.alias("s"))) for k in KINDS])
-    rest = F.transform("candidates", lambda s: F.struct(F.lit(None).cast("string").alias("kind"), s.alias("s")))
-    each = spots.select(F.explode(F.concat(seeds, rest)).alias("x")).select("x.kind", "x.s.value", F.explode(lexical_patterns(F.col("x.s.before"), F.col("x.s.after"))).alias("pattern"))
+
+    def of(spans: str, kind: str | None) -> Column:
+        return F.transform(F.col(spans), lambda s: F.struct(F.lit(kind).cast("string").alias("kind"), s.alias("s")))
+
+    each = spots.select(F.explode(F.concat(*(of(k, k) for k in KINDS), of("candidates", None))).alias("x")).select("x.kind", "x.s.value", F.explode(lexical_patterns(F.col("x.s.before"), F.col("x.s.after"))).alias("pattern"))
     return each.distinct()
 
 

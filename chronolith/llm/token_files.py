@@ -4,8 +4,9 @@ Documents are tokenized in ascending id order, an end id is appended to each, an
 into sequences of ``SEQ`` ids. Each range of documents becomes one folder with
 
 * ``tokens.arrow``: an Arrow IPC stream of record batches of ``BATCH`` rows with the columns ``ids``
-  (fixed_size_list<uint32>[SEQ]) and ``mask`` (fixed_size_list<uint8>[SEQ], 1 for an id and 0 for
-  the padding of the last sequence), uncompressed, so that a memory map gives any sequence and its
+  (fixed_size_list<uint16>[SEQ], or uint32 where the vocabulary needs it) and ``mask``
+  (fixed_size_list<bool>[SEQ], bit-packed, true for an id and false for the padding of the last
+  sequence), uncompressed, so that a memory map gives any sequence and its
   mask without a copy: every batch but the last has the same byte length;
 * ``docs.arrow``: doc_id, the first id's place in this file, and the number of ids, per document.
 
@@ -23,6 +24,7 @@ manifest without rows and no documents.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 
@@ -32,6 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import storage
+from .textops import positions
 
 SEQ = 2048
 BATCH = 256
@@ -39,8 +42,8 @@ END_ID = 0
 VOCAB = "byte_bpe_50k.json"
 #: Target bytes of text in a folder.
 RANGE_BYTES = 24 << 20
-#: Words that a worker remembers with their ids; it starts afresh beyond.
-REMEMBERED = 400_000
+#: Words that a worker remembers with their ids (some 200 bytes each). Beyond, it forgets those met once.
+REMEMBERED = 1_000_000
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -67,10 +70,30 @@ class Encoder:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.used = 0
-        self.start: list[np.ndarray] = []
-        self.count: list[np.ndarray] = []
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.start = self.count = self.met = np.empty(0, np.int64)
+
+    def forget(self) -> None:
+        """Keep the parts met more than once."""
+        keep = self.met > 1
+        if keep.sum() > REMEMBERED // 2:
+            return self.clear()
+        names = [k for k, held in zip(self.index, keep, strict=True) if held]
+        start, count = self.start[keep], self.count[keep]
+        flat = self.flat[positions(start, count)]
+        self.clear()
+        self._learn(names, flat, count)
+        return None
+
+    def _learn(self, names: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.index.update(zip(names, range(len(self.index), len(self.index) + len(names)), strict=True))
+        self.start = np.append(self.start, self.used + np.cumsum(counts) - counts)
+        self.count = np.append(self.count, counts)
+        self.met = np.append(self.met, np.zeros(len(names), np.int64))
+        self.used += len(ids)
 
     @staticmethod
     def parts(text: str) -> list[str]:
@@ -86,35 +109,49 @@ class Encoder:
                 out[-1] += " " + x
         return out
 
+    def _ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known parts, one after another, and their number by part."""
+        at = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
+        self.met += np.bincount(at, minlength=len(self.met))
+        return self.flat[positions(self.start[at], self.count[at])], self.count[at]
+
+    def _meet(self, new: list[str]) -> None:
+        """Learn new parts: from their own parts where they can be cut further, which are often known."""
+        cut = [_fine(p) for p in new]
+        atoms = [a for a in dict.fromkeys(a for c in cut for a in c) if a not in self.index]
+        got = [e.ids for e in self.tok.encode_batch_fast(atoms, add_special_tokens=False)]
+        counts = np.fromiter(map(len, got), np.int64, len(got))
+        self._learn(atoms, np.fromiter((i for g in got for i in g), np.uint32, int(counts.sum())), counts)
+        whole = [(p, c) for p, c in zip(new, cut, strict=True) if len(c) > 1]
+        if whole:
+            ids, n = self._ids([a for _, c in whole for a in c])
+            ends = np.cumsum([len(c) for _, c in whole])
+            total = np.append(0, np.cumsum(n))
+            self._learn([p for p, _ in whole], ids, np.diff(total[np.append(0, ends)]))
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and the number of ids of each text."""
         if len(self.index) > REMEMBERED:
-            self.clear()
+            self.forget()
         cut = [self.parts(t) for t in texts]
-        new = list(dict.fromkeys(p for c in cut for p in c if p not in self.index))
+        flat = [p for c in cut for p in c]
+        new = [p for p in dict.fromkeys(flat) if p not in self.index]
         for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
-            got = [e.ids for e in self.tok.encode_batch_fast(some, add_special_tokens=False)]
-            n = np.fromiter(map(len, got), np.int64, len(got))
-            ids = np.fromiter((i for g in got for i in g), np.uint32, int(n.sum()))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start.append(self.used + np.cumsum(n) - n)
-            self.count.append(n)
-            self.used += len(ids)
-            self.index.update(zip(some, range(len(self.index), len(self.index) + len(some)), strict=True))
-        if len(self.start) > 1:
-            self.start, self.count = [np.concatenate(self.start)], [np.concatenate(self.count)]
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        at = np.fromiter((self.index[p] for c in cut for p in c), np.int64, int(sizes.sum()))
-        if not len(at):
-            return np.empty(0, np.uint32), np.zeros(len(cut), np.int64)
-        n = self.count[0][at]
-        total = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.arange(total[-1]) + np.repeat(self.start[0][at] - total[:-1], n)]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        return ids, total[ends[1:]] - total[ends[:-1]]
+            self._meet(new[lo : lo + 20_000])
+        ids, n = self._ids(flat)
+        total = np.append(0, np.cumsum(n))
+        ends = np.append(0, np.cumsum([len(c) for c in cut]))
+        return ids, np.diff(total[ends])
+
+
+#: A word that ends in a stop or comma, or two words and one line feed between them: the
+#: pre-tokenizer always parts a letter or digit from either, and a lone line feed from both sides.
+_FINE = re.compile(r"( ?[^\W_]+)(?:([.,])|([.,]?)(\n)([^\W_]+)([.,]?))")
+
+
+def _fine(part: str) -> list[str]:
+    m = _FINE.fullmatch(part)
+    return [g for g in m.groups() if g] if m else [part]
 
 
 def _opens(part: str) -> bool:
@@ -130,13 +167,14 @@ def encoder(path: str) -> Encoder:
 class _Writer:
     """One folder: full sequences go to the stream as soon as there is a batch of them."""
 
-    def __init__(self, root: str, seq: int, batch: int):
+    def __init__(self, root: str, seq: int, batch: int, vocabulary: int):
         self.fs, base = storage.local_or_remote(root)
         self.base, self.name = base, f"part-{uuid.uuid4().hex}"
         self.tmp = f"{base}/_open-{self.name}"
         self.fs.create_dir(self.tmp, recursive=True)
         self.seq, self.rows = seq, batch
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), seq)), ("mask", pa.list_(pa.uint8(), seq))])
+        self.kind = np.uint16 if vocabulary <= 1 << 16 else np.uint32
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.kind), seq)), ("mask", pa.list_(pa.bool_(), seq))])
         self.sink = self.fs.open_output_stream(f"{self.tmp}/tokens.arrow", compression=None)
         self.out = pa.ipc.new_stream(self.sink, self.schema)
         self.held: list[np.ndarray] = []
@@ -159,9 +197,9 @@ class _Writer:
             self.held, self.waiting = [all_ids[full:]], len(all_ids) - full
 
     def _write(self, ids: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:real] = 1
-        cols = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq) for x in (ids, mask)]
+        mask = np.zeros(len(ids), bool)
+        mask[:real] = True
+        cols = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq) for x in (ids.astype(self.kind), mask)]
         self.out.write_batch(pa.record_batch(cols, schema=self.schema))
 
     def close(self) -> tuple[str, int, int]:
@@ -201,7 +239,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, seq: int = S
                     continue
                 some = b.slice(lo, hi - lo)
                 ids, n = enc.encode(some.column("text").to_pylist())
-                w = w or _Writer(path, seq, batch)
+                w = w or _Writer(path, seq, batch, max(enc.tok.get_vocab_size(), end_id + 1))
                 w.add(some.column("doc_id"), n + 1, np.insert(ids, np.cumsum(n), end_id).astype(np.uint32))
         if w:
             folder, n_docs, n_ids = w.close()
@@ -224,13 +262,13 @@ def open_folder(root: str, folder: str):
 
     def ids():
         for b in pa.ipc.open_stream(source("tokens.arrow")):
-            x, mask = (b.column(k).flatten().to_numpy(zero_copy_only=True) for k in ("ids", "mask"))
-            yield x if mask[-1] else x[mask.astype(bool)]
+            x, mask = b.column("ids").flatten().to_numpy(zero_copy_only=True), b.column("mask").flatten()
+            yield x if mask[-1].as_py() else x[mask.to_numpy(zero_copy_only=False)]
 
     return docs, ids()
 
 
-def sequence(root: str, folder: str, i: int, seq: int = SEQ, batch: int = BATCH) -> tuple[np.ndarray, np.ndarray]:
+def sequence(root: str, folder: str, i: int, seq: int = SEQ, batch: int = BATCH) -> tuple[np.ndarray, pa.BooleanArray]:
     """Ids and mask of the i-th sequence of a folder, found by arithmetic in a mapped local file:
     all batches before the last are equally long, so the i-th one needs no scan."""
     _, base = storage.local_or_remote(root)
@@ -241,7 +279,7 @@ def sequence(root: str, folder: str, i: int, seq: int = SEQ, batch: int = BATCH)
     m.seek(head + i // batch * (m.tell() - head))
     b = pa.ipc.read_record_batch(pa.ipc.read_message(m), schema)
     r = i % batch * seq
-    return tuple(b.column(k).flatten().to_numpy(zero_copy_only=True)[r : r + seq] for k in ("ids", "mask"))
+    return b.column("ids").flatten().to_numpy(zero_copy_only=True)[r : r + seq], b.column("mask").flatten().slice(r, seq)
 
 
 def read_back(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
@@ -260,7 +298,7 @@ def read_back(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
                 crc = np.zeros(len(starts), np.int64)
                 d = at = 0
                 for ids in stream:
-                    raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+                    raw = memoryview(ids.astype("<u4")).cast("B")
                     stop = at + len(ids)
                     while d < len(starts) and starts[d] < stop:
                         lo, hi = max(starts[d], at), min(ends[d], stop)
