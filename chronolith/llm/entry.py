@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, host_rules, language_id, mixing, pii, token_files
+from . import chat_format, decontamination, host_rules, language_id, mixing, pii, token_files
 
 
 def queries() -> dict:
     return {
+        "op2_decontamination": decontamination.op2_decontamination,
         "op4_host_rules": host_rules.op4_host_rules,
         "op5_language_id": language_id.op5_language_id,
         "op6_chat_format": chat_format.op6_chat_format,
