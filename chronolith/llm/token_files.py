@@ -24,17 +24,16 @@ manifest without rows and no documents.
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import storage
-from .textops import positions
+from .textops import Chunk, chunks, positions, span_hash
 
 SEQ = 2048
 BATCH = 256
@@ -42,8 +41,8 @@ END_ID = 0
 VOCAB = "byte_bpe_50k.json"
 #: Target bytes of text in a folder.
 RANGE_BYTES = 24 << 20
-#: Words that a worker remembers with their ids (some 200 bytes each). Beyond, it forgets those met once.
-REMEMBERED = 1_000_000
+#: Pieces of text that a worker remembers with their ids (some 50 bytes each); it starts afresh beyond.
+REMEMBERED = 3_000_000
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -54,12 +53,48 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(VOCAB)
 
 
+def _bytes(*ranges: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for lo, hi in ranges:
+        out[lo : hi + 1] = True
+    return out
+
+
+_ALNUM = _bytes((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A))
+_GRAPHIC = _bytes((0x21, 0x7E))
+_PUNCT = _GRAPHIC & ~_ALNUM & ~_bytes((0x27, 0x27))
+#: Bytes that surely don't begin white space; C2 and E1-E3 begin some of Unicode's.
+_SURE = _GRAPHIC | _bytes((0xC3, 0xE0), (0xE4, 0xF4))
+
+
+def pieces(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of pieces that the pre-tokenizer never joins, and bounds by document.
+
+    Its tokens are letters, digits or other marks with at most one space before them, contractions
+    that begin with an apostrophe, and white space, whose last character is apart where something
+    follows. So a text can be cut before a space that no white space follows, around a single line
+    feed between two other characters, and between a letter or digit and a mark that is no
+    apostrophe; elsewhere it isn't cut."""
+    d, n = c.data, len(c.data)
+    first = np.zeros(n + 1, bool)
+    first[c.offsets] = True
+    after = np.append(d[1:], 0) if n else d
+    before = np.append(np.uint8(0), d[:-1]) if n else d
+    sure_next = _SURE[after] & ~first[1:]
+    inner = ~first[:n]
+    feed = (d == 0x0A) & _GRAPHIC[before] & inner & sure_next
+    cut = (d == 0x20) & sure_next | feed
+    cut[1:] |= feed[:-1]
+    cut |= inner & (_PUNCT[d] & _ALNUM[before] | _ALNUM[d] & _PUNCT[before])
+    starts = np.flatnonzero(cut | first[:n])
+    return starts, np.append(starts[1:], n) if len(starts) else starts, np.searchsorted(starts, c.offsets)
+
+
 class Encoder:
-    """Encodes with the tokenizers library, each distinct word once.
+    """Encodes with the tokenizers library, each distinct piece of text once.
 
-    The pre-tokenizer never joins text across a space that a non-space follows: that space starts
-    the next piece. So a text cut before such spaces has the ids of its parts, one after another,
-    and a part is encoded once. Nothing is cut where white space follows the space."""
+    Known pieces are found by a 64-bit hash: among the ``REMEMBERED`` pieces that are known at a
+    time, the odds that any two share one are under one in a million."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -69,93 +104,54 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.keys = np.empty(0, np.uint64)
+        self.start = self.count = np.empty(0, np.int64)
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.start = self.count = self.met = np.empty(0, np.int64)
-
-    def forget(self) -> None:
-        """Keep the parts met more than once."""
-        keep = self.met > 1
-        if keep.sum() > REMEMBERED // 2:
-            return self.clear()
-        names = [k for k, held in zip(self.index, keep, strict=True) if held]
-        start, count = self.start[keep], self.count[keep]
-        flat = self.flat[positions(start, count)]
-        self.clear()
-        self._learn(names, flat, count)
-        return None
-
-    def _learn(self, names: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.index.update(zip(names, range(len(self.index), len(self.index) + len(names)), strict=True))
-        self.start = np.append(self.start, self.used + np.cumsum(counts) - counts)
-        self.count = np.append(self.count, counts)
-        self.met = np.append(self.met, np.zeros(len(names), np.int64))
-        self.used += len(ids)
-
-    @staticmethod
-    def parts(text: str) -> list[str]:
-        """Parts of a text; all but the first begin with the space they were cut at."""
-        raw = text.split(" ")
-        if all(map(_opens, raw[1:])):
-            return [raw[0], *map(" ".__add__, raw[1:])]
-        out = [raw[0]]
-        for x in raw[1:]:
-            if _opens(x):
-                out.append(" " + x)
-            else:
-                out[-1] += " " + x
-        return out
-
-    def _ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of known parts, one after another, and their number by part."""
-        at = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
-        self.met += np.bincount(at, minlength=len(self.met))
-        return self.flat[positions(self.start[at], self.count[at])], self.count[at]
-
-    def _meet(self, new: list[str]) -> None:
-        """Learn new parts: from their own parts where they can be cut further, which are often known."""
-        cut = [_fine(p) for p in new]
-        atoms = [a for a in dict.fromkeys(a for c in cut for a in c) if a not in self.index]
-        got = [e.ids for e in self.tok.encode_batch_fast(atoms, add_special_tokens=False)]
-        counts = np.fromiter(map(len, got), np.int64, len(got))
-        self._learn(atoms, np.fromiter((i for g in got for i in g), np.uint32, int(counts.sum())), counts)
-        whole = [(p, c) for p, c in zip(new, cut, strict=True) if len(c) > 1]
-        if whole:
-            ids, n = self._ids([a for _, c in whole for a in c])
-            ends = np.cumsum([len(c) for _, c in whole])
-            total = np.append(0, np.cumsum(n))
-            self._learn([p for p, _ in whole], ids, np.diff(total[np.append(0, ends)]))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, one after another, and the number of ids of each text."""
-        if len(self.index) > REMEMBERED:
-            self.forget()
-        cut = [self.parts(t) for t in texts]
-        flat = [p for c in cut for p in c]
-        new = [p for p in dict.fromkeys(flat) if p not in self.index]
-        for lo in range(0, len(new), 20_000):
-            self._meet(new[lo : lo + 20_000])
-        ids, n = self._ids(flat)
-        total = np.append(0, np.cumsum(n))
-        ends = np.append(0, np.cumsum([len(c) for c in cut]))
-        return ids, np.diff(total[ends])
-
-
-#: A word that ends in a stop or comma, or two words and one line feed between them: the
-#: pre-tokenizer always parts a letter or digit from either, and a lone line feed from both sides.
-_FINE = re.compile(r"( ?[^\W_]+)(?:([.,])|([.,]?)(\n)([^\W_]+)([.,]?))")
-
 
-def _fine(part: str) -> list[str]:
-    m = _FINE.fullmatch(part)
-    return [g for g in m.groups() if g] if m else [part]
-
-
-def _opens(part: str) -> bool:
-    return part != "" and not part[0].isspace()
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        """Add pieces by their sorted keys."""
+        counts: list[int] = []
+        ids: list[np.ndarray] = []
+        for lo in range(0, len(texts), 8192):
+            got = [e.ids for e in self.tok.encode_batch_fast(texts[lo : lo + 8192], add_special_tokens=False)]
+            counts += map(len, got)
+            ids.append(np.fromiter(chain.from_iterable(got), np.uint32))
+        new, n = np.concatenate(ids), np.array(counts, np.int64)
+        if self.used + len(new) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (self.used + len(new)))
+        self.flat[self.used : self.used + len(new)] = new
+        at = np.searchsorted(self.keys, keys)
+        self.start = np.insert(self.start, at, self.used + np.cumsum(n) - n)
+        self.count = np.insert(self.count, at, n)
+        self.keys = np.insert(self.keys, at, keys)
+        self.used += len(new)
+
+    def encode(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the chunk's texts, one after another, and the number of ids of each text."""
+        if len(self.keys) > REMEMBERED:
+            self.clear()
+        s, e, bounds = pieces(c)
+        h = span_hash(c.data, s, e)
+        if not len(h):
+            return np.empty(0, np.uint32), np.zeros(c.n, np.int64)
+        order = np.argsort(h)
+        own = h[order]
+        begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        distinct, example = own[begin], order[begin]
+        at = np.searchsorted(self.keys, distinct)
+        new = np.append(self.keys, np.uint64(0))[at] != distinct
+        new |= at == len(self.keys)
+        if new.any():
+            raw = c.data.tobytes()
+            texts = [raw[x:y].decode() for x, y in zip(s[example[new]].tolist(), e[example[new]].tolist(), strict=True)]
+            self._learn(distinct[new], texts)
+            at = np.searchsorted(self.keys, distinct)
+        each = np.empty(len(h), np.int64)
+        each[order] = np.repeat(at, np.diff(np.append(begin, len(h))))
+        n = self.count[each]
+        ids = self.flat[positions(self.start[each], n)]
+        total = np.append(0, np.cumsum(n))
+        return ids, np.diff(total[bounds])
 
 
 def encoder(path: str) -> Encoder:
@@ -232,15 +228,10 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, seq: int = S
         part, w = TaskContext.get().partitionId(), None
         enc = encoder(tokenizer or default_tokenizer())  # the vocabulary is a file of each executor's own
         for b in batches:
-            lens = np.asarray(pc.binary_length(b.column("text"))).astype(np.int64)
-            bounds = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(lens) // (4 << 20))) + 1, [len(lens)]])
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):  # bounded pieces of whole documents
-                if lo == hi:
-                    continue
-                some = b.slice(lo, hi - lo)
-                ids, n = enc.encode(some.column("text").to_pylist())
+            for c in chunks(b.column("text"), 2 << 20):
+                ids, n = enc.encode(c)
                 w = w or _Writer(path, seq, batch, max(enc.tok.get_vocab_size(), end_id + 1))
-                w.add(some.column("doc_id"), n + 1, np.insert(ids, np.cumsum(n), end_id).astype(np.uint32))
+                w.add(b.column("doc_id").slice(c.first, c.n), n + 1, np.insert(ids, np.cumsum(n), end_id))
         if w:
             folder, n_docs, n_ids = w.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "folder": [folder], "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})

@@ -1,9 +1,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings, strategies as st
 
 from chronolith.llm import storage, token_files as T
+from chronolith.llm.textops import chunks
 
 SCHEMA = "doc_id long, text string, n_tokens long, mask string"
 TEXTS = [
@@ -52,9 +55,24 @@ def test_repeated_rows(spark):
     assert [r.start for r in got] == list(np.cumsum([0] + [r.n_tokens for r in got[:-1]]))
 
 
+def one(texts):
+    return next(chunks(pa.array(texts)))
+
+
 def test_forgets(monkeypatch):
     monkeypatch.setattr(T, "REMEMBERED", 2)
     e = T.Encoder(T.default_tokenizer())
     for text in ("one two three", "four five", "one two three"):
-        ids, n = e.encode([text])
+        ids, n = e.encode(one([text]))
         assert list(ids) == e.tok.encode(text).ids and n[0] == len(ids)
+
+
+ENC = T.Encoder(T.default_tokenizer())
+
+
+@given(st.lists(st.text(alphabet=" \n\t.,'!ab1é日\u00a0\u2003\x1c\x85\r_sSt<|", max_size=25), min_size=1, max_size=8))
+@settings(max_examples=400, deadline=None)
+def test_same_ids_as_the_library(texts):
+    ids, n = ENC.encode(one(texts))
+    want = [x.ids for x in ENC.tok.encode_batch(texts, add_special_tokens=False)]
+    assert [list(x) for x in np.split(ids, np.cumsum(n)[:-1])] == want
