@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, host_rules, language_id, mixing, pii, token_files
+from . import chat_format, decontamination, host_rules, language_id, lm_scoring, mixing, pii, token_files
 
 
 def queries() -> dict:
     return {
         "op2_decontamination": decontamination.op2_decontamination,
+        "op3_lm_scoring": lm_scoring.op3_lm_scoring,
         "op4_host_rules": host_rules.op4_host_rules,
         "op5_language_id": language_id.op5_language_id,
         "op6_chat_format": chat_format.op6_chat_format,
