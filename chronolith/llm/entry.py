@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, host_rules, language_id, lm_scoring, mixing, pii, token_files
+from . import chat_format, decontamination, host_rules, language_id, lm_scoring, mixing, pii, quality_classifier, token_files
 
 
 def queries() -> dict:
     return {
+        "op1_quality_classifier": quality_classifier.op1_quality_classifier,
         "op2_decontamination": decontamination.op2_decontamination,
         "op3_lm_scoring": lm_scoring.op3_lm_scoring,
         "op4_host_rules": host_rules.op4_host_rules,
