@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, host_rules, language_id, lm_scoring, mixing, pii, quality_classifier, token_files
+from . import chat_format, decontamination, host_rules, jaccard_join, language_id, lm_scoring, mixing, pii, quality_classifier, token_files
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_host_rules": host_rules.op4_host_rules,
         "op5_language_id": language_id.op5_language_id,
         "op6_chat_format": chat_format.op6_chat_format,
+        "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_personal_data": pii.op8_personal_data,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_token_files": token_files.op10_token_files,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_host_rules": host_rules.OP4_SQL, "op6_chat_format": chat_format.OP6_SQL}
+    return {"op4_host_rules": host_rules.OP4_SQL, "op6_chat_format": chat_format.OP6_SQL, "op7_jaccard_join": jaccard_join.OP7_SQL}

@@ -78,8 +78,8 @@ class Chunk:
         return len(self.offsets) - 1
 
 
-def chunks(col: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Chunks of whole documents; a null is an empty document."""
+def chunks(col: pa.Array, chunk_bytes: int = CHUNK_BYTES, max_docs: int = 1 << 22) -> Iterator[Chunk]:
+    """Chunks of whole documents, at most ``max_docs`` in each; a null is an empty document."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if col.null_count:
@@ -93,7 +93,7 @@ def chunks(col: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Chunk]:
     lo = 0
     while lo < len(col):
         hi = int(np.searchsorted(off, off[lo] + chunk_bytes, "right")) - 1
-        hi = min(max(hi, lo + 1), len(col))
+        hi = min(max(hi, lo + 1), lo + max_docs, len(col))
         yield Chunk(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], lo)
         lo = hi
 
