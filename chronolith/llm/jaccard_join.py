@@ -20,7 +20,7 @@ ceil(3 s / 4) of either. Hence, of the first s - ceil(3 s / 4) + k shingles of e
 
 In a list or pair bucket two sets are candidates if sizes and the places of the shared shingles let
 them reach the overlap. Buckets of up to ``SMALL`` sets give all their candidates. Larger ones, as
-groups of near copies make them, first give each set's candidate with a leader; once the linked ones
+groups of near copies make them, first give each set's candidates with a few leaders; once the linked ones
 are in components, only candidates of different components are looked at. So a group isn't expanded
 into all its pairs, and no link between different components is missed.
 
@@ -43,6 +43,7 @@ from .textops import chunks, mix, owner, positions, shingles, span_hash, words
 K = 5
 SMALL = 16
 SCAN = 4
+LEADERS = 2
 FREQUENT = 1 << 17
 #: Shingles of a task whose counts are held at a time.
 HELD = 4_000_000
@@ -249,7 +250,7 @@ PAIR = "a long, b long, na long, nb long"
 
 
 def first_candidates(shared: DataFrame) -> DataFrame:
-    """All candidates of small buckets; candidates with a leader in large ones."""
+    """All candidates of small buckets; candidates with leaders in large ones."""
 
     def run(batches):
         for key, np_, node in _groups(batches, ["key", "np", "node"]):
@@ -266,12 +267,9 @@ def first_candidates(shared: DataFrame) -> DataFrame:
                 left.append(i)
                 right.append(i + d)
             for f, c in zip(first[count > SMALL].tolist(), count[count > SMALL].tolist(), strict=True):
-                lead = f
-                while lead < f + c:  # a leader stands for those that its size lets it link with
-                    end = f + int(np.searchsorted(n[f : f + c], n[lead] * 100 // 75, "right"))
-                    right.append(np.arange(lead + 1, end))
-                    left.append(np.full(end - lead - 1, lead))
-                    lead = end
+                for i, j in _led(n[f : f + c], place[f : f + c]):
+                    left.append(i + f)
+                    right.append(j + f)
             i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
             ok = possible(n[i], place[i], n[j], place[j])
             yield _pairs(node[i[ok]], node[j[ok]], n[i[ok]], n[j[ok]])
@@ -279,6 +277,21 @@ def first_candidates(shared: DataFrame) -> DataFrame:
     return _by_key(shared.select("key", "node", "np")).mapInArrow(run, PAIR).distinct()
 
 
+def _led(n: np.ndarray, place: np.ndarray):
+    """(leader, led) pairs of a large bucket. The sets with the fewest rare shingles before the shared
+    one lead: a set that can link with any other at all is likeliest to link with those. Each size
+    that the leaders can't link with gets leaders of its own."""
+    order = np.argsort(place, kind="stable")
+    free = np.ones(len(n), bool)
+    while free.any():
+        at = order[free[order]]
+        near = (75 * np.maximum(n[at[0]], n[at]) <= 100 * np.minimum(n[at[0]], n[at]))
+        for lead in at[near][:LEADERS]:
+            rest = at[near][at[near] != lead]
+            yield np.full(len(rest), lead), rest
+        free[at[near]] = False
+
+
 def _by_key(df: DataFrame) -> DataFrame:
     return df.repartition("key").sortWithinPartitions("key", "np", "node")
 
