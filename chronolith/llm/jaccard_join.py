@@ -19,7 +19,9 @@ ceil(3 s / 4) of either. Hence, of the first s - ceil(3 s / 4) + k shingles of e
   written and scanned (``SCAN`` each) for list members.
 
 In a list or pair bucket two sets are candidates if sizes and the places of the shared shingles let
-them reach the overlap. Buckets of up to ``SMALL`` sets give all their candidates. Larger ones, as
+them reach the overlap. Lists also count: sets of which c listed shingles are shared, and at most b
+more in large lists, overlap in c + b plus the rest of the longer one at most, and go if that is too
+little. Buckets of up to ``SMALL`` sets give all their candidates. Larger ones, as
 groups of near copies make them, first give each set's candidates with a few leaders; once the linked ones
 are in components, only candidates of different components are looked at. So a group isn't expanded
 into all its pairs, and no link between different components is missed.
@@ -34,7 +36,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from . import storage
 from .components import connected
@@ -46,10 +48,12 @@ SCAN = 4
 LEADERS = 2
 FREQUENT = 1 << 17
 #: Shingles of a task whose counts are held at a time.
-HELD = 4_000_000
+HELD = 1_500_000
 #: Bits of the filter for sets to verify: 16 for each, up to 32 MB.
 FILTER_BITS = 1 << 28
-_CHUNK = 2 << 20
+_CHUNK = 1 << 20
+#: Marks the place of an entry in a pair bucket.
+_PAIR = 1 << 31
 _M48, _M42 = np.uint64((1 << 48) - 1), np.uint64((1 << 42) - 1)
 
 
@@ -122,7 +126,7 @@ def frequent_shingles(docs: DataFrame, limit: int = FREQUENT) -> tuple[np.ndarra
         held: list[np.ndarray] = []
         for _, _, x in _sets(batches):
             held.append(x.of(fresh(x, x.size > 2))[0] >> np.uint64(6))
-            if sum(map(len, held)) > 1 << 20:
+            if sum(map(len, held)) > 1 << 19:
                 keys, counts = _added(keys, counts, held)
                 if len(keys) > HELD:
                     yield from out()
@@ -200,7 +204,7 @@ def entries(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], light: int
                 ok = length > j
                 for i in range(j):
                     one, two = key[firsts[ok] + i], key[firsts[ok] + j]
-                    yield _entry(mix(mix(one) + two), node[small[ok]], size[small[ok]], np.full(int(ok.sum()), j - 1))
+                    yield _entry(mix(mix(one) + two), node[small[ok]], size[small[ok]], np.full(int(ok.sum()), j - 1 | _PAIR))
 
     return docs.select("text").mapInArrow(run, "key long, node long, np long")
 
@@ -239,14 +243,21 @@ def _groups(batches, columns: list[str]):
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def _pairs(a, b, na, nb) -> pa.RecordBatch:
-    swap = a > b
-    cols = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)
-    rows = np.unique(np.stack(cols, 1), axis=0) if len(a) else np.empty((0, 4), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)], ["a", "b", "na", "nb"])
+PAIR = "a long, b long, na long, nb long, c long, ok long"
 
 
-PAIR = "a long, b long, na long, nb long"
+def _pairs(a, b, na, nb, c, ok) -> pa.RecordBatch:
+    """Pairs with the smaller node first; equal ones summed (c) and united (ok)."""
+    swap = a > b
+    a, b, na, nb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)
+    order = np.lexsort((b, a))
+    first = np.flatnonzero(np.append(True, (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)))[: len(a)]
+    cols = [x[order][first] for x in (a, b, na, nb)]
+    if len(a):
+        cols += [np.add.reduceat(c[order], first), np.maximum.reduceat(ok[order], first)]
+    else:
+        cols += [c, ok]
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], ["a", "b", "na", "nb", "c", "ok"])
 
 
 def first_candidates(shared: DataFrame) -> DataFrame:
@@ -255,7 +266,8 @@ def first_candidates(shared: DataFrame) -> DataFrame:
     def run(batches):
         for key, np_, node in _groups(batches, ["key", "np", "node"]):
             new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
-            key, node, n, place = key[new], node[new], np_[new] >> 32, np_[new] & 0xFFFFFFFF
+            key, node, n, place = key[new], node[new], np_[new] >> 32, np_[new] & _PAIR - 1
+            paired = np_[new] & _PAIR > 0
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
             count = np.diff(np.append(first, len(key)))
             of = np.repeat(count, count)
@@ -271,10 +283,34 @@ def first_candidates(shared: DataFrame) -> DataFrame:
                     left.append(i + f)
                     right.append(j + f)
             i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
+            fit = 75 * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j])
+            i, j = i[fit], j[fit]
             ok = possible(n[i], place[i], n[j], place[j])
-            yield _pairs(node[i[ok]], node[j[ok]], n[i[ok]], n[j[ok]])
+            sure = paired[i] | (of[i] > SMALL)
+            keep = ok | ~sure
+            i, j, ok, sure = i[keep], j[keep], ok[keep], sure[keep]
+            yield _pairs(node[i], node[j], n[i], n[j], (~sure).astype(np.int64), np.where(sure, 2, ok))
+
+    found = _by_key(shared.select("key", "node", "np")).mapInArrow(run, PAIR)
+    return _enough(found.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"), F.max("ok").alias("ok")), shared)
+
+
+def _enough(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    """Pairs that shared entries let reach the overlap: ok 2 stands for places in pair buckets or
+    large lists, ok 1 for places in small lists, whose count c then has to be enough."""
 
-    return _by_key(shared.select("key", "node", "np")).mapInArrow(run, PAIR).distinct()
+    def reach(b: Column) -> Column:
+        rest = F.greatest("na", "nb")
+        return 7 * (F.col("c") + b + F.floor((3 * rest + 3) / 4) - 1) >= 3 * (F.col("na") + F.col("nb"))
+
+    pairs = storage.stage(pairs.where("ok > 0"), "counted-pairs")
+    sure = (F.col("ok") == 2) | reach(F.lit(0))
+    large = shared.where(F.col("rows") > SMALL).groupBy("node").agg(F.count(F.lit(1)).alias("big"))
+    rest = pairs.where(~sure)
+    for side in ("a", "b"):
+        rest = rest.join(large.select(F.col("node").alias(side), F.col("big").alias(f"big_{side}")), side)
+    more = rest.where(reach(F.least("big_a", "big_b")))
+    return pairs.where(sure).select("a", "b").union(more.select("a", "b"))
 
 
 def _led(n: np.ndarray, place: np.ndarray):
@@ -306,7 +342,7 @@ def more_candidates(shared: DataFrame, comps: DataFrame) -> DataFrame:
             cuts = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1
             for _, np_, node, comp in zip(*(np.split(c, cuts) for c in cols), strict=True):
                 new = np.append(True, node[1:] != node[:-1])
-                node, comp, n, place = node[new], comp[new], np_[new] >> 32, np_[new] & 0xFFFFFFFF
+                node, comp, n, place = node[new], comp[new], np_[new] >> 32, np_[new] & _PAIR - 1
                 if len(node) <= SMALL:
                     continue
                 for lo in range(0, len(node), 256):  # blocks of rows; sizes ascend
@@ -316,20 +352,21 @@ def more_candidates(shared: DataFrame, comps: DataFrame) -> DataFrame:
                     ok = (i < j) & (comp[i] != comp[j]) & possible(n[i], place[i], n[j], place[j])
                     x, y = np.nonzero(ok)
                     if len(x):
-                        yield _pairs(node[x + lo], node[y + lo], n[x + lo], n[y + lo])
+                        one = np.ones(len(x), np.int64)
+                        yield _pairs(node[x + lo], node[y + lo], n[x + lo], n[y + lo], one, one)
 
-    return _by_key(big.join(mixed, "key", "left_semi").select("key", "node", "np", "comp")).mapInArrow(run, PAIR).distinct()
+    return _by_key(big.join(mixed, "key", "left_semi").select("key", "node", "np", "comp")).mapInArrow(run, PAIR).select("a", "b").distinct()
 
 
 def _filter(nodes: DataFrame) -> np.ndarray:
-    """A Bloom filter with two hashes of the nodes, or-ed together from tasks' filters by slices."""
+    """A Bloom filter with two hashes of rows (node, doc_id), or-ed together from tasks' filters by slices."""
     bits = 1 << int(np.clip(np.ceil(np.log2(16 * max(1, nodes.count()))), 16, np.log2(FILTER_BITS)))
     slices = max(1, bits >> 20)
 
     def own(batches):
         out = np.zeros(bits, bool)
         for batch in batches:
-            for x in _probes(np.asarray(batch.column("node")), bits):
+            for x in _probes(np.asarray(batch.column("node")), np.asarray(batch.column("doc_id")), bits):
                 out[x] = True
         for k, part in enumerate(np.split(out, slices)):
             if part.any():
@@ -345,27 +382,35 @@ def _filter(nodes: DataFrame) -> np.ndarray:
 
     schema = "slice long, bits binary"
     out = np.zeros((slices, bits // slices // 8), np.uint8)
-    for r in nodes.select("node").mapInArrow(own, schema).repartition(slices, "slice").mapInArrow(merged, schema).collect():
+    for r in nodes.mapInArrow(own, schema).repartition(slices, "slice").mapInArrow(merged, schema).collect():
         out[r["slice"]] |= np.frombuffer(r.bits, np.uint8)
     return out.reshape(-1)
 
 
-def _probes(node: np.ndarray, bits: int) -> list[np.ndarray]:
-    h = node.view(np.uint64)
+def _probes(node: np.ndarray, doc_id: np.ndarray, bits: int) -> list[np.ndarray]:
+    h = mix(node.view(np.uint64) + mix(doc_id.view(np.uint64)))
     return [(x & np.uint64(bits - 1)).astype(np.int64) for x in (h, mix(h))]
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that link, by their exact overlap."""
+def _key(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc_id")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that link, by their exact overlap. Each class's set comes from the row
+    of its least doc_id; a filter of those ids keeps the other documents' sets from being written."""
     spark = docs.sparkSession
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sent = spark.sparkContext.broadcast(_filter(nodes))
+    reps = classes.join(nodes.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    reps = storage.stage(reps.select("node", _key(F.col("doc_id"))), "representatives")
+    sent = spark.sparkContext.broadcast(_filter(reps))
 
     def sets(batches):
         fresh, bits = _Fresh(), sent.value
-        for _, _, x in _sets(batches):
+        for batch, c, x in _sets(batches):
+            ids = np.asarray(batch.column("doc_id").slice(c.first, c.n))
             ok = x.size > 0
-            for p in _probes(x.node, 8 * len(bits)):
+            for p in _probes(x.node, ids, 8 * len(bits)):
                 ok &= (bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)
             own = fresh(x, ok)
             t, b = x.of(own)
@@ -384,10 +429,11 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             ok = pa.array(out, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
-    held = docs.select("text").mapInArrow(sets, "node long, toks binary").dropDuplicates(["node"])
-    held = storage.stage(held, "shingle-sets")
-    one = pairs.select("a", "b").join(held.select(F.col("node").alias("b"), F.col("toks").alias("tb")), "b")
-    both = one.join(held.select(F.col("node").alias("a"), F.col("toks").alias("ta")), "a")
+    held = storage.stage(docs.select(_key(F.col("doc_id")), "text").mapInArrow(sets, "node long, toks binary"), "shingle-sets")
+    if held.count() > 1.2 * reps.count():  # rows with one doc_id and text, again and again
+        held = storage.stage(held.dropDuplicates(["node"]), "shingle-sets")
+    one = pairs.select("a", "b").hint("merge").join(held.select(F.col("node").alias("b"), F.col("toks").alias("tb")), "b")
+    both = one.hint("merge").join(held.select(F.col("node").alias("a"), F.col("toks").alias("ta")), "a")
     links = storage.stage(both.mapInArrow(overlap, "a long, b long"), "links")
     storage.drop(held)
     return links
@@ -407,12 +453,12 @@ def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame) -> Da
     index = entries(docs, frequent_shingles(docs), light)
     shared = storage.stage(shared_entries(index), "shared-entries")
     first = storage.stage(first_candidates(shared), "candidates")
-    links = verified(docs, first)
+    links = verified(docs, first, classes)
     comps = storage.stage(connected(links), "components")
     if not shared.where(F.col("rows") > SMALL).isEmpty():
         more = storage.stage(more_candidates(shared, comps).join(first, ["a", "b"], "left_anti"), "candidates")
         if not more.isEmpty():
-            again = verified(docs, more)
+            again = verified(docs, more, classes)
             comps = storage.stage(connected(links.union(again)), "components")
     storage.drop(shared)
     return comps

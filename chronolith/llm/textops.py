@@ -38,7 +38,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, n of each."""
     if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, CHUNK_BYTES + 1)
+        n = 1 << (n - 1).bit_length()
         inv = pow(_BASE, -1, 1 << 64)
         _POWERS[:] = [_geometric(_BASE, n), _geometric(inv, n)]
     return _POWERS[0], _POWERS[1]
