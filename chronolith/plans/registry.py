@@ -2,14 +2,36 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "asof_join_strict"
-_QUERIES: dict = {}
+from collections.abc import Callable
+
+FLAGSHIP = "asof_prev_view"
+_QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
 
-def queries() -> dict:
+def query(name: str, sql: str | None = None):
+    """Register ``f(spark, sf_dir)`` under a name; ``sql`` is its equivalent for the driver's oracle."""
+
+    def add(f: Callable) -> Callable:
+        if name in _QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from . import aggregates, folds, joins, scalars, sets, streams, validation, windows  # noqa: F401
+
+
+def queries() -> dict[str, Callable]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
