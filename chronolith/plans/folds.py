@@ -1 +1,80 @@
-"""To come."""
+"""Ordered folds over independent universes. Nine have no SQL of reasonable cost; tests compare
+them with a plain sequential loop."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.scalars import week_index
+from ..operators import folds as R
+from ..sources.io import table
+from .registry import query
+
+
+def games(spark, sf):
+    """Games between suppliers in universes of 20: each line against its order's first supplier."""
+    li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("date").alias("date"))
+    g = li.groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"), F.max("l_discount").alias("d"), F.max("l_tax").alias("t"), F.min("l_returnflag").alias("flag"))
+    first = g.groupBy("l_orderkey").agg(F.min(F.struct("l_suppkey", "q")).alias("f"))
+    j = g.join(first, "l_orderkey").where("l_suppkey <> f.l_suppkey").join(o, "l_orderkey")
+    return j.select(
+        (F.col("l_orderkey") % 20).cast("int").alias("universe"), F.col("l_orderkey").alias("game"), F.col("f.l_suppkey").alias("a"), F.col("l_suppkey").alias("b"),
+        (F.col("f.q") >= F.col("q")).cast("int").alias("y"), (F.col("f.q") - F.col("q")).alias("margin"), F.datediff("date", F.lit("1990-01-01")).alias("day"), week_index(F.col("date")).alias("week"),
+        F.when(F.col("flag") != "R", F.col("flag")).alias("surface"), ((F.col("l_orderkey") % 79 + 10) / 99.0).alias("p"), (1.3 + 20 * F.col("d")).alias("q1"), (1.3 + 20 * F.col("t")).alias("q2"),
+    )
+
+
+ORDER, KEEP = ["day", "game", "b"], ["game", "b"]
+PAIR = "rating_a double, rating_b double, expected double"
+
+
+def _pairwise(spark, sf, step, out=PAIR, inputs=("a", "b", "y")):
+    return R.fold(games(spark, sf), ["universe"], ORDER, list(inputs), step, out, keep=["game", "b"])
+
+
+@query("elo_online")
+def elo_online(spark, sf):
+    return _pairwise(spark, sf, R.elo_step())
+
+
+@query("elo_mov")
+def elo_mov(spark, sf):
+    return _pairwise(spark, sf, R.elo_margin_step(), inputs=("a", "b", "y", "margin"))
+
+
+@query("elo_block")
+def elo_block(spark, sf):
+    g = games(spark, sf).withColumn("opponent", F.col("b"))
+    return R.elo_block(g, ["universe"], "day", ["game", "opponent"], "a", "b", "y", "surface", ["game", "opponent"])
+
+
+@query("glicko2")
+def glicko2(spark, sf):
+    g = games(spark, sf).withColumn("opponent", F.col("b"))
+    return R.glicko2(g, ["universe"], "week", ["day", "game", "opponent"], "a", "b", "y", ["game", "opponent"])
+
+
+@query("trueskill")
+def trueskill(spark, sf):
+    return _pairwise(spark, sf, R.trueskill_step())
+
+
+@query("bayes_bt")
+def bayes_bt(spark, sf):
+    return _pairwise(spark, sf, R.bradley_terry_step(), PAIR + ", available long", ("a", "b", "y", "day"))
+
+
+@query("kalman")
+def kalman(spark, sf):
+    return _pairwise(spark, sf, R.kalman_step(), inputs=("a", "b", "y", "day"))
+
+
+@query("page_hinkley")
+def page_hinkley(spark, sf):
+    g = games(spark, sf).withColumn("x", F.abs("margin") / 50)
+    return R.fold(g, ["universe"], ORDER, ["x"], R.page_hinkley_step(), "mean double, gap double, alarm long", keep=KEEP)
+
+
+@query("bankroll")
+def bankroll(spark, sf):
+    return R.fold(games(spark, sf), ["universe"], ORDER, ["p", "q1", "q2", "y"], R.bankroll_step(), "stake double, bank double, drawdown double", keep=KEEP)
