@@ -66,7 +66,7 @@ def wide_to_long(spark, sf):
 
 @query(
     "explode_providers",
-    """SELECT event_id, p.name AS provider, p.odds AS odds FROM (SELECT event_id, unnest(CASE WHEN event_id % 4 = 0 THEN [{'name': 'average', 'odds': 2.0}] ELSE [{'name': 'x', 'odds': 1.5 + event_id % 3}, {'name': 'y', 'odds': 1.6 + event_id % 2}] END) AS p FROM events)""",
+    """SELECT event_id, p.name AS provider, CAST(p.odds AS DOUBLE) AS odds FROM (SELECT event_id, unnest(CASE WHEN event_id % 4 = 0 THEN [{'name': 'average', 'odds': 2.0}] ELSE [{'name': 'x', 'odds': 1.5 + event_id % 3}, {'name': 'y', 'odds': 1.6 + event_id % 2}] END) AS p FROM events)""",
 )
 def explode_providers(spark, sf):
     item = lambda k, v: F.struct(F.lit(k).alias("name"), v.cast("double").alias("odds"))
@@ -148,7 +148,7 @@ def rating_functions(spark, sf):
 
 @query(
     "money_parser",
-    """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN (c_custkey % 90 + 1) * 1000.0 WHEN 1 THEN (c_custkey % 90 + 1) * 1000.0 WHEN 2 THEN (c_custkey % 9 + 1) * 1000000.0 END AS amount FROM customer""",
+    """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN (c_custkey % 90 + 1) * 1000.0 WHEN 1 THEN (c_custkey % 90 + 1) * 1000.0 WHEN 2 THEN (c_custkey % 9 + 1) * 1000000.0 END::DOUBLE AS amount FROM customer""",
 )
 def money_parser(spark, sf):
     n = F.col("c_custkey")
@@ -183,13 +183,13 @@ def best_of_three(spark, sf):
 
 @query(
     "flag_rules",
-    """SELECT o_orderkey, CAST(o_totalprice > 300000 AS INT) + CAST(o_orderpriority = '1-URGENT' AS INT) + CAST(o_orderstatus = 'O' AS INT) AS n_flags, CAST(greatest(0.05, least(1.0, (CASE WHEN o_totalprice > 300000 THEN 0.8 ELSE 1.0 END) * (CASE WHEN o_orderpriority = '1-URGENT' THEN 0.9 ELSE 1.0 END))) AS DOUBLE) AS reliability FROM orders""",
+    """SELECT o_orderkey, CAST(o_totalprice > 300000 AS INT) + CAST(o_orderpriority = '1-URGENT' AS INT) + CAST(o_orderstatus = 'O' AS INT) AS n_flags, CAST(round(greatest(0.05, least(1.0, (CASE WHEN o_totalprice > 300000 THEN 0.8 ELSE 1.0 END) * (CASE WHEN o_orderpriority = '1-URGENT' THEN 0.9 ELSE 1.0 END))), 6) AS DOUBLE) AS reliability FROM orders""",
 )
 def flag_rules(spark, sf):
     big, urgent = F.col("o_totalprice") > 300000, F.col("o_orderpriority") == "1-URGENT"
     flags = reasons(("big", big), ("urgent", urgent), ("open", F.col("o_orderstatus") == "O"))
     score = F.greatest(F.lit(0.05), F.least(F.lit(1.0), F.when(big, 0.8).otherwise(1.0) * F.when(urgent, 0.9).otherwise(1.0)))
-    return table(spark, sf, "orders").select("o_orderkey", F.size(flags).alias("n_flags"), score.alias("reliability"))
+    return table(spark, sf, "orders").select("o_orderkey", F.size(flags).alias("n_flags"), F.round(score, 6).alias("reliability"))
 
 
 @query("page_titles", """SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<li>')) AS INT) AS links FROM pages""")
