@@ -46,7 +46,7 @@ K = 5
 SMALL = 16
 SCAN = 4
 LEADERS = 2
-FREQUENT = 1 << 17
+FREQUENT = 1 << 18
 #: Shingles of a task whose counts are held at a time.
 HELD = 1_500_000
 #: Bits of the filter for sets to verify: 16 for each, up to 32 MB.
@@ -120,7 +120,7 @@ def frequent_shingles(docs: DataFrame, limit: int = FREQUENT) -> tuple[np.ndarra
         fresh, keys, counts = _Fresh(), np.empty(0, np.uint64), np.empty(0, np.int64)
 
         def out():
-            often = counts >= 3
+            often = counts >= 2
             yield from pa.table({"tok": keys[often].view(np.int64), "n": counts[often]}).to_batches(max_chunksize=1 << 16)
 
         held: list[np.ndarray] = []
@@ -135,7 +135,7 @@ def frequent_shingles(docs: DataFrame, limit: int = FREQUENT) -> tuple[np.ndarra
         yield from out()
 
     each = docs.select("text").mapInArrow(run, "tok long, n long")
-    top = each.groupBy("tok").agg(F.sum("n").alias("n")).where("n >= 8").orderBy(F.desc("n"), "tok").limit(limit)
+    top = each.groupBy("tok").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "tok").limit(limit)
     rows = top.toPandas()
     tok = rows["tok"].to_numpy(np.int64).view(np.uint64)
     level = np.minimum(63, 1 + np.log2(rows["n"].to_numpy(float).clip(1)).astype(np.int64) * 2)
