@@ -132,7 +132,7 @@ def binary_metrics(spark, sf):
 @query(
     "auc_rank",
     f"""WITH x AS (SELECT *, floor(p * 20) AS b FROM ({PRED}) WHERE p IS NOT NULL), r AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY b) + (count(*) OVER (PARTITION BY lang, b) - 1) / 2.0 AS ar FROM x)
-SELECT lang, CAST(sum(y) AS BIGINT) AS n_pos, CAST(sum(1 - y) AS BIGINT) AS n_neg, round((sum(CASE WHEN y = 1 THEN ar END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)), 6) AS auc FROM r GROUP BY 1""",
+SELECT lang, CAST(sum(y) AS BIGINT) AS n_pos, CAST(sum(1 - y) AS BIGINT) AS n_neg, round((sum(CASE WHEN y = 1 THEN ar END) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y) * sum(1 - y), 0), 6) AS auc FROM r GROUP BY 1""",
 )
 def auc_rank(spark, sf):
     return M.auc(predictions(spark, sf).withColumn("b", F.floor(F.col("p") * 20)), ["lang"], p="b")
