@@ -26,9 +26,9 @@ from .textops import Chunk, chunks, mix
 PROFILE = 300
 UNKNOWN = "und"
 #: Bytes of text at a time; n-grams take some 60 times their text's space.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Distinct (language, n-gram) counts that a task gathers before it hands them on.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 
 @cache
@@ -49,7 +49,7 @@ def ngrams(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     lead = np.concatenate([[0], np.cumsum((c.data & 0xC0) != 0x80, dtype=np.int64)])
     bounds = lead[c.offsets]
     x = np.insert(_letters()[cps], bounds, 0).astype(np.uint64)  # a bound before each document and at the end
-    doc = np.repeat(np.arange(c.n + 1), np.append(np.diff(bounds) + 1, 1))
+    doc = np.repeat(np.arange(c.n + 1, dtype=np.int32), np.append(np.diff(bounds) + 1, 1))
     keep = np.append(True, (x[1:] != 0) | (x[:-1] != 0))
     x, doc = x[keep], doc[keep]
     one = x != 0
@@ -67,25 +67,29 @@ def ngrams(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches):
     """Counts of the n-grams of each language in a task."""
-    held: list[pd.DataFrame] = []
+    langs: dict[str, int] = {}
+    keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
 
-    def merged() -> pd.DataFrame:
-        return pd.concat(held).groupby(["lang", "gram"], as_index=False, sort=False)["n"].sum()
+    def out():
+        names = np.array(list(langs), object)
+        t = pa.table({"lang": pa.array(names[(keys >> np.uint64(32)).astype(int)], pa.string()), "gram": (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), "n": counts})
+        return t.to_batches(max_chunksize=1 << 16)
 
     for batch in batches:
         names = batch.column("lang").dictionary_encode()
-        codes = np.asarray(names.indices)
-        langs = names.dictionary.to_pylist()
+        own = np.array([langs.setdefault(x, len(langs)) for x in names.dictionary.to_pylist()], np.uint64)
+        codes = own[np.asarray(names.indices)]
         for c in chunks(batch.column("text"), CHUNK_BYTES):
             doc, h = ngrams(c)
-            keys, n = np.unique(codes[c.first + doc].astype(np.uint64) << np.uint64(32) | h, return_counts=True)
-            held.append(pd.DataFrame({"lang": np.array(langs, object)[(keys >> np.uint64(32)).astype(int)], "gram": (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), "n": n}))
-            if len(held) >= 8:
-                held = [merged()]
-                if len(held[0]) > FLUSH:
-                    yield pa.RecordBatch.from_pandas(held.pop(), preserve_index=False)
-    if held:
-        yield pa.RecordBatch.from_pandas(merged(), preserve_index=False)
+            k, n = np.unique(codes[c.first + doc] << np.uint64(32) | h, return_counts=True)
+            every, at = np.unique(np.concatenate([keys, k]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, n]), len(every)).astype(np.int64)
+            keys = every
+            if len(keys) > FLUSH:
+                yield from out()
+                keys, counts = keys[:0], counts[:0]
+    if len(keys):
+        yield from out()
 
 
 def train(docs: DataFrame, profile: int = PROFILE) -> pd.DataFrame:

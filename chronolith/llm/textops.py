@@ -10,13 +10,27 @@ run of such code points, as UTF-8 continuation bytes lie above both ranges.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+
+
+def _return_freed_memory() -> None:
+    """Workers are reused, and what an allocator keeps counts against the executor: let arrays of a
+    megabyte or more come from the system and go back to it as soon as they are freed."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt:
+        mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
+
+
+_return_freed_memory()
 
 WS = np.zeros(256, bool)
 WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
