@@ -486,7 +486,8 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     kept = jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__d")).distinct()
     kept = storage.stage(kept, "kept-documents")
     # a doc_id can be on rows of several texts; the first by text and the rest of the row stays
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
+    # the kept ids grow with the corpus: the join shuffles, at any size
+    out = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
     many = storage.stage(out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__d")), "repeated-ids")
     if many.isEmpty():
         return out.select(*cols)
