@@ -258,5 +258,5 @@ def op2_decontamination(spark, sf_dir: str) -> DataFrame:
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     found = contamination(docs, storage.read(spark, sf_dir, "benchmark"), keep=("doc_id",))
-    held = storage.stage(found.select("doc_id").distinct(), "contaminated")
-    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+    held = storage.stage(found.select(F.col("doc_id").alias("__d")).distinct(), "contaminated")
+    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("__d")), "left_anti").select(*docs.columns)

@@ -150,8 +150,8 @@ def top(c: Chunk, profile: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return d[keep], keys[order] & np.uint64(0xFFFFFFFF), rank[keep]
 
 
-def identify(docs: DataFrame, profiles: pd.DataFrame, profile: int = PROFILE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` with ``lang_pred`` and ``score`` for every row. The profiles are the only
+def identify(docs: DataFrame, profiles: pd.DataFrame, profile: int = PROFILE, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns ``keep`` with a language and a score, called ``names``, for every row. The profiles are the only
     thing sent to the executors: ``profile`` rows for each language."""
     model = docs.sparkSession.sparkContext.broadcast(Model(profiles, profile))
     narrow = docs.select(*keep, F.col("text").alias("__text"))
@@ -166,10 +166,10 @@ def identify(docs: DataFrame, profiles: pd.DataFrame, profile: int = PROFILE, ke
                 pred, score = model.value.predict(c)
                 langs += pred
                 scores.append(score)
-            t = t.drop(["__text"]).append_column("lang_pred", pa.array(langs, pa.string()))
-            yield from t.append_column("score", pa.array(np.concatenate(scores))).to_batches()
+            t = t.drop(["__text"]).append_column(names[0], pa.array(langs, pa.string()))
+            yield from t.append_column(names[1], pa.array(np.concatenate(scores))).to_batches()
 
-    return narrow.mapInArrow(run, fields + ", lang_pred string, score double")
+    return narrow.mapInArrow(run, f"{fields}, {names[0]} string, {names[1]} double")
 
 
 def held_out() -> F.Column:
@@ -191,5 +191,5 @@ def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; those without letters or unlike any language go."""
     profiles = train(docs.where(~held_out()))
     cols = docs.columns
-    got = identify(docs, profiles, keep=tuple(cols))
-    return got.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*cols)
+    got = identify(docs, profiles, keep=tuple(cols), names=("__lang", "__score"))
+    return got.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= MIN_SCORE)).select(*cols)

@@ -177,11 +177,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     cut = F.sort_array(F.collect_list(F.struct("from", "n", "times"))).alias("cut")
     takes = pieces(plan).groupBy("doc_id", "h", "start").agg(cut).where(F.exists("cut", lambda x: x["times"] > 0))
     # rows alike in all columns are one row here and as many takes
-    takes = takes.groupBy("doc_id", "h").agg(F.collect_list("cut").alias("takes"))
-    takes = takes.select(F.col("doc_id").alias("__d"), F.col("h").alias("__k"), "takes")
+    takes = takes.groupBy("doc_id", "h").agg(F.collect_list("cut").alias("__takes"))
+    takes = takes.select(F.col("doc_id").alias("__d"), F.col("h").alias("__k"), "__takes")
     one = keyed.dropDuplicates(["doc_id", "__h"])
     j = one.join(takes, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__k")))
-    j = j.withColumn("__cut", F.explode("takes")).withColumn("__j", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("__cut", lambda x: x["times"])))))
+    j = j.withColumn("__cut", F.explode("__takes")).withColumn("__j", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("__cut", lambda x: x["times"])))))
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     part = F.array_join(F.flatten(F.transform(F.filter("__cut", lambda x: x["times"] >= F.col("__j")), lambda x: F.slice(F.col("__w"), (x["from"] + 1).cast("int"), x["n"].cast("int")))), "")
     whole = F.forall("__cut", lambda x: x["times"] >= F.col("__j"))

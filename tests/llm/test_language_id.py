@@ -83,3 +83,12 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     got = L.op5_language_id(spark, SF).join(docs, "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
     assert got[0] > 0.98 and got[1] > 100
+
+
+def test_stage_keeps_columns_and_known_languages(spark):
+    rows = [(i, "the house and the garden" if i % 2 else "das haus und der garten", "en" if i % 2 else "de", "s", "mine", "too") for i in range(40)]
+    rows += [(90, "12 34", "en", "s", "mine", "too"), (91, None, None, None, None, None), (None, "the garden", None, "s", "mine", "too")]
+    df = spark.createDataFrame(rows, DOCS)
+    out = L.language_stage(spark, df, "")
+    assert out.columns == df.columns
+    assert {r.doc_id for r in out.collect()} == {*range(40), None} and {r.lang_pred for r in out.collect()} == {"mine"}

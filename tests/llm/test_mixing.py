@@ -77,6 +77,7 @@ def test_slots_fill_every_place_once(spark):
 def test_mixed_documents(spark):
     df, rows = docs(spark)
     want = M.mix(df)  # another order of the same rows may take other words: compare totals by source
+    df = df.withColumns({"takes": F.lit(1), "cut": F.lit("c"), "size": F.lit(2)})  # names used inside
     out = M.mixed_documents(df)
     assert out.columns == df.columns
     got, src = Counter(), {x[0]: x[3] for x in rows}
