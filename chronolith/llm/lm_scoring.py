@@ -1,8 +1,9 @@
 """Cross-entropy difference between matched n-gram models.
 
 Tokens are white-space words, A-Z lower-cased, without one stop or comma at the end. The models share
-one vocabulary: the ``VOCABULARY`` most frequent words of all documents (ties by hash) and four
-classes for the rest: with a digit, with another mark, longer than ``LONG`` bytes, other.
+one vocabulary: every word of all documents. (With ``size`` it is that many most frequent words, ties
+by hash, and four classes for the rest: with a digit, with another mark, longer than ``LONG`` bytes,
+other.)
 
 Both are bigram models with the same smoothing,
 
@@ -13,9 +14,17 @@ background counts are scaled by the ratio of target to background tokens, so nei
 from more evidence. A document's score is its mean loss per token under the target model less that
 under the background model; lower is closer to the target.
 
-All counts cover all documents. Word counts and bigram counts are gathered as distinct (word, n) and
-(bigram, n) rows of each task, so what is shuffled follows the input. What is sent to executors is
-bounded by (VOCABULARY + 5)**2 floats for each model, about 17 MB.
+All counts cover all documents, words and bigrams, and stay distributed:
+
+1. Documents are coded once, in chunks of at most ``CHUNK`` bytes or one document: the hashes of a
+   chunk's words, and its documents as places in them.
+2. A chunk asks for its distinct words and its distinct bigrams. What it asks is sorted by hash and cut
+   into ranges, whose number follows the text. One range meets in one task, which adds the counts up and
+   answers each chunk; a chunk asks for a key once, however often it has it, so no key is hot.
+3. The answers meet their chunk, which scores its documents.
+
+Only three sums (N of each model and V) reach the driver. Words and bigrams are 64-bit hashes: among
+n of them, some two share one with odds of n**2 / 2**65, and then share their counts.
 
 Defined results: a null, empty or blank text has no tokens and null losses and score. A document with
 several labels is a target if one of them is 1. Repeated rows count and are returned row by row.
@@ -24,21 +33,24 @@ Extra columns are ignored. Without target documents both models are uniform and
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import storage
-from .textops import Chunk, chunks, span_hash, words
+from .textops import Chunk, chunks, mix, owner, span_hash, words
 
-VOCABULARY = 2000
 CLASSES = 4
 LONG = 12
 MU = 50.0
 #: Distinct counts that a task gathers before it hands them on.
 FLUSH = 1_500_000
-_PARTS = 64
+#: Bytes of text in a chunk, and for each range of hashes.
+CHUNK, RANGE = 8 << 20, 16 << 20
+#: The token before a document's first.
+_START = np.uint64(0x9D8F3C5B7A61E24F)
 
 _DIGIT = np.zeros(256, bool)
 _DIGIT[0x30:0x3A] = True
@@ -84,7 +96,7 @@ def _gather(batches, count, names: list[str]):
         yield from out()
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
+def vocabulary(docs: DataFrame, size: int) -> np.ndarray:
     """Sorted hashes of the most frequent words of all documents."""
 
     def count(batch):
@@ -98,105 +110,159 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
     return np.sort(np.array([r.word for r in top.select("word").collect()], np.int64).view(np.uint64))
 
 
-def token_ids(c: Chunk, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of a chunk's tokens (a class's id follows the words') and bounds by document."""
+def token_hashes(c: Chunk, vocab: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a chunk's tokens (a class's number where ``vocab`` lacks the word) and bounds by document."""
     data, s, e, b = tokens(c)
-    if not len(s):
-        return np.empty(0, np.int64), b
     h = span_hash(data, s, e)
+    if vocab is None or not len(s):
+        return h, b
     at = np.searchsorted(vocab, h)
     known = np.append(vocab, np.uint64(0))[at] == h
     known &= at < len(vocab)
     digits, marks = (np.concatenate([[0], np.cumsum(t[data], dtype=np.int32)]) for t in (_DIGIT, _MARK))
     kind = np.where(digits[e] > digits[s], 0, np.where(marks[e] > marks[s], 1, np.where(e - s > LONG, 2, 3)))
-    return np.where(known, at, len(vocab) + kind), b
+    return np.where(known, h, kind.astype(np.uint64)), b
 
 
-def _bigrams(ids: np.ndarray, bounds: np.ndarray, start: int) -> np.ndarray:
-    """(token before, token) of every token; a document's first follows ``start``."""
-    before = np.concatenate([[start], ids[:-1]])[: len(ids)]
-    firsts = bounds[:-1][np.diff(bounds) > 0]
-    before[firsts] = start
-    return before * (start + 1) + ids
+def _planes(a: np.ndarray) -> bytes:
+    """All first bytes, all second ones and so on, so that the high ones compress away."""
+    a = np.ascontiguousarray(a)
+    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
 
 
-def bigram_counts(docs: DataFrame, vocab: np.ndarray) -> np.ndarray:
-    """Counts of each bigram cell in all documents (row 0) and in target ones (row 1), of ``docs``
-    (text, target). Cells are summed by key, then packed in groups of a bounded number of cells."""
-    start = len(vocab) + CLASSES
-    width = start + 1
-    sent = docs.sparkSession.sparkContext.broadcast(vocab)
+def _unplanes(raw: bytes, kind) -> np.ndarray:
+    x = np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(x.T).reshape(-1).view(kind)
 
-    def count(batch):
-        target = batch.column("target").to_numpy(zero_copy_only=False)
-        for c in chunks(batch.column("text")):
-            ids, b = token_ids(c, sent.value)
-            key = _bigrams(ids, b, start).astype(np.uint64)
-            wanted = np.repeat(target[c.first : c.first + c.n], np.diff(b)).astype(np.uint64)
-            k, n = np.unique(key << np.uint64(1) | wanted, return_counts=True)
-            yield k >> np.uint64(1), np.stack([n, n * (k & np.uint64(1)).astype(np.int64)], 1)
-
-    each = docs.select("text", "target").mapInArrow(lambda it: _gather(it, count, ["cell", "n", "n_target"]), "cell long, n long, n_target long")
-    sums = each.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-    per = -(-width * width // _PARTS)
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = int(pdf["cell"].iloc[0] // per)
-        dense = np.zeros((2, per), np.int64)
-        dense[:, pdf["cell"].to_numpy() - part * per] = pdf[["n", "n_target"]].to_numpy().T
-        return pd.DataFrame({"part": [part], "counts": [dense.tobytes()]})
-
-    packed = sums.groupBy(F.floor(F.col("cell") / per)).applyInPandas(pack, "part long, counts binary")
-    out = np.zeros((2, _PARTS * per), np.int64)
-    for r in packed.toLocalIterator():  # at most _PARTS rows of a fixed size
-        out[:, r.part * per : (r.part + 1) * per] = np.frombuffer(r.counts, np.int64).reshape(2, per)
-    return out[:, : width * width].reshape(2, width, width)
-
-
-def losses(counts: np.ndarray) -> np.ndarray:
-    """-log P(w | v) of the background (0) and the target (1) model, matched in size."""
-    n = counts.astype(np.float64).sum((1, 2))
-    scale = [n[1] / n[0] if n[0] else 0.0, 1.0]
-    out = np.empty(counts.shape, np.float32)
-    for k in (0, 1):
-        c = counts[k] * scale[k]
-        one = c.sum(0)
-        p = (one + 0.5) / (one.sum() + 0.5 * len(one))
-        out[k] = -np.log((c + MU * p[None, :]) / (c.sum(1)[:, None] + MU))
-    return out
-
-
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, size: int = VOCABULARY) -> DataFrame:
+
+def coded(marked: DataFrame, vocab: np.ndarray | None) -> DataFrame:
+    """Chunks of documents of ``marked`` (doc_id, text, target): ids, lengths and target flags of the
+    documents, the chunk's word hashes by falling frequency, and its tokens as places in them."""
+    sent = marked.sparkSession.sparkContext.broadcast(vocab)
+    kind = marked.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            goal = batch.column("target").to_numpy(zero_copy_only=False)
+            for c in chunks(batch.column("text"), CHUNK):
+                h, b = token_hashes(c, sent.value)
+                words, at, n = np.unique(h, return_inverse=True, return_counts=True)
+                order = np.argsort(-n, kind="stable")
+                place = np.empty(len(order), np.uint32)
+                place[order] = np.arange(len(order), dtype=np.uint32)
+                ids = pa.ListArray.from_arrays(pa.array([0, c.n], pa.int32()), batch.column("doc_id").slice(c.first, c.n))
+                blobs = _planes(np.diff(b)), goal[c.first : c.first + c.n].astype(np.uint8).tobytes(), _planes(words[order]), _planes(place[at])
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), ids, *(pa.array([x], pa.binary()) for x in blobs)], ["chunk", "ids", "lengths", "goal", "words", "seq"])
+
+    return storage.stage(marked.mapInArrow(run, f"chunk string, ids array<{kind}>, lengths binary, goal binary, words binary, seq binary"), "coded")
+
+
+class Coded:
+    """A coded chunk: word hashes with the start's at the end, and each token's place, that of the
+    token before and its document."""
+
+    def __init__(self, lengths: bytes, words: bytes, seq: bytes):
+        self.lengths = _unplanes(lengths, np.int64)
+        self.words = np.append(_unplanes(words, np.uint64), _START)
+        self.at = _unplanes(seq, np.uint32).astype(np.int64)
+        self.bounds = np.concatenate([[0], np.cumsum(self.lengths)])
+        self.before = np.concatenate([[len(self.words) - 1], self.at[:-1]])[: len(self.at)]
+        self.before[self.bounds[:-1][self.lengths > 0]] = len(self.words) - 1
+
+    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct bigram hashes in order, a token of each, and each token's place in them."""
+        pair = mix(mix(self.words)[self.before] * np.uint64(0xFF51AFD7ED558CCD) + self.words[self.at])
+        return np.unique(pair, return_index=True, return_inverse=True)
+
+
+def _asked(chunks_: DataFrame, what: str, ranges: int) -> DataFrame:
+    """What each chunk asks, by range of hashes: its distinct ``what`` and its own counts of them, in all
+    documents and in target ones; for words the counts as a token, then those as the token before."""
+
+    def ask(row) -> tuple[np.ndarray, list[np.ndarray]]:
+        c = Coded(row["lengths"], row["words"], row["seq"])
+        goal = np.frombuffer(row["goal"], np.uint8)[owner(c.bounds)]
+        if what == "bigrams":
+            keys, _, at = c.bigrams()
+            return keys, [np.bincount(at, w, len(keys)) for w in (None, goal)]
+        order = np.argsort(c.words)
+        return c.words[order], [np.bincount(x, w, len(c.words))[order] for x in (c.at, c.before) for w in (None, goal)]
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, counts = ask({k: batch.column(k)[i].as_py() for k in ("lengths", "goal", "words", "seq")})
+                cut = np.searchsorted((keys >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24), np.arange(ranges + 1))
+                full = np.flatnonzero(np.diff(cut))
+                parts = [slice(cut[p], cut[p + 1]) for p in full]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([batch.column("chunk")[i].as_py()] * len(full), pa.string()),
+                        pa.array(full, pa.int32()),
+                        pa.array([_planes(np.diff(keys[p], prepend=np.uint64(0))) for p in parts], pa.binary()),
+                        pa.array([_planes(np.concatenate([n[p] for n in counts]).astype(np.int64)) for p in parts], pa.binary()),
+                    ],
+                    ["chunk", "range", "keys", "counts"],
+                )
+
+    return chunks_.mapInArrow(run, "chunk string, range int, keys binary, counts binary")
+
+
+def _answered(asked: DataFrame, what: str) -> DataFrame:
+    """The sums of what all chunks counted, for each chunk and range in the order asked. ``found``, ``n``
+    and ``n_target`` are the range's tokens: distinct, all and target ones (in one of its rows)."""
+
+    def total(t: pa.Table) -> pa.Table:
+        keys = [np.cumsum(_unplanes(x.as_py(), np.uint64), dtype=np.uint64) for x in t["keys"]]
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        every, at = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = np.concatenate([_unplanes(x.as_py(), np.int64).reshape(-1, len(k)) for x, k in zip(t["counts"], keys, strict=True)], 1)
+        sums = np.stack([np.bincount(at, x, len(every)) for x in counts]).astype(np.int64)
+        facts = np.zeros((3, len(keys)), np.int64)
+        facts[:, 0] = np.count_nonzero(sums[0]), sums[0].sum(), sums[1].sum()
+        blobs = [_planes(np.concatenate(list(sums[:, x]))) for x in np.split(at, ends)]
+        return pa.table({"chunk": t["chunk"], "range": t["range"], "what": pa.array([what] * len(keys)), "sums": pa.array(blobs, pa.binary()), "found": facts[0], "n": facts[1], "n_target": facts[2]})
+
+    return asked.groupBy("range").applyInArrow(total, "chunk string, range int, what string, sums binary, found long, n long, n_target long")
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, size: int | None = None) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background and score of every document. ``target`` has
     the doc_id of target documents."""
-    sc = docs.sparkSession.sparkContext
-    vocab = vocabulary(docs, size)
+    vocab = vocabulary(docs, size) if size is not None else None
     wanted = target.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().withColumn("__t", F.lit(True))
     # the target's ids grow with the corpus: both sides shuffle, at any size
-    marked = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left").select("text", F.coalesce("__t", F.lit(False)).alias("target"))
-    table = sc.broadcast((vocab, losses(bigram_counts(marked, vocab))))
-    start = len(vocab) + CLASSES
+    marked = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("__t", F.lit(False)).alias("target"))
+    ranges = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE
+    parts = coded(marked, vocab)
+    of_words = storage.stage(_answered(_asked(parts, "words", ranges), "words"), "word-counts")
+    facts = of_words.agg(F.sum("found"), F.sum("n"), F.sum("n_target")).first()
+    found, n_all, n_goal = (x or 0 for x in facts)
+    types = 1 + (found if vocab is None else len(vocab) + CLASSES)
+    scales = (n_goal / n_all if n_all else 0.0, 1.0)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches):
-        vocab, loss = table.value
-        flat = loss.reshape(2, -1)
-        for batch in batches:
-            sums, ns = [np.empty((2, 0))], [np.empty(0, np.int64)]
-            for c in chunks(batch.column("text")):
-                ids, b = token_ids(c, vocab)
-                cell = _bigrams(ids, b, start)
-                total = np.zeros((2, len(cell) + 1))
-                for k in (0, 1):
-                    np.cumsum(flat[k][cell], dtype=np.float64, out=total[k, 1:])
-                sums.append(total[:, b[1:]] - total[:, b[:-1]])
-                ns.append(np.diff(b))
-            n, (back, goal) = np.concatenate(ns), np.concatenate(sums, 1)
-            none = n == 0
-            back, goal = back / np.maximum(1, n), goal / np.maximum(1, n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *(pa.array(x, mask=none) for x in (goal, back, goal - back))], ["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, loss_target double, loss_background double, score double")
+    def score(mine: pa.Table, answers: pa.Table) -> pa.Table:
+        c = Coded(*(mine[k][0].as_py() for k in ("lengths", "words", "seq")))
+        keys, first, at = c.bigrams()
+        got = {}
+        for what, rows in (("words", 4), ("bigrams", 2)):
+            own = sorted((r, x) for r, w, x in zip(*(answers[k].to_pylist() for k in ("range", "what", "sums")), strict=True) if w == what)
+            got[what] = np.concatenate([np.zeros((rows, 0), np.int64), *(_unplanes(x, np.int64).reshape(rows, -1) for _, x in own)], 1)
+        by_word = np.empty_like(got["words"])
+        by_word[:, np.argsort(c.words)] = got["words"]
+        losses = []
+        for k, scale in enumerate(scales):
+            p = (by_word[k, c.at[first]] * scale + 0.5) / ((n_all, n_goal)[k] * scale + 0.5 * types)
+            loss = -np.log((got["bigrams"][k] * scale + MU * p) / (by_word[2 + k, c.before[first]] * scale + MU))
+            losses.append(np.bincount(owner(c.bounds), loss[at], len(c.lengths)) / np.maximum(1, c.lengths))
+        back, goal = losses
+        none = c.lengths == 0
+        return pa.table([mine["ids"][0].values, pa.array(c.lengths), *(pa.array(x, mask=none) for x in (goal, back, goal - back))], ["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
+
+    answers = of_words.unionByName(_answered(_asked(parts, "bigrams", ranges), "bigrams")).select("chunk", "range", "what", "sums")
+    texts = parts.select("chunk", "ids", "lengths", "words", "seq")
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, n_tokens long, loss_target double, loss_background double, score double")
 
 
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:

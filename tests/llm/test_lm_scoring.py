@@ -86,3 +86,24 @@ def test_no_targets_and_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert [r.score for r in L.cross_entropy_difference(df, none).collect()] == [0.0, 0.0]
     assert L.cross_entropy_difference(df.where("false"), none).collect() == []
+
+
+def test_every_word_counts(spark, monkeypatch):
+    monkeypatch.setattr(L, "RANGE", 1 << 12)
+    rnd = random.Random(5)
+    pools = [[f"{k}{''.join(rnd.choice('abcdefgh') for _ in range(4))}" for _ in range(2500)] for k in "xy"]
+    rows = [(i, " ".join(rnd.choice(pools[i % 2]) for _ in range(rnd.randint(0, 120)))) for i in range(120)]
+    rows += [(200, " ".join(pools[0][:40])), (201, " ".join(pools[1][:40])), (202, "The word. " * 500), (203, None)]
+    target = {i for i in range(120) if i % 2}
+    df = spark.createDataFrame([(i, t, "", "") for i, t in rows], DOCS).repartition(5)
+    types = len({w for _, t in rows for w in toks(t)})
+    assert types > 2500
+    monkeypatch.setattr(L, "CLASSES", 0)  # brute() adds the classes, which a whole vocabulary hasn't
+    want = brute(rows, target, types)
+    got = {r.doc_id: r for r in L.cross_entropy_difference(df, spark.createDataFrame([(i,) for i in target], "doc_id long")).collect()}
+    assert got.keys() == want.keys()
+    for d, (n, goal, back) in want.items():
+        assert got[d].n_tokens == n
+        if n:
+            assert got[d].loss_target == pytest.approx(goal) and got[d].loss_background == pytest.approx(back)
+    assert got[201].score < got[200].score
