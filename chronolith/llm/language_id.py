@@ -183,13 +183,28 @@ def op5_language_id(spark, sf_dir: str) -> DataFrame:
     return identify(docs, profiles).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-#: A document is kept if its language is known and its score reaches this.
+#: What a score must reach in a language of which no training row is recognised.
 MIN_SCORE = 0.05
+#: Elsewhere it must reach the LOW quantile of the language's own training rows, less SPREADS times its distance
+#: to their median and MARGIN at least. Junk among up to a share of LOW of the labelled rows doesn't lower that.
+LOW, SPREADS, MARGIN = 0.1, 2, 0.2
+
+
+def floors(docs: DataFrame, profiles: pd.DataFrame) -> dict[str, float]:
+    """The least score of each language, from the rows of ``docs`` (text, lang) that are recognised as their own."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    own = identify(known, profiles, keep=("lang",), names=("__lang", "__score")).where(F.col("lang") == F.col("__lang"))
+    rows = own.groupBy("lang").agg(F.percentile_approx("__score", F.array(F.lit(LOW), F.lit(0.5)), 1000).alias("q")).collect()
+    return {r.lang: max(MIN_SCORE, r.q[0] - max(SPREADS * (r.q[1] - r.q[0]), MARGIN)) for r in rows}
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; those without letters or unlike any language go."""
-    profiles = train(docs.where(~held_out()))
+    learned = docs.where(~held_out())
+    profiles = train(learned)
+    least = F.lit(MIN_SCORE)
+    for lang, x in floors(learned, profiles).items():
+        least = F.when(F.col("__lang") == lang, x).otherwise(least)
     cols = docs.columns
     got = identify(docs, profiles, keep=tuple(cols), names=("__lang", "__score"))
-    return got.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= MIN_SCORE)).select(*cols)
+    return got.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*cols)

@@ -1,4 +1,5 @@
 import os
+import random
 from collections import Counter
 
 import numpy as np
@@ -92,3 +93,17 @@ def test_stage_keeps_columns_and_known_languages(spark):
     out = L.language_stage(spark, df, "")
     assert out.columns == df.columns
     assert {r.doc_id for r in out.collect()} == {*range(40), None} and {r.lang_pred for r in out.collect()} == {"mine"}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_stage_rejects_junk_and_unlearned_languages(spark):
+    rnd = random.Random(3)
+    junk = lambda letters: " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(3, 9))) for _ in range(100))
+    az = "abcdefghijklmnopqrstuvwxyz"
+    bad = [junk(az), junk("0123456789abcdef"), junk(az + az.upper())]
+    bad.append("kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä")
+    bad.append("wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(bad)], "doc_id long, text string, lang string").select(*[F.col(f.name).cast(f.dataType) for f in docs.schema])
+    kept = {r.doc_id for r in L.language_stage(spark, docs.unionByName(more), "").select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
