@@ -4,18 +4,23 @@ Words are lower-cased (A-Z) runs of letters, digits and bytes beyond ASCII; punc
 them. An item's or window's shingles are its ``K``-word runs (all its words as one, if fewer). A
 shingle weighs 1 / (number of items that hold it), so what many items share counts for less.
 
-1. Each item has a ``BITS``-bit SimHash of its weighted shingles. ``HammingIndex`` cuts fingerprints
-   into blocks; two within ``RADIUS`` bits agree in some block to within RADIUS // blocks bits, and
-   each block's table lists, for each value of the block, the items that near to it.
+1. Each item that shares no shingle with another has a ``BITS``-bit SimHash of its shingles, which weigh
+   the same. ``HammingIndex`` cuts fingerprints into blocks; two within ``RADIUS`` bits agree in some
+   block to within RADIUS // blocks bits, and each block's table lists, for each value of the block, the
+   items that near to it.
    An item of fewer than ``K`` words matches only a document that is the same words.
 2. A document's window, for an item of L words, is any L words in a row (all words of a shorter
    document). Windows that hold no shingle of any item have similarity 0 to all and aren't
    fingerprinted; that loses nothing.
 3. The index gives the items within the radius of each window's fingerprint. At the threshold the
-   expected distance is 44 of 256 bits, with a deviation of 6; the radius is 4.5 deviations away,
-   so the share of pairs at the very threshold that it misses is a few in a million.
+   expected distance is 44 of 256 bits at most (what a window has of other items weighs less, which
+   brings it nearer), with a deviation of 6; the radius is 4.5 deviations away, so the share of pairs at
+   the very threshold that it misses is a few in a million.
+   Where weights differ, as in an item with shared shingles, no such radius holds: those items are
+   compared with each window by an upper bound of both similarities of step 4, which misses none.
 4. Candidates are verified: weighted Jaccard of the shingles with their multiplicities, at least
-   ``THRESHOLD``.
+   ``THRESHOLD``; or else plain Jaccard, at least that. A shingle that no item holds weighs most, so in
+   an item that occurs often a single changed word outweighs the rest by far; plain Jaccard finds it.
 
 Items go to the executors in blocks of ``ITEMS`` (a few MB at most); each block is a pass of its own
 over the documents, so what is sent is bounded whatever the benchmark's size.
@@ -122,7 +127,20 @@ class Items:
                 self.holders.setdefault(x, set()).add(self.lengths[i])
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.known >> np.uint64(44)).astype(np.int64)] = True
-        self.index = HammingIndex(np.array([self._print(b) for b in self.bags], np.uint8)) if self.bags else None
+        #: Items with a shingle that others hold too, the shingles of each with their weights, and who holds a shingle.
+        self.shared = {i: np.fromiter(b, np.uint64, len(b)) for i, b in enumerate(self.bags) if any(self.df.get(x, 0) > 1 for x in b)}
+        self.totals: dict[int, tuple[float, int, float]] = {}
+        at: dict[int, list[int]] = {}
+        for i, keys in self.shared.items():
+            w, n = self.weight(keys), np.fromiter(self.bags[i].values(), float, len(keys))
+            self.totals[i] = float(w @ n), int(n.sum()), THRESHOLD * min(n.sum(), float(w @ n) / w.max()) - 1e-6
+            for x in keys.tolist():
+                at.setdefault(x, []).append(i)
+        self.sharers = {x: np.array(v) for x, v in at.items()}
+        #: The others, by place in the index.
+        self.alone = np.array([i for i in range(len(self.bags)) if i not in self.shared], np.int64)
+        self.alone_sizes = {self.lengths[i] for i in self.alone.tolist()}
+        self.index = HammingIndex(np.array([self._print(self.bags[i]) for i in self.alone], np.uint8)) if len(self.alone) else None
 
     def weight(self, h: np.ndarray) -> np.ndarray:
         return 1.0 / np.maximum(1, [self.df.get(x, 0) for x in h.tolist()])
@@ -131,17 +149,24 @@ class Items:
         h = np.fromiter(bag, np.uint64, len(bag))
         return simhash(h, self.weight(h) * np.fromiter(bag.values(), float, len(bag)))
 
-    def similarity(self, bag: Counter, i: int) -> float:
-        """Weighted Jaccard of a bag and an item's: sum of minima by sum of maxima."""
+    def similarity(self, bag: Counter, i: int) -> tuple[float, float]:
+        """Weighted and plain Jaccard of a bag and an item's: sum of minima by sum of maxima."""
         mine = self.bags[i]
         every = list({**bag, **mine})
         w = self.weight(np.array(every, np.uint64))
-        low = sum(x * min(bag[s], mine[s]) for x, s in zip(w, every, strict=True))
-        return low / sum(x * max(bag[s], mine[s]) for x, s in zip(w, every, strict=True))
+        low, high = (np.array([f(bag[s], mine[s]) for s in every], float) for f in (min, max))
+        return float(w @ low / (w @ high)), float(low.sum() / high.sum())
+
+    def _verify(self, bag: Counter, i: int, at: int, found: dict) -> None:
+        """A match goes to ``found``; one of weighted Jaccard precedes those of plain Jaccard alone."""
+        j, plain = self.similarity(bag, i)
+        got = (True, j, at) if j >= THRESHOLD else (False, plain, at)
+        if got[1] >= THRESHOLD and got[:2] > found.get(i, (False, 0.0))[:2]:
+            found[i] = got
 
     def hits(self, h: np.ndarray) -> np.ndarray:
         """Places of the shingles that some item holds."""
-        if self.index is None:
+        if not self.bags:
             return np.empty(0, np.int64)
         maybe = np.flatnonzero(self.filter[(h >> np.uint64(44)).astype(np.int64)])
         at = np.searchsorted(self.known, h[maybe])
@@ -151,14 +176,35 @@ class Items:
     def search(self, h: np.ndarray, hits: np.ndarray, words: int) -> dict[int, tuple[float, int]]:
         """The best similarity and its window's first word, for each item that a document holds.
         ``h``: the document's shingles in order; ``hits``: places of known ones; ``words``: its words."""
-        found: dict[int, tuple[float, int]] = {}
-        for size in sorted({n for x in set(h[hits].tolist()) for n in self.holders[x]}):
+        found: dict[int, tuple[bool, float, int]] = {}
+        self._compared(h, hits, words, found)
+        for size in sorted({n for x in set(h[hits].tolist()) for n in self.holders[x]} & self.alone_sizes):
             width = max(1, min(size, words) - K + 1)  # shingles in a window
             starts = self._windows(hits, width, len(h))
             for part in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
                 for cut in range(0, len(part), 4096):  # bounded pieces of a long run
                     self._fingerprinted(h, int(part[cut]), min(4096, len(part) - cut), width, size, found)
-        return found
+        return {i: x[1:] for i, x in found.items()}
+
+    def _compared(self, h: np.ndarray, hits: np.ndarray, words: int, found: dict) -> None:
+        """Items with shared shingles against all windows that an upper bound leaves."""
+        holds = [self.sharers[x] for x in h[hits].tolist() if x in self.sharers]
+        if not holds:
+            return
+        items, n = np.unique(np.concatenate(holds), return_counts=True)
+        near = [i for i, c in zip(items.tolist(), n.tolist(), strict=True) if c >= self.totals[i][2]]
+        w = self.weight(h) if near else None
+        sums = lambda x, width: (c := np.concatenate([[0.0], np.cumsum(x)]))[width:] - c[:-width]
+        for i in near:
+            width = max(1, min(self.lengths[i], words) - K + 1)
+            mine = np.isin(h, self.shared[i])
+            of_item, count, _ = self.totals[i]
+            both, alike = sums(np.where(mine, w, 0.0), width), sums(mine, width)
+            # a window's repeated shingles may exceed the item's, so these are bounds
+            weighted = both / np.maximum(1e-12, np.maximum(of_item, sums(w, width) + of_item - both))
+            plain = alike / np.maximum(count, width + count - alike)
+            for k in np.flatnonzero(np.maximum(weighted, plain) >= THRESHOLD - 1e-6).tolist():
+                self._verify(Counter(h[k : k + width].tolist()), i, k, found)
 
     def _fingerprinted(self, h: np.ndarray, lo: int, n: int, width: int, size: int, found: dict) -> None:
         """Windows lo .. lo + n - 1 through the index; verified matches go to ``found``."""
@@ -167,10 +213,9 @@ class Items:
         np.cumsum(signs(own) * self.weight(own)[:, None], axis=0, out=total[1:])
         prints = np.packbits(total[width:] - total[:-width] > 1e-9, axis=1, bitorder="little")
         for k, i in zip(*map(np.ndarray.tolist, self.index.search(prints)), strict=True):
+            i = int(self.alone[i])
             if self.lengths[i] == size:
-                j = self.similarity(Counter(own[k : k + width].tolist()), i)
-                if j >= THRESHOLD and j > found.get(i, (0.0, 0))[0]:
-                    found[i] = (j, lo + k)
+                self._verify(Counter(own[k : k + width].tolist()), i, lo + k, found)
 
     @staticmethod
     def _windows(hits: np.ndarray, width: int, n: int) -> np.ndarray:

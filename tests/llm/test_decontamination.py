@@ -96,3 +96,23 @@ def test_stage_keeps_the_clean(spark, tmp_path):
     bad = {d for d, _ in brute([d for d in docs if d[0] != 505], items)} | {505}
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in docs if d not in bad)
     assert kept.columns == df.columns
+
+
+def test_repeated_items_and_templates_with_one_word_changed(spark):
+    rnd = random.Random(8)
+    text = lambda n: ["".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
+    often, twice, frame = text(104), text(50), text(60)
+    items = [(i, " ".join(often)) for i in range(10)] + [(20 + i, " ".join(twice)) for i in range(2)] + [(30 + i, " ".join(frame + text(40))) for i in range(10)]
+    docs = []
+    for d, (_, t) in enumerate([items[0], items[10], items[12]]):
+        w = t.split()
+        w[len(w) // 2] = "changed"
+        docs.append((d, " ".join(text(30) + w + text(30))))
+    docs += [(3, " ".join(text(20) + frame + text(20))), (4, " ".join(text(200)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(0, i) for i in range(10)} | {(1, 20), (1, 21), (2, 30)}
+    for per_block in (4096, 5):
+        got = D.contamination(df, bench, per_block=per_block).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want
+        assert {r.at for r in got} == {30}
