@@ -60,21 +60,28 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def permuted(i: Column, n: Column, key: Column) -> Column:
-    """The image of ``i`` under the bijection of 0..n-1 that ``key`` picks (n > 0)."""
-    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
-    b = F.floor((n + a - 1) / a).cast("long")
+def let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``value`` evaluated once, as ``name``. Written out, each round below would repeat
+    the one before several times, and the expression would grow with a power of their number."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-    def once(x: Column) -> Column:
-        left, right = F.pmod(x, a), F.floor(x / a).cast("long")
-        for r in (0, 2):
-            left = F.pmod(left + F.pmod(F.xxhash64(right, key, F.lit(r)), a), a)
-            right = F.pmod(right + F.pmod(F.xxhash64(left, key, F.lit(r + 1)), b), b)
-        return right * a + left
 
-    first = once(i)
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(64)), first, lambda x, _: F.when(x < n, x).otherwise(once(x)))
-    return F.when(first < n, first).otherwise(walk)
+def permuted(i: str, n: str, key: str) -> Column:
+    """The image of ``i`` under the bijection of 0..n-1 that ``key`` picks (n > 0); all are SQL."""
+
+    def once(x: str, v: str) -> str:
+        body = f"{v}r2 * g.a + {v}l2"
+        for r in (3, 2, 1, 0):  # from the last round outwards
+            side, other, m = (("l", "r", "g.a"), ("r", "l", "b"))[r % 2]
+            old = f"{v}{side}{r // 2}"
+            body = let(f"{v}{side}{r // 2 + 1}", f"pmod({old} + pmod(xxhash64({v}{other}{(r + 1) // 2}, g.k, {r}), {m}), {m})", body)
+        return let(f"{v}l0", f"pmod({x}, g.a)", let(f"{v}r0", f"{x} div g.a", body))
+
+    # out of the range at most once in sqrt(n), so the walk is hardly ever long
+    on = f"aggregate(sequence(1, 64), y, (x, s) -> if(x < g.n, x, {once('x', 'w')}))"
+    image = let("y", once("g.i", "f"), f"if(y < g.n, y, {on})")
+    whole = let("b", "(g.n + g.a - 1) div g.a", image)
+    return F.expr(let("g", f"named_struct('i', {i}, 'n', {n}, 'k', {key}, 'a', cast(ceil(sqrt(double({n}))) AS bigint))", whole))
 
 
 @dataclass
@@ -200,15 +207,15 @@ def slots(plan: Plan) -> DataFrame:
     s = storage.stage(running(s, ["sid"], {"over_before": F.col("over"), "first": F.col("short")}, plan.small), "mix-quotas")
     again = s.agg(F.sum("over")).first()[0] or 0
     i = plan.join(numbered(drawn), s.select("sid", "quota", "drawn", "over_before"), ["sid"])
-    i = i.withColumn("i", permuted(F.col("i"), F.col("drawn"), F.xxhash64("sid", F.lit(SEED + 1))))
+    i = i.withColumn("i", permuted("i", "drawn", f"xxhash64(sid, {SEED + 1})"))
     index = i.where(F.col("i") < F.col("quota")).select("shard", "slot", "sid", "i")
     if again:
         extra = i.where(F.col("i") >= F.col("quota"))
-        y = permuted(F.col("over_before") + F.col("i") - F.col("quota"), F.lit(again).cast("long"), F.lit(SEED + 2))
+        y = permuted("over_before + i - quota", f"bigint({again})", f"{SEED + 2}")
         dealt = placed(plan, extra.select("shard", "slot", y.alias("y")), "y", s.select("sid", "first", F.col("short").alias("n"), "drawn"), again)
         index = index.union(dealt.select("shard", "slot", "sid", (F.col("drawn") + F.col("y") - F.col("first")).alias("i")))
     index = plan.by_source(index, "blocks")
-    take = permuted(F.col("i") % F.col("blocks"), F.col("blocks"), F.xxhash64("sid", F.lit(SEED)))
+    take = permuted("i % blocks", "blocks", f"xxhash64(sid, {SEED})")
     return index.select("shard", "slot", "sid", take.alias("block"), F.expr("i div blocks").alias("pass"))
 
 

@@ -41,7 +41,7 @@ def docs(spark, n=400, hot="b"):
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000])
 def test_permutation(spark, n):
-    got = spark.range(n).select(M.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(7)).alias("x")).collect()
+    got = spark.range(n).select(M.permuted("id", f"bigint({n})", "7").alias("x")).collect()
     assert sorted(r.x for r in got) == list(range(n))
 
 
