@@ -159,7 +159,8 @@ def plan_mix(keyed: DataFrame) -> Plan:
     sums = sums.select("sid", "bucket", F.coalesce(F.sum("held").over(ahead), F.lit(0)).cast("long").alias("base"))
     within = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0)).cast("long"))
-    plan.docs = d.join(sums, ["sid", "bucket"]).withColumn("start", F.col("start") + F.col("base")).drop("base", "bucket")
+    # what follows here and for draws has a row for each bucket or shard: it grows, so no side is broadcast
+    plan.docs = d.join(sums.hint("merge"), ["sid", "bucket"]).withColumn("start", F.col("start") + F.col("base")).drop("base", "bucket")
     return plan
 
 
@@ -194,7 +195,7 @@ def numbered(drawn: DataFrame) -> DataFrame:
     within = zero(F.sum("n").over(before(Window.partitionBy("sid", "group").orderBy("shard"))))
     base = by_shard.withColumn("s", within).join(groups, ["sid", "group"]).select("sid", "shard", (F.col("g") + F.col("s")).alias("base"))
     rank = (F.row_number().over(Window.partitionBy("sid", "shard").orderBy("slot")) - 1).cast("long")
-    return drawn.withColumn("i", rank).join(base, ["sid", "shard"]).withColumn("i", F.col("i") + F.col("base")).drop("base")
+    return drawn.withColumn("i", rank).join(base.hint("merge"), ["sid", "shard"]).withColumn("i", F.col("i") + F.col("base")).drop("base")
 
 
 def slots(plan: Plan) -> DataFrame:
