@@ -6,18 +6,30 @@
   the mean length of a line.
 
 Both are logistic models. They start from at most ``SAMPLE`` labelled documents (those with the
-smallest hash of doc_id: a bounded, documented sample; four fifths teach, one fifth calibrates). In
-each of ``ROUNDS`` rounds each view scores all documents; its ``EXCHANGE`` most confident unlabelled
-ones of either class, at ``CONFIDENT`` or more, join the other view's lessons with the label it
-gives them. At the end each view is calibrated (Platt) on the calibrating fifth, a logistic
-combination of both calibrated views is fitted there, and every document is scored.
+smallest hash of doc_id: a bounded, documented sample; four fifths teach, one fifth calibrates).
+
+Unlabelled documents form a pool, with documents of equal features as one, so that a group of copies
+is one lesson. In each of ``ROUNDS`` rounds each view scores the pool and labels its most confident
+documents for the other view: the share ``SHARE`` of those that it hasn't labelled yet, positives from the
+top and negatives from the bottom in the classes' ratio among the labelled, and none on the wrong side
+of even odds. So a round's lessons grow with the corpus, both views give both classes, and no document is
+taught twice by a view. All lessons of a view together weigh ``WEIGHT`` times the labelled ones.
+
+What a view has labelled follows from the weights and cuts of the rounds so far, so it isn't stored. A
+round is one pass for the distributions of scores (counts in bins of a logit's ``1 / FINE``) and ``STEPS``
+passes of Newton's method, whose sums are made on executors and added up in a tree; the driver gets
+counts by bin and a few sums, at any corpus size.
+
+At the end each view is calibrated (Platt) on the calibrating fifth, a logistic combination of both
+calibrated views is fitted there, and every document is scored.
 
 Features are computed once from whole texts and written; rounds read only those.
 
 Defined results: a null or empty text has the features of no words. Null source, language or
 n_chars have values of their own (n_chars is taken from the text). Of several labels of a document
-the largest counts. Repeated rows are scored row by row. Extra columns are ignored. If a class has
-no labelled document, there is nothing to learn: every score is 0.5 and every document is kept.
+the largest counts; labels other than 0 and 1 don't count. Of several rows with a labelled doc_id the one
+with the least features teaches. Repeated rows are scored row by row. Extra columns are ignored. If a class
+has no labelled document, there is nothing to learn: every score is 0.5 and every document is kept.
 """
 
 from __future__ import annotations
@@ -32,9 +44,11 @@ from .textops import LOWER, chunks, owner, runs, span_hash, words
 
 SAMPLE = 20_000
 ROUNDS = 3
-EXCHANGE = 300
-CONFIDENT = 0.95
+SHARE, WEIGHT, STEPS = 0.05, 0.5, 2
+FINE, BOUND = 100, 30
 KEEP = 0.5
+#: Rows of sums that the driver takes; more are added up on executors first.
+SUMS = 16
 RIDGE = 1.0
 WORD_BUCKETS, SOURCE_BUCKETS, LANG_BUCKETS = 160, 48, 16
 TEXT, META = WORD_BUCKETS + 6, SOURCE_BUCKETS + LANG_BUCKETS + 3
@@ -129,7 +143,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
 
 
 def logit(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return np.clip(x @ w[:-1] + w[-1], -30, 30)
+    return np.clip(x @ w[:-1] + w[-1], -BOUND, BOUND)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -138,37 +152,93 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def labelled_sample(labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     """doc_id, quality and fold of at most ``size`` labelled documents."""
-    one = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    one = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     h = F.xxhash64(F.col("doc_id"), F.lit(11))
     return one.withColumn("h", h).orderBy("h", "doc_id").limit(size).select("doc_id", "quality", F.pmod("h", F.lit(5)).alias("fold"))
 
 
+def newton_sums(x: np.ndarray, y: np.ndarray, c: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient and Hessian of the loss of rows weighted by ``c``, as one vector."""
+    a = np.hstack([x, np.ones((len(x), 1))])
+    p = 1 / (1 + np.exp(-np.clip(a @ w, -BOUND, BOUND)))
+    return np.concatenate([a.T @ (c * (p - y)), ((a * (c * (p * (1 - p) + 1e-9))[:, None]).T @ a).ravel()])
+
+
+def newton_step(sums: np.ndarray, w: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    penalty = np.full(len(w), ridge)
+    penalty[-1] = 1e-6
+    return w - np.linalg.solve(sums[len(w) :].reshape(len(w), -1) + np.diag(penalty), sums[: len(w)] + penalty * w)
+
+
+def bins(z: np.ndarray) -> np.ndarray:
+    return np.floor((z + BOUND) * FINE).astype(np.int64)
+
+
 class Views:
-    """The two models and what they learn from."""
+    """The two models, what they learn from, and the rounds so far."""
 
     def __init__(self, rows):
         y = np.array([r.quality for r in rows], float)
         held = np.array([r.fold == 0 for r in rows], bool)
         x = [_unpacked(pa.array([bytes(r[k]) for r in rows]), n) for k, n in (("text", TEXT), ("meta", META))]
         self.check = [v[held] for v in x], y[held]
-        self.x, self.y = [v[~held] for v in x], [y[~held]] * 2
-        self.refit()
-
-    def refit(self) -> None:
-        self.w = [fit(x, y) for x, y in zip(self.x, self.y, strict=True)]
-
-    def teach(self, view: int, x: np.ndarray, label: int) -> None:
-        self.x[view] = np.concatenate([self.x[view], x])
-        self.y[view] = np.append(self.y[view], np.full(len(x), label))
+        self.x, self.y = [v[~held] for v in x], y[~held]
+        self.w = [fit(v, self.y) for v in self.x]
+        #: For each round the weights of both views, and for each view its highest bin of 0 and its lowest of 1.
+        self.rounds: list[tuple[list[np.ndarray], list[tuple[int, int]]]] = []
+        #: For each view its lessons of 0 and 1 so far, and for each round what was new.
+        self.given = [[0, 0], [0, 0]]
+        self.log: list[dict] = []
+
+    def close_round(self, counts: list[dict[int, int]]) -> None:
+        """Set the cuts of a round from each view's counts by bin of documents it hasn't labelled."""
+        cuts, half = [], BOUND * FINE
+        for k, by in enumerate(counts):
+            total, share = sum(by.values()), self.y.mean()
+            limits = []
+            for label, part, order in ((0, 1 - share, sorted(b for b in by if b < half)), (1, share, sorted((b for b in by if b >= half), reverse=True))):
+                n, cut = 0, -1 if label == 0 else 2 * half + 1
+                for b in order:
+                    if n and n + by[b] > SHARE * part * total:
+                        break
+                    n, cut = n + by[b], b
+                limits.append(cut)
+                self.given[k][label] += n
+                self.log.append({"round": len(self.rounds), "view": k, "label": label, "lessons": n, "of": total})
+            cuts.append((limits[0], limits[1]))
+        self.rounds.append((self.w, cuts))
+
+    def labels(self, x: list[np.ndarray]) -> list[np.ndarray]:
+        """The label that each view has given each row in some round, or -1."""
+        out = [np.full(len(x[0]), -1), np.full(len(x[0]), -1)]
+        for w, cuts in self.rounds:
+            for k in (0, 1):
+                b = bins(logit(x[k], w[k]))
+                out[k] = np.where(out[k] >= 0, out[k], np.where(b <= cuts[k][0], 0, np.where(b >= cuts[k][1], 1, -1)))
+        return out
+
+    def lesson_sums(self, x: list[np.ndarray]) -> np.ndarray:
+        """Newton sums of both views over the lessons among these rows."""
+        given, out = self.labels(x), []
+        for k in (0, 1):
+            label, n = given[1 - k], np.maximum(1, self.given[1 - k])
+            share = np.array([1 - self.y.mean(), self.y.mean()])
+            some = label >= 0
+            c = (WEIGHT * len(self.y) * share / n)[label[some]]
+            out.append(newton_sums(x[k][some], label[some].astype(float), c, self.w[k]))
+        return np.concatenate(out)
+
+    def step(self, sums: np.ndarray) -> None:
+        cut = (TEXT + 1) * (TEXT + 2)
+        both = sums[:cut], sums[cut:]
+        self.w = [newton_step(s + newton_sums(x, self.y, np.ones(len(x)), w), w) for s, x, w in zip(both, self.x, self.w, strict=True)]
 
     def calibrate(self) -> None:
         """Platt scaling of each view, and the combination of both, on the calibrating fold; on all
         labelled rows if that fold lacks a class."""
         x, y = self.check
         if len(set(y.tolist())) < 2:
-            x, y = self.x, self.y[0]
-            n = min(len(v) for v in x)
-            x, y = [v[:n] for v in x], y[:n]
+            x, y = self.x, self.y
         z = [logit(v, w) for v, w in zip(x, self.w, strict=True)]
         self.platt = [fit(v[:, None], y) for v in z]
         self.mix = fit(np.stack([v * p[0] + p[1] for v, p in zip(z, self.platt, strict=True)], 1), y)
@@ -179,19 +249,64 @@ class Views:
         return [sigmoid(z[0]), sigmoid(z[1]), sigmoid(logit(np.stack(z, 1), self.mix))]
 
 
-def _confidence(spark, feats: DataFrame, weights: list[np.ndarray]) -> DataFrame:
-    """The features with each view's raw probability."""
-    sent = spark.sparkContext.broadcast(weights)
+def _both(batch) -> list[np.ndarray]:
+    return [_unpacked(batch.column("text"), TEXT), _unpacked(batch.column("meta"), META)]
+
+
+def _counts(pool: DataFrame, views: Views) -> list[dict[int, int]]:
+    """For each view, the number of documents that it hasn't labelled by bin of its present logit."""
+    sent = pool.sparkSession.sparkContext.broadcast(views)
 
     def run(batches):
+        total = np.zeros((2, 2 * BOUND * FINE + 1), np.int64)
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            for k, (name, n) in enumerate((("text", TEXT), ("meta", META))):
-                t = t.append_column(f"p{k}", pa.array(sigmoid(logit(_unpacked(batch.column(name), n), sent.value[k])), pa.float64()))
-            yield from t.to_batches()
+            x = _both(batch)
+            for k, given in enumerate(sent.value.labels(x)):
+                total[k] += np.bincount(bins(logit(x[k], sent.value.w[k]))[given < 0], minlength=total.shape[1])
+        k, b = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(b), pa.array(total[k, b])], ["view", "bin", "n"])
+
+    rows = pool.mapInArrow(run, "view long, bin long, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).collect()
+    return [{r.bin: r.n for r in rows if r.view == k} for k in (0, 1)]
+
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in feats.schema)
-    return feats.mapInArrow(run, f"{fields}, p0 double, p1 double")
+def _lesson_sums(pool: DataFrame, views: Views, tasks: int) -> np.ndarray:
+    """``Views.lesson_sums`` over the whole pool: a row from each task, added up in a tree."""
+    sent = pool.sparkSession.sparkContext.broadcast(views)
+
+    def own(batches):
+        total = sum((sent.value.lesson_sums(_both(b)) for b in batches), start=np.zeros((TEXT + 1) * (TEXT + 2) + (META + 1) * (META + 2)))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    def merged(batches):
+        got = [np.frombuffer(x.as_py(), float) for b in batches for x in b.column("sums")]
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(got).tobytes()], pa.binary())], ["sums"])
+
+    out = pool.mapInArrow(own, "sums binary")
+    while tasks > SUMS:
+        tasks = int(np.ceil(np.sqrt(tasks)))
+        out = out.repartition(tasks).mapInArrow(merged, "sums binary")
+    return np.sum([np.frombuffer(bytes(r.sums), float) for r in out.collect()], axis=0)
+
+
+def co_train(feats: DataFrame, sample: DataFrame, rounds: int = ROUNDS) -> Views | None:
+    """Both views after all rounds, calibrated; None if a class lacks lessons."""
+    small = F.broadcast(sample)  # at most SAMPLE rows of three numbers
+    one = feats.join(small, "doc_id").groupBy("doc_id", "quality", "fold").agg(F.min(F.struct("text", "meta")).alias("x"))
+    rows = one.select("doc_id", "quality", "fold", "x.*").orderBy("doc_id").collect()
+    if {r.quality for r in rows} < {0, 1} or len({r.quality for r in rows if r.fold != 0}) < 2:
+        return None
+    views = Views(rows)
+    free = feats.join(small.select("doc_id"), "doc_id", "left_anti")
+    pool = storage.stage(free.select("text", "meta").distinct(), "quality-pool")
+    tasks = pool.rdd.getNumPartitions()
+    for _ in range(rounds):
+        views.close_round(_counts(pool, views))
+        for _ in range(STEPS):
+            views.step(_lesson_sums(pool, views, tasks))
+    views.calibrate()
+    return views
 
 
 def quality(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -199,33 +314,17 @@ def quality(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFra
     spark = docs.sparkSession
     feats = storage.stage(featurize(docs), "quality-features")
     sample = storage.stage(labelled_sample(labels), "quality-sample")
-    small = F.broadcast(sample)  # at most SAMPLE rows of three numbers
-    rows = feats.join(small, "doc_id").orderBy("doc_id", "text").collect()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    if {r.quality for r in rows} < {0, 1} or len({r.quality for r in rows if r.fold != 0}) < 2:
+    views = co_train(feats, sample, rounds)
+    if views is None:
         half = F.lit(0.5)
         return feats.select("doc_id", half.alias("p_text"), half.alias("p_meta"), half.alias("score"), F.lit(True).alias("kept"))
-    views = Views(rows)
-    free = feats.join(small.select("doc_id"), "doc_id", "left_anti")
-    for _ in range(rounds):
-        seen = _confidence(spark, free, views.w)
-        lessons = []
-        for k in (0, 1):
-            for label in (0, 1):
-                p = F.col(f"p{k}") if label else 1 - F.col(f"p{k}")
-                best = seen.where(p >= CONFIDENT).orderBy(p.desc(), F.xxhash64("doc_id"), "doc_id").select("text", "meta").limit(EXCHANGE)
-                lessons.append((1 - k, label, [bytes(r["meta" if k == 0 else "text"]) for r in best.collect()]))
-        for view, label, got in lessons:
-            if got:
-                views.teach(view, _unpacked(pa.array(got), (TEXT, META)[view]), label)
-        views.refit()
-    views.calibrate()
     views.x = views.y = views.check = None
     sent = spark.sparkContext.broadcast(views)
 
     def run(batches):
         for batch in batches:
-            p = sent.value.score(_unpacked(batch.column("text"), TEXT), _unpacked(batch.column("meta"), META))
+            p = sent.value.score(*_both(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, pa.float64()) for v in p)], ["doc_id", "p_text", "p_meta", "score"])
 
     out = feats.mapInArrow(run, f"doc_id {kind}, p_text double, p_meta double, score double")

@@ -1,10 +1,11 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chronolith.llm import quality_classifier as Q
+from chronolith.llm import quality_classifier as Q, storage
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string, quality string"
@@ -31,11 +32,88 @@ def test_fit_separates():
     assert ((Q.logit(x, Q.fit(x, y)) > 0) == y).mean() > 0.97
 
 
+def rank_labels(views, k, w, free, label):
+    """A view's most confident rows of a class, in bins of its logit, one after another."""
+    share = views["y"].mean() if label else 1 - views["y"].mean()
+    z = {i: int(np.floor((np.clip(views["pool"][k][i] @ w[:-1] + w[-1], -30, 30) + 30) * Q.FINE)) for i in free}
+    limit, got = Q.SHARE * share * len(free), []
+    for b in sorted(set(z.values()), reverse=bool(label)):
+        if (b >= 30 * Q.FINE) != bool(label):
+            break
+        rows = [i for i in free if z[i] == b]
+        if got and len(got) + len(rows) > limit:
+            break
+        got += rows
+    return got
+
+
+def test_rounds_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(Q, "SUMS", 1)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.union(docs.where("doc_id % 7 = 0"))  # copies are one lesson
+    feats = storage.stage(Q.featurize(docs.repartition(5)), "t")
+    sample = storage.stage(Q.labelled_sample(labels, 60), "t")
+    views = Q.co_train(feats, sample)
+    known = {r.doc_id: r for r in sample.collect()}
+    rows = feats.collect()
+    unpack = lambda r: [Q._unpacked(pa.array([bytes(r[k])]), n)[0].astype(float) for k, n in (("text", Q.TEXT), ("meta", Q.META))]
+    taught = {r.doc_id: unpack(r) for r in rows if r.doc_id in known}
+    ids = [d for d in sorted(taught) if known[d].fold != 0]
+    y = np.array([known[d].quality for d in ids], float)
+    own = [np.array([taught[d][k] for d in ids]) for k in (0, 1)]
+    pool = sorted({(bytes(r.text), bytes(r.meta)) for r in rows if r.doc_id not in known})
+    pool = [np.array([Q._unpacked(pa.array([p[k]]), n)[0] for p in pool], float) for k, n in enumerate((Q.TEXT, Q.META))]
+    case = {"y": y, "pool": pool}
+    w = [Q.fit(x, y) for x in own]
+    given = [{}, {}]
+    for turn in range(Q.ROUNDS):
+        for k in (0, 1):
+            free = [i for i in range(len(pool[0])) if i not in given[k]]
+            new = {i: label for label in (0, 1) for i in rank_labels(case, k, w[k], free, label)}
+            assert new and not new.keys() & given[k].keys()
+            assert [x["lessons"] for x in views.log if (x["round"], x["view"]) == (turn, k)] == [sum(v == c for v in new.values()) for c in (0, 1)]
+            given[k] |= new
+        for _ in range(Q.STEPS):
+            after = []
+            for k in (0, 1):
+                lessons = given[1 - k]
+                n = [max(1, sum(v == c for v in lessons.values())) for c in (0, 1)]
+                x = np.vstack([own[k], *(pool[k][i] for i in lessons)])
+                t = np.append(y, list(lessons.values()))
+                share = (1 - y.mean(), y.mean())
+                c = np.append(np.ones(len(y)), [Q.WEIGHT * len(y) * share[v] / n[v] for v in lessons.values()])
+                a = np.hstack([x, np.ones((len(x), 1))])
+                p = 1 / (1 + np.exp(-a @ w[k]))
+                ridge = np.append(np.full(a.shape[1] - 1, Q.RIDGE), 1e-6)
+                h = (a * (c * p * (1 - p))[:, None]).T @ a + np.diag(ridge)
+                after.append(w[k] - np.linalg.solve(h, a.T @ (c * (p - t)) + ridge * w[k]))
+            w = after
+    assert all(np.allclose(views.w[k], w[k], atol=1e-5) for k in (0, 1))
+    for k in (0, 1):
+        assert {x["label"] for x in views.log if x["view"] == k and x["lessons"]} == {0, 1}
+    held = [d for d in sorted(taught) if known[d].fold == 0]
+    z = [np.array([taught[d][k] @ w[k][:-1] + w[k][-1] for d in held]) for k in (0, 1)]
+    t = np.array([known[d].quality for d in held], float)
+    if len(set(t)) == 2:
+        platt = [Q.fit(v[:, None], t) for v in z]
+        mix = Q.fit(np.stack([v * p[0] + p[1] for v, p in zip(z, platt, strict=True)], 1), t)
+        assert np.allclose(views.mix, mix, atol=1e-3)
+    # a lesson is never given again: the labels of all rounds are those of the rounds before, and new ones
+    x = [v.astype(np.float32) for v in pool]
+    seen = np.full(len(x[0]), -1)
+    for n in range(1, Q.ROUNDS + 1):
+        part = Q.Views.__new__(Q.Views)
+        part.rounds = views.rounds[:n]
+        now = part.labels(x)[0]
+        assert (now[seen >= 0] == seen[seen >= 0]).all() and (now >= 0).sum() > (seen >= 0).sum()
+        seen = now
+
+
 def test_edges(spark):
     rows = [(i, ("good plain words here " if i % 2 else "### $$$ *** ") * (1 + i % 7), "en", None if i % 5 else "s", None, "", "", "") for i in range(60)]
     rows += [(900, None, None, None, None, "", "", ""), (901, "", None, "s", 0, "", "", ""), (902, "x" * 50000, "de", "s", 1, "", "", ""), (902, "x" * 50000, "de", "s", 1, "", "", ""), (None, "a", "", "", 1, "", "", "")]
     df = spark.createDataFrame(rows, DOCS)
-    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 0), (None, 1), (3, None)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 0), (None, 1), (3, None), (41, 2)], "doc_id long, quality int")
     out = Q.quality(df, labels).collect()
     assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
     by = {r.doc_id: r.score for r in out}
