@@ -7,7 +7,8 @@ an attachment becomes a numbered placeholder ``<|image_1|>`` and an entry in the
 
 The template is ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. Within texts and roles a
 backslash is doubled and ``<|`` is written ``<\\|``, so that no text can open, close or forge a turn
-or a placeholder; in roles a line feed is ``\\/``. Both are reversible. The loss mask covers the
+or a placeholder; a ``|`` that begins a text part is ``\\|`` where the part before it ends in ``<``. In roles
+a line feed is ``\\/``. All are reversible. The loss mask covers the
 texts of assistant turns, as code point spans of the output.
 
 Defined results: turns stand by number (null first), equal numbers by role, text and parts;
@@ -88,7 +89,10 @@ def format_conversation(turns: list[dict]) -> dict:
         begin = length
         for part in t["parts"] or []:
             got = v.visit(part or {}, length)
-            out.append(got)
+            if got[:1] == "|" and out[-1][-1] == "<":  # no mark is put together from two parts
+                got = "\\" + got
+            if got:
+                out.append(got)
             length += len(got)
         if role == "assistant":
             loss.append({"start": begin, "end": length})

@@ -8,7 +8,9 @@ shingle weighs 1 / (number of items that hold it), so what many items share coun
    the same. ``HammingIndex`` cuts fingerprints into blocks; two within ``RADIUS`` bits agree in some
    block to within RADIUS // blocks bits, and each block's table lists, for each value of the block, the
    items that near to it.
-   An item of fewer than ``K`` words matches only a document that is the same words.
+   An item of fewer than ``K`` words is one shingle, so only windows of the very same words reach the
+   threshold; those of ``LEAST`` words or more are looked up by hash in every document. Shorter ones
+   are ordinary words and match only a document that is the same words.
 2. A document's window, for an item of L words, is any L words in a row (all words of a shorter
    document). Windows that hold no shingle of any item have similarity 0 to all and aren't
    fingerprinted; that loses nothing.
@@ -46,6 +48,8 @@ K = 5
 THRESHOLD = 0.75
 BITS, BLOCKS, RADIUS = 256, 16, 71
 ITEMS = 4096
+#: Words of the shortest item that is looked for inside documents.
+LEAST = 3
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -137,6 +141,15 @@ class Items:
             for x in keys.tolist():
                 at.setdefault(x, []).append(i)
         self.sharers = {x: np.array(v) for x, v in at.items()}
+        #: Items of LEAST to K - 1 words: for each number of words their hashes in order, and who has each.
+        self.short: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
+        for size in range(LEAST, K):
+            own = {}
+            for i, b in enumerate(self.bags):
+                if self.lengths[i] == size:
+                    own.setdefault(next(iter(b)), []).append(i)
+            if own:
+                self.short[size] = np.array(sorted(own), np.uint64), [own[x] for x in sorted(own)]
         #: The others, by place in the index.
         self.alone = np.array([i for i in range(len(self.bags)) if i not in self.shared], np.int64)
         self.alone_sizes = {self.lengths[i] for i in self.alone.tolist()}
@@ -217,6 +230,21 @@ class Items:
             if self.lengths[i] == size:
                 self._verify(Counter(own[k : k + width].tolist()), i, lo + k, found)
 
+    def short_hits(self, h: np.ndarray, bounds: np.ndarray):
+        """(document, item, first word) of windows of a chunk's words (hashes, bounds by document) that are short
+        items; a document's first such window of an item comes first."""
+        for size, (known, holders) in self.short.items():
+            if len(h) < size:
+                continue
+            w = np.full(len(h) - size + 1, 0x1234567, np.uint64)
+            for j in range(size):  # as textops.shingles does for fewer than K words
+                w = mix(w * np.uint64(0xFF51AFD7ED558CCD) + h[j : len(h) - size + 1 + j])
+            at = np.minimum(np.searchsorted(known, w), len(known) - 1)
+            for k in np.flatnonzero(known[at] == w).tolist():
+                d = int(np.searchsorted(bounds, k, "right")) - 1
+                if k + size <= bounds[d + 1]:
+                    yield from ((d, i, k - int(bounds[d])) for i in holders[at[k]])
+
     @staticmethod
     def _windows(hits: np.ndarray, width: int, n: int) -> np.ndarray:
         """First shingles of the windows that hold a hit."""
@@ -273,11 +301,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
 
             for batch in batches:
                 items, rows, ids, sims, at = sent.value, [], [], [], []
-                for c, _, wb, sh, sb in word_shingles(batch.column("__text")):
+                for c, wh, wb, sh, sb in word_shingles(batch.column("__text")):
                     hits = items.hits(sh)
                     of = np.searchsorted(sb, hits, "right") - 1
-                    for d in np.unique(of).tolist():
-                        found = items.search(sh[sb[d] : sb[d + 1]], hits[of == d] - sb[d], int(wb[d + 1] - wb[d]))
+                    short: dict[int, dict[int, tuple[float, int]]] = {}
+                    for d, i, k in items.short_hits(wh, wb):
+                        short.setdefault(d, {}).setdefault(i, (1.0, k))
+                    for d in sorted(short.keys() | set(of.tolist())):
+                        found = items.search(sh[sb[d] : sb[d + 1]], hits[of == d] - sb[d], int(wb[d + 1] - wb[d])) | short.get(d, {})
                         for i, (j, k) in sorted(found.items()):
                             rows.append(c.first + d)
                             ids.append(items.ids[i])
@@ -301,7 +332,9 @@ def op2_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = contamination(docs, storage.read(spark, sf_dir, "benchmark"), keep=("doc_id",))
-    held = storage.stage(found.select(F.col("doc_id").alias("__d")).distinct(), "contaminated")
-    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("__d")), "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item. Rows are told apart by hashes of the whole row, so a clean row
+    stays whatever other rows share its doc_id, or its lack of one."""
+    keyed = storage.row_keyed(docs)
+    found = contamination(keyed, storage.read(spark, sf_dir, "benchmark"), keep=tuple(storage.ROW_KEY))
+    held = storage.stage(found.select(*storage.ROW_KEY).distinct(), "contaminated")
+    return keyed.join(held, storage.ROW_KEY, "left_anti").select(*docs.columns)

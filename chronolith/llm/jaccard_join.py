@@ -102,15 +102,15 @@ class _Fresh:
         return np.array(out, np.int64)
 
 
-def class_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, node (the class) and n (set size) of each document."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def class_rows(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, node (the class) and n (set size) of each document."""
+    fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
 
     def run(batches):
         for batch, c, x in _sets(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(c.first, c.n), pa.array(x.node), pa.array(x.size.astype(np.int64))], ["doc_id", "node", "n"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(c.first, c.n) for k in keep), pa.array(x.node), pa.array(x.size.astype(np.int64))], [*keep, "node", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n long")
+    return docs.select(*keep, "text").mapInArrow(run, f"{fields}, node long, n long")
 
 
 def frequent_shingles(docs: DataFrame, limit: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -480,20 +480,18 @@ def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one that names it; of repeated rows, one. Documents
-    without words are all kept, repeated rows of them as one."""
-    cols = docs.columns
-    kept = jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__d")).distinct()
-    kept = storage.stage(kept, "kept-documents")
-    # a doc_id can be on rows of several texts; the first by text and the rest of the row stays
-    # the kept ids grow with the corpus: the join shuffles, at any size
-    out = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
-    many = storage.stage(out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__d")), "repeated-ids")
-    if many.isEmpty():
-        return out.select(*cols)
-    twice = F.col("doc_id").eqNullSafe(F.col("__d"))
-    one = out.join(many, twice, "left_semi").dropDuplicates(["doc_id", "text"])
-    return out.join(many, twice, "left_anti").unionByName(one).select(*cols)
+    """One document of each component: the one of least doc_id (null last), of several with that id one.
+    Documents without words are all kept. Rows alike in all columns are one. Rows are told apart by hashes
+    of the whole row, so repeated or null ids neither lose a component nor leave a copy."""
+    cols, key = docs.columns, storage.ROW_KEY
+    keyed = storage.row_keyed(docs)
+    classes = storage.stage(class_rows(keyed, ("doc_id", *key)), "classes")
+    comps = link_classes(spark, docs, classes)
+    some = classes.where("n > 0").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    first = some.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *key)).alias("k"))
+    kept = storage.stage(first.select(*(f"k.{k}" for k in key)).union(classes.where("n = 0").select(*key).distinct()), "kept-documents")
+    # the kept keys grow with the corpus: the join shuffles, at any size; rows of a key then stand together
+    return keyed.join(kept.hint("merge"), key, "left_semi").dropDuplicates(key).select(*cols)
 
 
 OP7_SQL = r"""

@@ -252,15 +252,16 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     by shard, slot and place in the block. A piece that is the whole document keeps its text as it is;
     ``n_chars`` follows the text."""
     cols = docs.columns
-    keyed = docs.withColumn("__h", F.xxhash64(*cols)).withColumn("__g", F.xxhash64(F.lit(SEED), *cols[::-1]))
-    plan = plan_mix(keyed.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct("__h", "__g").alias("h")))
+    key = storage.ROW_KEY
+    keyed = storage.row_keyed(docs)
+    plan = plan_mix(keyed.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct(*key).alias("h")))
     taken = pieces(plan).join(slots(plan), ["sid", "block"])
     # rows alike in all columns are one text here; their pieces come in groups of 64 copies
     takes = taken.groupBy("h", F.floor(F.col("start") / (64 * F.col("size")))).agg(F.collect_list(F.struct("shard", "slot", "start", "from", "n", "size")).alias("__takes"))
-    takes = takes.select(F.col("h.__h").alias("__h"), F.col("h.__g").alias("__g"), "__takes")
-    one = keyed.dropDuplicates(["__h", "__g"])
+    takes = takes.select(*(F.col(f"h.{k}").alias(k) for k in key), "__takes")
+    one = keyed.dropDuplicates(key)
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    j = one.join(takes, ["__h", "__g"])
+    j = one.join(takes.hint("merge"), key)
     whole = lambda t: t["n"] == t["size"]
     j = j.withColumn("__w", F.when(F.exists("__takes", lambda t: ~whole(t)), words)).withColumn("__t", F.explode("__takes")).drop("__takes")
     part = F.array_join(F.slice(F.col("__w"), (F.col("__t.from") + 1).cast("int"), F.col("__t.n").cast("int")), "")
@@ -270,7 +271,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     shards = -(-plan.slots // SHARD)
     parts = max(1, min(shards, max(docs.sparkSession.sparkContext.defaultParallelism, plan.slots * plan.block // PART_WORDS)))
     j = j.repartitionById(parts, F.floor(F.col("__t.shard") * parts / max(1, shards)).cast("int"))
-    return j.sortWithinPartitions("__t.shard", "__t.slot", F.col("__t.start") + F.col("__t.from"), "__h").select(*cols)
+    return j.sortWithinPartitions("__t.shard", "__t.slot", F.col("__t.start") + F.col("__t.from"), key[0]).select(*cols)
 
 
 def op9_mix_sources(spark, sf_dir: str) -> DataFrame:

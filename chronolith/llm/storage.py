@@ -1,17 +1,19 @@
 """Durable intermediate tables in the folder that all executors share.
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir``; a lost executor then costs a
-re-read, not a recomputation. Only where that setting is absent (tests on one machine) a local
-temporary folder takes its place.
+re-read, not a recomputation. Only where that setting is absent and the master is local (tests on one
+machine) a temporary folder takes its place; elsewhere its absence is an error. Intermediate tables that
+aren't dropped earlier are deleted when the session's file system is closed; products are not.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _LOCAL: list[str] = []
 
@@ -20,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder as a URI, without a trailing slash."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _LOCAL:
             _LOCAL.append("file://" + tempfile.mkdtemp(prefix="chronolith-"))
         found = _LOCAL[0]
@@ -34,6 +38,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the frame that reads it."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    p, fs = _hadoop(spark, path)
+    fs.deleteOnExit(p)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
@@ -45,10 +51,29 @@ def drop(df: DataFrame) -> None:
     remove(df.sparkSession, df.staged_path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p, fs = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+#: Columns that :func:`row_keyed` adds.
+ROW_KEY = ["__row_key_a", "__row_key_b"]
+
+
+def row_keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with two 64-bit hashes of the whole row. Rows alike in all columns share them; among 10**12
+    others some two do with odds of 10**-15. Maps, which have no hash, are left out."""
+    cols = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    return docs.withColumns({ROW_KEY[0]: F.xxhash64(*map(_quoted, cols)), ROW_KEY[1]: F.xxhash64(F.lit(5), *map(_quoted, cols[::-1]))})
+
+
+def _quoted(name: str):
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,11 +81,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def local_or_remote(uri: str):
-    """A pyarrow filesystem and the path in it; any scheme that pyarrow knows, or a plain path."""
+    """A pyarrow filesystem and the path in it; any scheme that pyarrow knows (Hadoop's names of s3 too), or a
+    plain path."""
     from pyarrow import fs
 
     if "://" not in uri and not uri.startswith("file:"):
         return fs.LocalFileSystem(), uri
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), os.path.normpath("/" + uri[5:].lstrip("/"))
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))

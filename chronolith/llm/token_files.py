@@ -13,6 +13,11 @@ into sequences of ``SEQ`` ids. Each range of documents becomes one folder with
 ``manifest`` (Parquet) lists the folders with their numbers of documents and ids; places in the
 whole corpus follow from the sums of earlier folders.
 
+Documents are encoded as the library does with the file's own settings: a string of an added token in a
+text gives that token's id. Where the file splits text like byte-level BPE with its usual pattern and has no
+normalizer, texts are cut where its pattern always cuts, and each distinct piece is encoded once; texts
+with an added token, and all texts for other files, are encoded whole.
+
 A task writes to a name of its own attempt and renames it when complete, so a lost executor or a
 second attempt leaves nothing half written in the manifest. Folders hold ranges of documents, so no
 task holds more than one range.
@@ -24,13 +29,16 @@ manifest without rows and no documents.
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 import zlib
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from . import storage
 from .textops import Chunk, chunks, positions, span_hash
@@ -39,8 +47,9 @@ SEQ = 2048
 BATCH = 256
 END_ID = 0
 VOCAB = "byte_bpe_50k.json"
-#: Target bytes of text in a folder.
-RANGE_BYTES = 24 << 20
+#: Bytes of text in a folder: at most some ``RANGE_BYTES``, and less where that leaves a cluster's cores
+#: without work, but no less than ``LEAST_RANGE``.
+RANGE_BYTES, LEAST_RANGE = 1 << 30, 16 << 20
 #: Pieces of text that a worker remembers with their ids (some 50 bytes each); it starts afresh beyond.
 REMEMBERED = 3_000_000
 
@@ -100,9 +109,29 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        told = json.loads(self.tok.to_str())
+        how = told.get("pre_tokenizer") or {}
+        usual = how.get("type") == "ByteLevel" and how.get("use_regex", True) and not how.get("add_prefix_space")
+        self.cuts = usual and not told.get("normalizer") and not told.get("truncation") and not told.get("post_processor")
+        self.added = [t["content"].encode() for t in told.get("added_tokens") or []]
         self.clear()
 
+    def pieces(self, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces that are encoded apart; a whole text where it can't be cut."""
+        whole = np.arange(c.n)
+        if self.cuts:
+            raw = c.data.tobytes()
+            hits = [m.start() for t in self.added for m in re.finditer(re.escape(t), raw)]
+            whole = np.unique(np.searchsorted(c.offsets, hits, "right") - 1)
+            if not len(whole):
+                return pieces(c)
+        s, e, b = pieces(c)
+        kept = np.ones(len(s), bool)
+        for d in whole.tolist():
+            kept[b[d] + 1 : b[d + 1]] = False
+        starts = s[kept]
+        return starts, np.append(starts[1:], len(c.data)), np.searchsorted(starts, c.offsets)
+
     def clear(self) -> None:
         self.keys = np.empty(0, np.uint64)
         self.start = self.count = np.empty(0, np.int64)
@@ -130,7 +159,7 @@ class Encoder:
         """All ids of the chunk's texts, one after another, and the number of ids of each text."""
         if len(self.keys) > REMEMBERED:
             self.clear()
-        s, e, bounds = pieces(c)
+        s, e, bounds = self.pieces(c)
         h = span_hash(c.data, s, e)
         if not len(h):
             return np.empty(0, np.uint32), np.zeros(c.n, np.int64)
@@ -212,15 +241,17 @@ class _Writer:
         return self.name, self.n_docs, self.total
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, seq: int = SEQ, batch: int = BATCH, end_id: int = END_ID, key: str = "doc_id") -> DataFrame:
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, seq: int = SEQ, batch: int = BATCH, end_id: int = END_ID, key: str = "doc_id", order: tuple[Column | str, ...] = ()) -> DataFrame:
     """Write the files of ``docs`` below ``path`` and return the manifest: ``part``, ``folder``,
-    ``n_docs`` and ``n_ids``, a row for each folder in document order."""
+    ``n_docs`` and ``n_ids``, a row for each folder in document order: that of ``order``, if given, else
+    that of ``key``."""
     spark = docs.sparkSession
-    narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    first = [F.col(c).alias(f"o{i}") if isinstance(c, str) else c.alias(f"o{i}") for i, c in enumerate(order)]
+    narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *first)
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(spark.sparkContext.defaultParallelism, -(-size // RANGE_BYTES))
-    order = ["doc_id", F.xxhash64("text")]
-    ranged = narrow.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    parts = max(1, -(-size // RANGE_BYTES), min(-(-size // LEAST_RANGE), 4 * spark.sparkContext.defaultParallelism))
+    by = [*(f"o{i}" for i in range(len(order))), "doc_id", F.xxhash64("text")]
+    ranged = narrow.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("doc_id", "text")
 
     def run(batches):
         from pyspark import TaskContext
@@ -305,10 +336,13 @@ def read_back(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Write ``docs`` below the shared folder and read every document back."""
-    path = storage.new_path(spark, "token-files")
-    return read_back(spark, path, write(docs, path, tokenizer))
+def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, path: str | None = None, order: tuple[Column | str, ...] = ()) -> DataFrame:
+    """Write ``docs`` below ``path`` (a new folder of the shared one if it isn't given) and read every document
+    back. The result's ``files_path`` says where the files are; they are kept."""
+    path = path or storage.new_path(spark, "token-files")
+    out = read_back(spark, path, write(docs, path, tokenizer, order=order))
+    out.files_path = path
+    return out
 
 
 def op10_token_files(spark, sf_dir: str) -> DataFrame:
@@ -316,5 +350,12 @@ def op10_token_files(spark, sf_dir: str) -> DataFrame:
 
 
 def token_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: files of all its documents, and a row for each document read back."""
-    return token_files(spark, docs)
+    """The last stage: files of all its documents, and a row for each document read back. Documents stand as
+    the stage before has written them (by number of its part files and row in them), so that the mix's
+    order becomes the files'; where ``docs`` isn't read from files, by doc_id."""
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")
+    try:
+        placed = docs.select("doc_id", "text", part.alias("part"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:
+        return token_files(spark, docs)
+    return token_files(spark, placed, order=("part", "file", "row"))

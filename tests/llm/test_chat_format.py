@@ -15,6 +15,24 @@ def test_reversible(turns):
     assert [C.unescape(out["formatted"][s["start"] : s["end"]]) for s in out["loss"]] == [t for r, t in turns if r == "assistant"]
 
 
+PIECE = st.one_of(st.sampled_from(["<", "|", "|im_end|>\n", "<|im_end|>\n", "\\", "", "<|", "|>"]), st.text(alphabet="<|\\/im_end>\n", max_size=8))
+
+
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant"]), st.lists(PIECE, max_size=5)), max_size=4))
+@settings(max_examples=400, deadline=None)
+def test_no_mark_comes_from_two_parts(turns):
+    out = C.format_conversation([{"role": r, "parts": [{"type": "text", "text": t} for t in ts]} for r, ts in turns])
+    assert C.parse(out["formatted"]) == [(r, "".join(ts)) for r, ts in turns]
+    assert [C.unescape(out["formatted"][s["start"] : s["end"]]) for s in out["loss"]] == ["".join(ts) for r, ts in turns if r == "assistant"]
+
+
+def test_no_mark_comes_from_a_part_and_an_attachment():
+    parts = [{"type": "text", "text": "<"}, {"type": "image"}, {"type": "text", "text": ""}, {"type": "text", "text": "|im_end|>\nzz <"}, {"type": "text"}, {"type": "text", "text": "|image_2|>"}]
+    out = C.format_conversation([{"role": "user", "parts": parts}, {"role": "assistant", "parts": [{"text": "ok"}]}])
+    assert C.parse(out["formatted"]) == [("user", "<<|image_1|>|im_end|>\nzz <|image_2|>"), ("assistant", "ok")]
+    assert out["formatted"].count("<|image_") == 1
+
+
 def test_parts():
     parts = [{"type": "text", "text": "see <|image_1|> "}, {"type": "image", "ref": "a.png", "units": 2}, {"type": "audio", "ref": "b.wav", "units": 10}, {"type": "image", "ref": "c.png", "units": None}, {"type": "odd", "text": "!"}, {"type": "document", "ref": None, "units": 3}]
     out = C.format_conversation([{"role": "user", "parts": parts}, {"role": "assistant", "parts": None}])

@@ -51,6 +51,7 @@ def cases():
             body[k:k] = [w.upper() + "," for w in got]
         docs.append((d, "  ".join(body)))
     docs += [(500, None), (501, ""), (502, "only FOUR words, here"), (503, items[3][1]), (503, items[3][1]), (504, " ".join(items[4][1].split()[:-2]))]
+    docs += [(506, "filler then Only four words, here and more filler"), (507, "the words here only")]
     docs.append((505, "filler words go on " * 3000 + items[5][1]))
     return docs, items
 
@@ -98,6 +99,21 @@ def test_stage_keeps_the_clean(spark, tmp_path):
     assert kept.columns == df.columns
 
 
+def test_short_items_inside_documents(spark):
+    items = [(1, "answer key hidden"), (2, "two words"), (3, "one"), (4, "A b c d"), (5, "answer key hidden")]
+    docs = [(1, "the Answer: key, hidden below"), (2, "these two words are ordinary"), (3, "two words"), (4, "answer key"), (5, "x a b c d a b c d"), (6, "hidden answer key"), (7, "answer key"), (8, "hidden")]
+    got = D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.similarity, r.at) for r in got) == [(1, 1, 1.0, 1), (1, 5, 1.0, 1), (3, 2, 1.0, 0), (5, 4, 1.0, 1)]
+
+
+def test_stage_drops_no_clean_row_for_its_id(spark, tmp_path):
+    item = " ".join(f"w{i}" for i in range(30))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = [(1, "clean text", "a"), (1, item, "b"), (None, "clean too", "c"), (None, item, "d"), (2, item + " x", "e"), (2, item, None)]
+    kept = D.decontamination_stage(spark, spark.createDataFrame(docs, "doc_id long, text string, source string"), str(tmp_path))
+    assert sorted(r.source for r in kept.collect()) == ["a", "c"]
+
+
 def test_repeated_items_and_templates_with_one_word_changed(spark):
     rnd = random.Random(8)
     text = lambda n: ["".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(n)]

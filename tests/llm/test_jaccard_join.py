@@ -93,3 +93,13 @@ def test_places_lose_no_link():
                 i, j = int(np.searchsorted(s, both[k - 1])), int(np.searchsorted(t, both[k - 1]))
                 assert i < len(s) - J.need(len(s)) + k and j < len(t) - J.need(len(t)) + k
                 assert J.possible(len(s), i - k + 1, len(t), j - k + 1)
+
+
+def test_stage_tells_rows_with_one_id_apart(spark):
+    t, u = "one two three four five six seven", "other words stand here in this other text"
+    v, w = "again a text of its own with words", "the last of all these texts is this one"
+    rows = [(3, t, "a"), (7, t, "b"), (7, u, "c"), (5, v, "d"), (None, v, "e"), (None, w, "f"), (None, w, "f"), (8, "", "g"), (8, "", "g"), (9, None, "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = J.jaccard_stage(spark, df, "")
+    assert out.columns == df.columns and sorted(r.source for r in out.collect()) == ["a", "c", "d", "f", "g", "h"]
+    assert J.jaccard_stage(spark, df.where("false"), "").collect() == []

@@ -107,3 +107,16 @@ def test_stage_rejects_junk_and_unlearned_languages(spark):
     more = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(bad)], "doc_id long, text string, lang string").select(*[F.col(f.name).cast(f.dataType) for f in docs.schema])
     kept = {r.doc_id for r in L.language_stage(spark, docs.unionByName(more), "").select("doc_id").collect()}
     assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_each_task_limits_its_ngrams(spark, capsys):
+    """The rows of a language don't meet in one task: Spark keeps each task's first ones."""
+    plan = []
+    frame = type(spark.range(0))
+    keep = frame.toPandas
+    try:
+        frame.toPandas = lambda self: (plan.append(self._jdf.queryExecution().toString()), keep(self))[1]
+        L.train(spark.createDataFrame([("ab cd", "x")], "text string, lang string"))
+    finally:
+        frame.toPandas = keep
+    assert "WindowGroupLimit" in plan[0]

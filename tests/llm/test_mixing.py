@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from chronolith.llm import mixing as M
+from chronolith.llm import mixing as M, storage
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, block string"
 
@@ -194,8 +194,8 @@ def test_mixed_documents_stand_by_slot(spark, tmp_path):
     M.mixed_documents(df).write.parquet(path)
     at = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
     words = [w for r in spark.read.parquet(path).select("text", at.alias("f"), F.col("_metadata.row_index").alias("r")).orderBy("f", "r").collect() for w in r.text.split()]
-    keyed = df.withColumn("a", F.xxhash64(*df.columns)).withColumn("b", F.xxhash64(F.lit(M.SEED), *df.columns[::-1]))
-    plan = M.plan_mix(keyed.select("doc_id", "source", M.n_words(F.col("text")).alias("size"), F.struct("a", "b").alias("h")))
+    keyed = storage.row_keyed(df)
+    plan = M.plan_mix(keyed.select("doc_id", "source", M.n_words(F.col("text")).alias("size"), F.struct(*storage.ROW_KEY).alias("h")))
     held = {}
     for r in M.pieces(plan).collect():
         held.setdefault((r.sid, r.block), []).append((r.start + r["from"], [f"{r.doc_id}.{r['from'] + j}" for j in range(r.n)]))

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
+from tokenizers import Tokenizer
 
 from chronolith.llm import storage, token_files as T
 from chronolith.llm.textops import chunks
@@ -17,7 +18,7 @@ TEXTS = [
 
 
 def want(rows):
-    tok = T.Encoder(T.default_tokenizer()).tok
+    tok = Tokenizer.from_file(T.default_tokenizer())
     out, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0], r[1] or "")):
         ids = tok.encode(text or "", add_special_tokens=False).ids + [0]
@@ -67,12 +68,37 @@ def test_forgets(monkeypatch):
         assert list(ids) == e.tok.encode(text).ids and n[0] == len(ids)
 
 
-ENC = T.Encoder(T.default_tokenizer())
+ENC, PLAIN = T.Encoder(T.default_tokenizer()), Tokenizer.from_file(T.default_tokenizer())
+
+
+def test_added_tokens_keep_their_ids():
+    texts = ["<|endoftext|> is text", "plain, text", "a<|endoftext|><|endoftext|>b c", "", "x <|endoftext|"]
+    ids, n = ENC.encode(one(texts))
+    assert [list(x) for x in np.split(ids, np.cumsum(n)[:-1])] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids[0] == 50256
+
+
+def test_other_pre_tokenizers_get_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc, tok = T.Encoder(path), Tokenizer.from_file(path)
+    texts = ["Hello, World's  end.\nNew line", "", "a.b,c 12 <|endoftext|> x"]
+    ids, n = enc.encode(one(texts))
+    assert not enc.cuts and [list(x) for x in np.split(ids, np.cumsum(n)[:-1])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_stage_keeps_the_order_of_its_files(spark, tmp_path):
+    rows = [(i * 7 % 50, f"text number {i}", 0, "") for i in range(50)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "docs"))
+    got = T.token_stage(spark, spark.read.parquet(str(tmp_path / "docs")), "")
+    assert [r.doc_id for r in got.orderBy("start").collect()] == [r[0] for r in rows]
+    assert got.files_path and [r.doc_id for r in T.token_stage(spark, spark.createDataFrame(rows, SCHEMA), "").orderBy("start").collect()] == sorted(r[0] for r in rows)
 
 
 @given(st.lists(st.text(alphabet=" \n\t.,'!ab1é日\u00a0\u2003\x1c\x85\r_sSt<|", max_size=25), min_size=1, max_size=8))
 @settings(max_examples=400, deadline=None)
 def test_same_ids_as_the_library(texts):
     ids, n = ENC.encode(one(texts))
-    want = [x.ids for x in ENC.tok.encode_batch(texts, add_special_tokens=False)]
+    want = [x.ids for x in PLAIN.encode_batch(texts, add_special_tokens=False)]
     assert [list(x) for x in np.split(ids, np.cumsum(n)[:-1])] == want
