@@ -34,6 +34,8 @@ has no labelled document, there is nothing to learn: every score is 0.5 and ever
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -184,6 +186,8 @@ class Views:
         self.check = [v[held] for v in x], y[held]
         self.x, self.y = [v[~held] for v in x], y[~held]
         self.w = [fit(v, self.y) for v in self.x]
+        #: Weight of all lessons of each class.
+        self.weight = WEIGHT * len(self.y) * np.array([1 - self.y.mean(), self.y.mean()])
         #: For each round the weights of both views, and for each view its highest bin of 0 and its lowest of 1.
         self.rounds: list[tuple[list[np.ndarray], list[tuple[int, int]]]] = []
         #: For each view its lessons of 0 and 1 so far, and for each round what was new.
@@ -208,6 +212,12 @@ class Views:
             cuts.append((limits[0], limits[1]))
         self.rounds.append((self.w, cuts))
 
+    def bare(self) -> Views:
+        """What executors need: all but the labelled rows."""
+        out = copy.copy(self)
+        out.x = out.y = out.check = None
+        return out
+
     def labels(self, x: list[np.ndarray]) -> list[np.ndarray]:
         """The label that each view has given each row in some round, or -1."""
         out = [np.full(len(x[0]), -1), np.full(len(x[0]), -1)]
@@ -222,9 +232,8 @@ class Views:
         given, out = self.labels(x), []
         for k in (0, 1):
             label, n = given[1 - k], np.maximum(1, self.given[1 - k])
-            share = np.array([1 - self.y.mean(), self.y.mean()])
             some = label >= 0
-            c = (WEIGHT * len(self.y) * share / n)[label[some]]
+            c = (self.weight / n)[label[some]]
             out.append(newton_sums(x[k][some], label[some].astype(float), c, self.w[k]))
         return np.concatenate(out)
 
@@ -255,7 +264,7 @@ def _both(batch) -> list[np.ndarray]:
 
 def _counts(pool: DataFrame, views: Views) -> list[dict[int, int]]:
     """For each view, the number of documents that it hasn't labelled by bin of its present logit."""
-    sent = pool.sparkSession.sparkContext.broadcast(views)
+    sent = pool.sparkSession.sparkContext.broadcast(views.bare())
 
     def run(batches):
         total = np.zeros((2, 2 * BOUND * FINE + 1), np.int64)
@@ -267,12 +276,13 @@ def _counts(pool: DataFrame, views: Views) -> list[dict[int, int]]:
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(b), pa.array(total[k, b])], ["view", "bin", "n"])
 
     rows = pool.mapInArrow(run, "view long, bin long, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).collect()
+    sent.destroy()
     return [{r.bin: r.n for r in rows if r.view == k} for k in (0, 1)]
 
 
 def _lesson_sums(pool: DataFrame, views: Views, tasks: int) -> np.ndarray:
     """``Views.lesson_sums`` over the whole pool: a row from each task, added up in a tree."""
-    sent = pool.sparkSession.sparkContext.broadcast(views)
+    sent = pool.sparkSession.sparkContext.broadcast(views.bare())
 
     def own(batches):
         total = sum((sent.value.lesson_sums(_both(b)) for b in batches), start=np.zeros((TEXT + 1) * (TEXT + 2) + (META + 1) * (META + 2)))
@@ -287,7 +297,9 @@ def _lesson_sums(pool: DataFrame, views: Views, tasks: int) -> np.ndarray:
     while tasks > SUMS:
         tasks = int(np.ceil(np.sqrt(tasks)))
         out = out.repartition(tasks).mapInArrow(merged, "sums binary")
-    return np.sum([np.frombuffer(bytes(r.sums), float) for r in out.collect()], axis=0)
+    total = np.sum([np.frombuffer(bytes(r.sums), float) for r in out.collect()], axis=0)
+    sent.destroy()
+    return total
 
 
 def co_train(feats: DataFrame, sample: DataFrame, rounds: int = ROUNDS) -> Views | None:
@@ -319,8 +331,7 @@ def quality(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFra
     if views is None:
         half = F.lit(0.5)
         return feats.select("doc_id", half.alias("p_text"), half.alias("p_meta"), half.alias("score"), F.lit(True).alias("kept"))
-    views.x = views.y = views.check = None
-    sent = spark.sparkContext.broadcast(views)
+    sent = spark.sparkContext.broadcast(views.bare())
 
     def run(batches):
         for batch in batches:
