@@ -9,11 +9,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.scalars import brier, log_loss
 
 
+#: Seasons that expanding folds are made for; each row is in one fold for each later season.
+MAX_SEASONS = 500
+
+
 def season_folds(df: DataFrame, year: str, date: str, available: str) -> DataFrame:
     """(fold, part, row) membership: test is a season; calibration the season before, training all
     earlier ones, both only with rows available before the part that follows begins. Folds are a row
     for each season, so the join's small side is bounded by the number of seasons."""
     starts = df.groupBy(year).agg(F.min(date).alias("__start"))
+    if starts.count() > MAX_SEASONS:
+        raise ValueError(f"more than {MAX_SEASONS} seasons: expanding folds would repeat each row as often")
     f = starts.select(F.col(year).alias("fold"), F.col("__start").alias("test_start"))
     c = starts.select((F.col(year) + 1).alias("fold"), F.col("__start").alias("calib_start"))
     folds = f.join(c, "fold")
@@ -113,10 +119,11 @@ def paired_bootstrap(df: DataFrame, day: str, diff: str, replicates: int = 200,
 
 
 def mcnemar(df: DataFrame, a: Column, b: Column) -> DataFrame:
-    """Discordant counts and the normal two-sided test with continuity correction."""
-    from ..functions.scalars import normal_cdf
-
-    c = df.agg(F.count_if(a & ~b).alias("only_a"), F.count_if(~a & b).alias("only_b"))
-    n = F.col("only_a") + F.col("only_b")
-    z = F.greatest(F.lit(0.0), F.abs(F.col("only_a") - F.col("only_b")) - 1) / F.sqrt(n.cast("double"))
-    return c.withColumn("p", F.when(n > 0, 2 * (1 - normal_cdf(z))).otherwise(1.0))
+    """Discordant counts and the exact two-sided test: twice the binomial tail at even odds, 1 at most. The
+    driver gets two counts; the tail is summed from logarithms."""
+    from math import exp, lgamma, log
+
+    na, nb = df.agg(F.count_if(a & ~b), F.count_if(~a & b)).first()
+    n = na + nb
+    tail = sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * log(2)) for k in range(min(na, nb) + 1))
+    return df.sparkSession.createDataFrame([(na, nb, min(1.0, 2 * tail) if n else 1.0)], "only_a long, only_b long, p double")

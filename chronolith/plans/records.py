@@ -172,10 +172,10 @@ def calibrator_selection(spark, sf):
 
 @query(
     "asset_history",
-    """WITH r AS (SELECT l_suppkey, l_returnflag, l_orderkey, l_partkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q FROM lineitem WHERE l_orderkey % 10 = 0), d AS (SELECT DISTINCT * FROM r) SELECT l_suppkey, l_returnflag, l_orderkey, l_partkey, l_linenumber, q, avg(q) OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_orderkey, l_partkey, l_linenumber, q ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS mean_20 FROM d""",
+    """WITH r AS (SELECT l_suppkey, l_returnflag, l_orderkey, l_partkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q FROM lineitem), d AS (SELECT DISTINCT * FROM r) SELECT l_suppkey, l_returnflag, l_orderkey, l_partkey, l_linenumber, q, avg(q) OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_orderkey, l_partkey, l_linenumber, q ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS mean_20 FROM d""",
 )
 def asset_history(spark, sf):
     cols = ["l_suppkey", "l_returnflag", "l_orderkey", "l_partkey", "l_linenumber"]
-    d = table(spark, sf, "lineitem").where("l_orderkey % 10 = 0").select(*cols, F.col("l_quantity").cast("long").alias("q")).distinct()
+    d = table(spark, sf, "lineitem").select(*cols, F.col("l_quantity").cast("long").alias("q")).distinct()
     w = Window.partitionBy("l_suppkey", "l_returnflag").orderBy("l_orderkey", "l_partkey", "l_linenumber", "q").rowsBetween(-20, -1)
     return d.withColumn("mean_20", F.avg("q").over(w))

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import aggregates, composites, features, folds, joins, records, scalars, sets, streams, validation, windows  # noqa: F401
+    from . import aggregates, composites, features, folds, joins, models, records, scalars, sets, stores, streams, validation, windows  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

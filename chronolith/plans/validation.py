@@ -31,13 +31,13 @@ def walk_forward_blocks(spark, sf):
     return V.walk_forward(events(spark, sf).withColumn("period", period), "period", gap=1)
 
 
-MODELS = f"SELECT doc_id % 20 AS period, y, (doc_id % 89 + 5) / 99.0 AS m1, CASE WHEN y = 1 THEN 0.5 + (doc_id % 40) / 100.0 ELSE 0.6 - (doc_id % 40) / 100.0 END AS m2, 0.5 AS m3, doc_id FROM ({PRED})"
+MODELS = f"SELECT doc_id % 20 AS period, y, (doc_id % 89 + 5) / 99.0 AS m1, CASE WHEN y = 1 THEN 0.5 + (doc_id % 40) / 100.0 ELSE 0.6 - (doc_id % 40) / 100.0 END AS m2, 0.5 AS m3, doc_id, p FROM ({PRED})"
 
 
 def models(spark, sf):
     i = F.col("doc_id")
     m2 = F.when(F.col("y") == 1, 0.5 + (i % 40) / 100.0).otherwise(0.6 - (i % 40) / 100.0)
-    return predictions(spark, sf).select("doc_id", (i % 20).alias("period"), "y", ((i % 89 + 5) / 99.0).alias("m1"), m2.alias("m2"), F.lit(0.5).alias("m3"))
+    return predictions(spark, sf).select("doc_id", "p", (i % 20).alias("period"), "y", ((i % 89 + 5) / 99.0).alias("m1"), m2.alias("m2"), F.lit(0.5).alias("m3"))
 
 
 LOSS = "-(y * ln({0}) + (1 - y) * ln(1 - {0}))"
@@ -55,12 +55,12 @@ def causal_policy(spark, sf):
 
 @query(
     "promotion_gate",
-    f"""WITH m AS ({MODELS}), g AS (SELECT count(*) AS n, avg({LOSS.format("m1")}) AS lo, avg({LOSS.format("m2")}) AS ln_, avg((m1 - y) * (m1 - y)) AS bo, avg((m2 - y) * (m2 - y)) AS bn FROM m WHERE doc_id % 2 = 0)
+    f"""WITH m AS ({MODELS}), g AS (SELECT count(*) AS n, avg({LOSS.format("m1")}) AS lo, avg({LOSS.format("m2")}) AS ln_, avg((m1 - y) * (m1 - y)) AS bo, avg((m2 - y) * (m2 - y)) AS bn FROM m WHERE p IS NOT NULL)
 SELECT n, round(lo, 6) AS log_loss_old, round(ln_, 6) AS log_loss_new, round(bo, 6) AS brier_old, round(bn, 6) AS brier_new, CAST(n >= 100 AND ln_ < lo AND bn <= bo AS INT) AS promoted FROM g""",
 )
 def promotion_gate(spark, sf):
     m = models(spark, sf)
-    return V.gate(m.withColumn("p", F.col("m1")), m.where("doc_id % 2 = 0").withColumn("p", F.col("m2")), "doc_id", "y", "p")
+    return V.gate(m.withColumn("p", F.col("m1")), m.where("p IS NOT NULL").withColumn("p", F.col("m2")), "doc_id", "y", "p")
 
 
 @query("retrain_trigger", "SELECT event_type, count(*) FILTER (CAST(ts AS DATE) > DATE '2024-01-20') AS fresh, CAST(count(*) FILTER (CAST(ts AS DATE) > DATE '2024-01-20') >= 100 AS INT) AS retrain FROM events GROUP BY 1")
@@ -85,7 +85,12 @@ def paired_bootstrap(spark, sf):
     return V.paired_bootstrap(d, "period", "diff")
 
 
-@query("mcnemar", f"WITH m AS ({MODELS}) SELECT count(*) FILTER (((m1 >= 0.5) = (y = 1)) AND NOT ((m2 >= 0.5) = (y = 1))) AS only_a, count(*) FILTER (NOT ((m1 >= 0.5) = (y = 1)) AND ((m2 >= 0.5) = (y = 1))) AS only_b FROM m")
+@query(
+    "mcnemar",
+    f"""WITH m AS ({MODELS}), c AS (SELECT count(*) FILTER (((m1 >= 0.5) = (y = 1)) AND NOT ((m2 >= 0.5) = (y = 1))) AS only_a, count(*) FILTER (NOT ((m1 >= 0.5) = (y = 1)) AND ((m2 >= 0.5) = (y = 1))) AS only_b FROM m),
+t AS (SELECT only_a, only_b, unnest(range(0, least(only_a, only_b) + 1)) AS k FROM c)
+SELECT only_a, only_b, round(least(1.0, 2 * sum(exp(lgamma(only_a + only_b + 1) - lgamma(k + 1) - lgamma(only_a + only_b - k + 1) - (only_a + only_b) * ln(2)))), 6) AS p FROM t GROUP BY 1, 2""",
+)
 def mcnemar(spark, sf):
     right = lambda c: (F.col(c) >= 0.5) == (F.col("y") == 1)
-    return V.mcnemar(models(spark, sf), right("m1"), right("m2")).select("only_a", "only_b")
+    return V.mcnemar(models(spark, sf), right("m1"), right("m2")).withColumn("p", F.round("p", 6))

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is set."""
+    """The cluster's shared folder; a local one only where none is set and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (found or "file://" + tempfile.mkdtemp(prefix="chronolith-")).rstrip("/")
 
 
@@ -26,18 +28,22 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
 
 
-def run(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a streaming frame over all input into a Parquet sink with a checkpoint; read the sink.
-    Updates and complete results are written by batch, the last batch's rows standing."""
+def run(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Run a streaming frame over all input with a checkpoint, and read its sink. Without ``keys`` in append
+    mode: rows that are final. With ``keys`` in update mode, for aggregates whose windows needn't close
+    before input ends: each batch appends the groups that it changed with its number, and the latest row of
+    a group stands. State is bounded by the watermark either way."""
     spark = df.sparkSession
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
-    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", f"{base}/out").start()
-    else:
-        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/out")).start()
-    query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{base}/out")
+    writer = df.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    if keys is None:
+        writer.outputMode("append").format("parquet").option("path", f"{base}/out").start().awaitTermination()
+        return spark.read.schema(df.schema).parquet(f"{base}/out")
+    # a batch that is run again after a failure writes over its own folder
+    writer.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}")).start().awaitTermination()
+    rows = spark.read.schema(df.schema.add("batch", "long")).parquet(f"{base}/out")
+    rest = [c for c in df.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__last")).select(*keys, "__last.*").select(*df.columns)
 
 
 def tumbling(df: DataFrame, time: str, every: str, late: str, keys: list[str], *aggs) -> DataFrame:
