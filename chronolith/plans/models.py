@@ -204,13 +204,13 @@ def calibration_input(spark, sf):
 
 @query(
     "failure_frame",
-    """SELECT o.o_orderkey, l.lines, l.returned, CAST((o.o_totalprice > 150000) <> (l.returned > 0) AS INT) AS failed, round(abs(o.o_totalprice / 300000 - (l.returned > 0)::INT), 6) AS error FROM orders o JOIN (SELECT l_orderkey, count(*) AS lines, count(*) FILTER (l_returnflag = 'R') AS returned FROM lineitem GROUP BY 1) l ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey""",
+    """SELECT o.o_orderkey, l.lines, l.returned, CAST((o.o_totalprice > 150000) <> (l.returned > 0) AS INT) AS failed, abs(o.o_totalprice / 300000 - (l.returned > 0)::INT) AS error FROM orders o JOIN (SELECT l_orderkey, count(*) AS lines, count(*) FILTER (l_returnflag = 'R') AS returned FROM lineitem GROUP BY 1) l ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey""",
 )
 def failure_frame(spark, sf):
     li = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("l_returnflag") == "R").alias("returned"))
     o = table(spark, sf, "orders").join(li, "o_orderkey").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
     hit = (F.col("returned") > 0).cast("int")
-    return o.select("o_orderkey", "lines", "returned", ((F.col("o_totalprice") > 150000).cast("int") != hit).cast("int").alias("failed"), F.round(F.abs(F.col("o_totalprice") / 300000 - hit), 6).alias("error"))
+    return o.select("o_orderkey", "lines", "returned", ((F.col("o_totalprice") > 150000).cast("int") != hit).cast("int").alias("failed"), F.abs(F.col("o_totalprice") / 300000 - hit).alias("error"))
 
 
 @query(
