@@ -24,7 +24,8 @@ more in large lists, overlap in c + b plus the rest of the longer one at most, a
 little. Buckets of up to ``SMALL`` sets give all their candidates. Larger ones, as
 groups of near copies make them, first give each set's candidates with a few leaders; once the linked ones
 are in components, only candidates of different components are looked at. So a group isn't expanded
-into all its pairs, and no link between different components is missed.
+into all its pairs, and no link between different components is missed. Buckets of over ``BLOCK`` rows meet
+in no task: their leaders come from an aggregation by size level, and their members meet by pairs of blocks.
 
 Candidates are verified by the exact overlap. The result is each document's class and component.
 
@@ -34,6 +35,8 @@ component. Repeated rows are linked. A null doc_id never names a component. Extr
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -46,6 +49,8 @@ K = 5
 SMALL = 16
 SCAN = 4
 LEADERS = 2
+#: Rows of a bucket that may meet in one task, twice this at most.
+BLOCK = 1024
 FREQUENT = 1 << 18
 #: Shingles of a task whose counts are held at a time.
 HELD = 1_500_000
@@ -262,6 +267,7 @@ def _pairs(a, b, na, nb, c, ok) -> pa.RecordBatch:
 
 def first_candidates(shared: DataFrame) -> DataFrame:
     """All candidates of small buckets; candidates with leaders in large ones."""
+    few, many = shared.where(F.col("rows") <= BLOCK), shared.where(F.col("rows") > BLOCK)
 
     def run(batches):
         for key, np_, node in _groups(batches, ["key", "np", "node"]):
@@ -291,10 +297,41 @@ def first_candidates(shared: DataFrame) -> DataFrame:
             i, j, ok, sure = i[keep], j[keep], ok[keep], sure[keep]
             yield _pairs(node[i], node[j], n[i], n[j], (~sure).astype(np.int64), np.where(sure, 2, ok))
 
-    found = _by_key(shared.select("key", "node", "np")).mapInArrow(run, PAIR)
+    found = _by_key(few.select("key", "node", "np")).mapInArrow(run, PAIR).union(level_candidates(many))
     return _enough(found.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"), F.max("ok").alias("ok")), shared)
 
 
+def _blocked(shared: DataFrame) -> DataFrame:
+    """With the number of a bucket's ``blocks`` and an entry's ``own``."""
+    return shared.withColumn("blocks", F.ceil(F.col("rows") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+
+
+def _each_block(name: str) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias(name)
+
+
+def level_candidates(many: DataFrame) -> DataFrame:
+    """Candidates of buckets too large for a task. Sizes of one level link by their ratio (below 4/3); the
+    set of least place leads its level and the next one."""
+    sized = _blocked(many).select("key", "node", "blocks", "own", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(_PAIR - 1).alias("place"))
+    sized = sized.withColumn("level", F.floor(F.log("n") / math.log(4 / 3)))
+    lead = sized.groupBy("key", "level", "blocks").agg(F.min(F.struct("place", "node", "n")).alias("lead"))
+    lead = lead.select("key", "lead", "blocks", F.explode(F.array(F.col("level"), F.col("level") + 1)).alias("level"))
+    met = sized.drop("blocks").join(lead.select("key", "lead", "level", _each_block("own")), ["key", "level", "own"]).where("node <> lead.node")
+    least, most = F.least("n", "lead.n"), F.greatest("n", "lead.n")
+    left = F.least(F.col("n") - F.col("place"), F.col("lead.n") - F.col("lead.place"))
+    met = met.where((75 * most <= 100 * least) & (left >= F.floor((3 * (F.col("n") + F.col("lead.n")) + 6) / 7)))
+    first = F.col("node") < F.col("lead.node")
+    return met.select(
+        F.least("node", "lead.node").alias("a"),
+        F.greatest("node", "lead.node").alias("b"),
+        F.when(first, F.col("n")).otherwise(F.col("lead.n")).alias("na"),
+        F.when(first, F.col("lead.n")).otherwise(F.col("n")).alias("nb"),
+        F.lit(0).cast("long").alias("c"),
+        F.lit(2).cast("long").alias("ok"),
+    )
+
+
 def _enough(pairs: DataFrame, shared: DataFrame) -> DataFrame:
     """Pairs that shared entries let reach the overlap: ok 2 stands for places in pair buckets or
     large lists, ok 1 for places in small lists, whose count c then has to be enough."""
@@ -334,28 +371,33 @@ def _by_key(df: DataFrame) -> DataFrame:
 
 def more_candidates(shared: DataFrame, comps: DataFrame) -> DataFrame:
     """Candidates of large buckets whose sets are in different components."""
-    big = shared.where(F.col("rows") > SMALL).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = big.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    big = _blocked(shared.where(F.col("rows") > SMALL)).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = big.groupBy("key", "blocks").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    met = big.join(mixed.select("key", _each_block("own")), ["key", "own"], "left_semi").select("*", _each_block("other"))
+    # 2: the whole bucket, 1: a block with itself, 0: two blocks
+    kind = F.when(F.col("blocks") == 1, 2).when(F.col("own") == F.col("other"), 1).otherwise(0).cast("long").alias("kind")
+    met = met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "np", "comp", "own", kind)
 
     def run(batches):
-        for cols in _groups(batches, ["key", "np", "node", "comp"]):
+        for cols in _groups(batches, ["key", "np", "node", "comp", "own", "kind"]):
             cuts = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1
-            for _, np_, node, comp in zip(*(np.split(c, cuts) for c in cols), strict=True):
+            for _, np_, node, comp, own, kind in zip(*(np.split(c, cuts) for c in cols), strict=True):
                 new = np.append(True, node[1:] != node[:-1])
-                node, comp, n, place = node[new], comp[new], np_[new] >> 32, np_[new] & _PAIR - 1
-                if len(node) <= SMALL:
+                node, comp, own, kind = node[new], comp[new], own[new], kind[new]
+                n, place = np_[new] >> 32, np_[new] & _PAIR - 1
+                if (comp == comp[0]).all() or (len(node) <= SMALL and kind[0] == 2):
                     continue
                 for lo in range(0, len(node), 256):  # blocks of rows; sizes ascend
                     hi = min(lo + 256, len(node))
                     end = int(np.searchsorted(n, n[hi - 1] * 100 // 75, "right"))
                     i, j = np.arange(lo, hi)[:, None], np.arange(lo, end)[None, :]
-                    ok = (i < j) & (comp[i] != comp[j]) & possible(n[i], place[i], n[j], place[j])
+                    ok = (i < j) & (comp[i] != comp[j]) & ((kind[i] > 0) | (own[i] != own[j])) & possible(n[i], place[i], n[j], place[j])
                     x, y = np.nonzero(ok)
                     if len(x):
                         one = np.ones(len(x), np.int64)
                         yield _pairs(node[x + lo], node[y + lo], n[x + lo], n[y + lo], one, one)
 
-    return _by_key(big.join(mixed, "key", "left_semi").select("key", "node", "np", "comp")).mapInArrow(run, PAIR).select("a", "b").distinct()
+    return _by_key(met).mapInArrow(run, PAIR).select("a", "b").distinct()
 
 
 def _filter(nodes: DataFrame) -> np.ndarray:

@@ -55,9 +55,10 @@ def corpus(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("seed,small,light", [(1, 16, None), (2, 3, None), (3, 3, 0), (4, 4, 60), (5, 2, 24)])
-def test_against_brute_force(spark, monkeypatch, seed, small, light):
+@pytest.mark.parametrize("seed,small,light,block", [(1, 16, None, 1024), (2, 3, None, 1024), (3, 3, 0, 9), (4, 4, 60, 1024), (5, 2, 24, 5), (6, 3, None, 7)])
+def test_against_brute_force(spark, monkeypatch, seed, small, light, block):
     monkeypatch.setattr(J, "SMALL", small)
+    monkeypatch.setattr(J, "BLOCK", block)
     if light is not None:
         monkeypatch.setattr(J, "boundary", lambda sizes: light)
     rows = corpus(seed, 420)
