@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -77,6 +78,58 @@ def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.S
     return pd.Series([one(*map(int, t)) for t in zip(a, b, c, d, strict=True)])
 
 
+def history_state(games: DataFrame, universe: list[str], order: list[str], event: str, k: float = 32.0) -> DataFrame:
+    """State of each side (``team``) after all games (a, b, y, margin, day; ratings before them from the
+    Elo fold): games, wins, mean margin, mean rating of opponents, last day and rating, over all events
+    (``whole`` 1) and by event (``whole`` 0, the rating as it stood after the last game of the event)."""
+
+    def side(own: str, other: str, rating: str, rival: str, sign: int) -> Column:
+        won = F.col("y").cast("int") if sign > 0 else 1 - F.col("y").cast("int")
+        e = F.col("expected") if sign > 0 else 1 - F.col("expected")
+        return F.struct(F.col(own).alias("team"), won.alias("won"), (sign * F.col("margin")).alias("diff"), F.col(rival).alias("rival"), (F.col(rating) + k * (won - e)).alias("after"))
+
+    both = F.explode(F.array(side("a", "b", "rating_a", "rating_b", 1), side("b", "a", "rating_b", "rating_a", -1))).alias("s")
+    rows = games.select(*universe, *order, F.col(event).alias("event"), both).select("*", "s.*")
+    keys = [F.col(c) for c in [*universe, "team"]]
+    g = rows.groupingSets([keys, [*keys, F.col("event")]], *keys, F.col("event"))
+    last = F.max_by("after", F.struct(*order))
+    return g.agg(
+        F.grouping("event").cast("int").alias("whole"), F.count(F.lit(1)).alias("games"), F.sum("won").alias("wins"), F.avg("diff").alias("mean_margin"),
+        F.avg("rival").alias("opponents"), F.max("day").alias("last_day"), last.alias("rating"),
+    )
+
+
+#: English names of months.
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+
+
+def ranking_badges(pages: DataFrame, key: str, html: str, host: str, labels: dict[str, str], css: str = "ranking-badge", param: str = "teamId") -> DataFrame:
+    """(key, team, kind, position, published, url) of a page's badges: links of a class whose text is
+    ``label: #rank`` and whose address is ``/kind/teams/year/month/day[/team]`` on the host. ``labels``
+    maps kinds (the first part of the path) to labels. The team, by path or parameter, has to be one
+    number; the date is that of the edition. Badges that don't say all this are left out, and so
+    are a page's badges of one team and kind that contradict each other."""
+    kinds = "|".join(labels)
+    path = rf"^(?:https://{re.escape(host)})?/({kinds})/teams/(\d{{4}})/([a-z]+)/([0-9]{{1,2}})(?:/([0-9]+))?(?:\?([^#]*))?(?:#.*)?$"
+    link = F.explode(F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*>.*?</a>"), 0)).alias("a")
+    attr = lambda name: F.regexp_extract("a", rf"(?is)^<a\b[^>]*?\b{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
+    d = pages.select(key, link).where(F.array_contains(F.split(attr("class"), r"\s+"), css))
+    d = d.withColumn("href", F.replace(attr("href"), F.lit("&amp;"), F.lit("&"))).withColumn("said", F.trim(F.regexp_replace("a", "<[^>]*>", " ")))
+    kind, year, month, day, own, asked = (F.regexp_extract("href", path, i) for i in range(1, 7))
+    label = F.element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), kind)
+    teams = F.array_distinct(F.filter(F.concat(F.array(own), F.regexp_extract_all(asked, F.lit(rf"(?:^|&){param}=([^&]*)"), 1)), lambda t: t != ""))
+    # the label before ": #rank", letter by letter
+    rank = F.regexp_extract("said", r"^(.*?)\s*:\s*#\s*([1-9][0-9]*)$", 2)
+    named = F.regexp_extract("said", r"^(.*?)\s*:\s*#\s*([1-9][0-9]*)$", 1) == label
+    date = F.try_to_timestamp(F.concat_ws("-", year, F.array_position(F.array(*map(F.lit, MONTHS)), month), day), F.lit("yyyy-M-d")).cast("date")
+    d = d.where(kind != "").select(key, teams.alias("teams"), kind.alias("kind"), rank.try_cast("int").alias("position"), named.alias("named"), date.alias("published"), "href")
+    d = d.where((F.size("teams") == 1) & F.get("teams", F.lit(0)).rlike("^[0-9]+$") & F.col("named") & F.col("position").isNotNull() & F.col("published").isNotNull())
+    url = F.when(F.col("href").startswith("/"), F.concat(F.lit(f"https://{host}"), "href")).otherwise(F.col("href"))
+    row = F.struct("position", "published", url.alias("url"))
+    g = d.groupBy(key, F.get("teams", F.lit(0)).alias("team"), "kind").agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
+    return g.where("lo = hi").select(key, "team", "kind", "lo.*")
+
+
 class _Items(HTMLParser):
     def __init__(self, tag: str):
         super().__init__()

@@ -122,25 +122,64 @@ def _cdf(x: float) -> float:
     return 0.5 * (1 + math.erf(x / math.sqrt(2)))
 
 
+def _meet(win: tuple[float, float], lose: tuple[float, float], beta2: float, tau2: float) -> tuple:
+    """Means and variances of a winner and a loser after their game."""
+    (mw, vw), (ml, vl) = (win[0], win[1] + tau2), (lose[0], lose[1] + tau2)
+    c2 = 2 * beta2 + vw + vl
+    c = math.sqrt(c2)
+    t = (mw - ml) / c
+    tail = _cdf(t)
+    v = _phi(t) / tail if tail >= 1e-12 else -t
+    w = v * (v + t)
+    return (mw + vw / c * v, max(1e-6, vw * (1 - vw / c2 * w))), (ml - vl / c * v, max(1e-6, vl * (1 - vl / c2 * w)))
+
+
 def trueskill_step(mu: float = 25.0, sigma: float = 25 / 3) -> Callable:
     """Rows (a, b, y), one against one."""
     beta2, tau2 = (sigma / 2) ** 2, (sigma / 100) ** 2
 
     def step(s: dict, r) -> tuple:
-        ma, va = s.get(r.a, (mu, sigma**2))
-        mb, vb = s.get(r.b, (mu, sigma**2))
-        p = _cdf((ma - mb) / math.sqrt(2 * beta2 + va + vb))
-        (mw, vw), (ml, vl) = ((ma, va + tau2), (mb, vb + tau2)) if r.y == 1 else ((mb, vb + tau2), (ma, va + tau2))
-        c2 = 2 * beta2 + vw + vl
-        c = math.sqrt(c2)
-        t = (mw - ml) / c
-        tail = _cdf(t)
-        v = _phi(t) / tail if tail >= 1e-12 else -t
-        w = v * (v + t)
-        win = mw + vw / c * v, max(1e-6, vw * (1 - vw / c2 * w))
-        lose = ml - vl / c * v, max(1e-6, vl * (1 - vl / c2 * w))
-        s[r.a], s[r.b] = (win, lose) if r.y == 1 else (lose, win)
-        return ma, mb, p
+        a, b = s.get(r.a, (mu, sigma**2)), s.get(r.b, (mu, sigma**2))
+        p = _cdf((a[0] - b[0]) / math.sqrt(2 * beta2 + a[1] + b[1]))
+        if r.y == 1:
+            s[r.a], s[r.b] = _meet(a, b, beta2, tau2)
+        else:
+            s[r.b], s[r.a] = _meet(b, a, beta2, tau2)
+        return a[0], b[0], p
+
+    return step
+
+
+#: What ``roster_trueskill_step`` emits.
+ROSTER_SKILL = ", ".join(f"{k}_{side} double" for side in "ab" for k in ("mean", "top", "low", "spread"))
+
+
+def roster_trueskill_step(mu: float = 25.0, sigma: float = 25 / 3, least: int = 3) -> Callable:
+    """Rows (a, b, players_a, players_b, y): each player meets the other team as one rating (mean of the
+    means, root of the summed variances over their number), as it stood before the game. Emits what
+    the teams' last line-ups gave after their games: nulls for a team's first. A game with fewer than
+    ``least`` players on a side (null players and repeats left out) changes nothing."""
+    beta2, tau2, new = (sigma / 2) ** 2, (sigma / 100) ** 2, (mu, sigma**2)
+
+    def of(x) -> list:
+        return [] if x is None else sorted({p for p in x if p is not None and p == p})
+
+    def team(s: dict, players: list) -> tuple[float, float]:
+        got = [s.get(("player", p), new) for p in players]
+        return sum(m for m, _ in got) / len(got), max(sum(v for _, v in got) / len(got) ** 2, 1e-6)
+
+    def step(s: dict, r) -> tuple:
+        before = s.get(("team", r.a), (None,) * 4) + s.get(("team", r.b), (None,) * 4)
+        sides = of(r.players_a), of(r.players_b)
+        if min(map(len, sides)) >= least:
+            rivals = team(s, sides[1]), team(s, sides[0])
+            for name, players, rival, won in zip((r.a, r.b), sides, rivals, (r.y == 1, r.y != 1), strict=True):
+                for p in players:
+                    own = s.get(("player", p), new)
+                    s["player", p] = _meet(own, rival, beta2, tau2)[0] if won else _meet(rival, own, beta2, tau2)[1]
+                m = [s["player", p][0] for p in players]
+                s["team", name] = sum(m) / len(m), max(m), min(m), max(m) - min(m)
+        return before
 
     return step
 

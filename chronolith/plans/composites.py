@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions.scalars import devig, log_loss
-from ..operators.composites import blend_weights, fisher_exact, html_table, identity_merge, routed, stat_window, strength_of_schedule
+from ..operators.composites import blend_weights, fisher_exact, html_table, identity_merge, routed, stat_window, strength_of_schedule, ranking_badges
 from ..operators.windows import prior
 from ..sources.io import events, table
 from .aggregates import DEVIG, METRICS, ODDS, PRED, predictions
@@ -224,3 +224,18 @@ def fisher_segments(spark, sf):
 @query("html_rows")
 def html_rows(spark, sf):
     return html_table(table(spark, sf, "pages").select("page_id", "html"), "page_id", "html", "li")
+
+
+@query(
+    "ranking_badges",
+    """SELECT s_nationkey AS page, CAST(s_suppkey AS VARCHAR) AS team, 'ranking' AS kind, CAST(s_suppkey % 97 + 1 AS INT) AS position, DATE '2024-02-29' AS published,
+'https://ranks.example/ranking/teams/2024/february/29?teamId=' || s_suppkey AS url FROM supplier WHERE s_suppkey % 5 <> 0""",
+)
+def ranking_badges_query(spark, sf):
+    """Pages made of suppliers: each has a badge, every fifth a second one that contradicts it."""
+    s = table(spark, sf, "supplier").where("s_suppkey IS NOT NULL")
+    badge = lambda rank: F.format_string('<li><a class="b ranking-badge" href="/ranking/teams/2024/february/29?teamId=%d"><b>World</b>: #%d</a></li>', "s_suppkey", rank)
+    twice = F.when(F.col("s_suppkey") % 5 == 0, badge(F.lit(98).cast("long"))).otherwise("")
+    each = s.select(F.col("s_nationkey").alias("page"), F.concat(badge(F.col("s_suppkey") % 97 + 1), twice).alias("li"))
+    pages = each.groupBy("page").agg(F.concat(F.lit("<ul>"), F.array_join(F.collect_list("li"), ""), F.lit("</ul>")).alias("html"))
+    return ranking_badges(pages, "page", "html", "ranks.example", {"ranking": "World", "valued": "Points"})

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import week_index
 from ..operators import folds as R
+from ..operators.composites import history_state
+from ..operators.dedup import top_per_group
 from ..sources.io import table
 from .registry import query
 
@@ -78,3 +80,23 @@ def page_hinkley(spark, sf):
 @query("bankroll")
 def bankroll(spark, sf):
     return R.fold(games(spark, sf), ["universe"], ORDER, ["p", "q1", "q2", "y"], R.bankroll_step(), "stake double, bank double, drawdown double", keep=KEEP)
+
+
+@query("trueskill_rosters")
+def trueskill_rosters(spark, sf):
+    five = lambda side: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.col(side) * 10 + F.pmod(i + F.col("game"), F.lit(7)))
+    g = games(spark, sf).withColumn("players_a", five("a")).withColumn("players_b", five("b"))
+    return R.fold(g, ["universe"], ORDER, ["a", "b", "players_a", "players_b", "y"], R.roster_trueskill_step(), R.ROSTER_SKILL, keep=KEEP)
+
+
+@query("history_state")
+def history_state_query(spark, sf):
+    g = R.fold(games(spark, sf), ["universe"], ORDER, ["a", "b", "y"], R.elo_step(), PAIR, keep=[*ORDER, "a", "y", "margin", "surface"])
+    return history_state(g, ["universe"], ORDER, "surface")
+
+
+@query("opportunity_bank")
+def opportunity_bank(spark, sf):
+    """The three surest picks of a day are staked; the feature is a top-k report."""
+    picks = top_per_group(games(spark, sf), ["universe", "day"], [F.desc("p"), "game", "b"], 3)
+    return R.fold(picks, ["universe"], ORDER, ["p", "q1", "q2", "y"], R.bankroll_step(), "stake double, bank double, drawdown double", keep=KEEP)
