@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions.scalars import devig, log_loss
-from ..operators.composites import blend_weights, fisher_exact, html_table, identity_merge, routed, stat_window, strength_of_schedule, ranking_badges
+from ..operators.composites import blend_weights, fisher_exact, html_table, identity_merge, ranking_badges, routed, stat_window, strength_of_schedule
+from ..operators.rounds import round_history
 from ..operators.windows import prior
 from ..sources.io import events, table
 from .aggregates import DEVIG, METRICS, ODDS, PRED, predictions
@@ -239,3 +240,36 @@ def ranking_badges_query(spark, sf):
     each = s.select(F.col("s_nationkey").alias("page"), F.concat(badge(F.col("s_suppkey") % 97 + 1), twice).alias("li"))
     pages = each.groupBy("page").agg(F.concat(F.lit("<ul>"), F.array_join(F.collect_list("li"), ""), F.lit("</ul>")).alias("html"))
     return ranking_badges(pages, "page", "html", "ranks.example", {"ranking": "World", "valued": "Points"})
+
+
+@query(
+    "round_history",
+    """WITH g AS (SELECT s_suppkey AS page, s_suppkey % 12 AS r FROM supplier), i AS (SELECT page, r, unnest(range(1, r + 14)) AS n FROM g)
+SELECT page, CAST(n AS INT) AS number, CAST((n - 1) // 12 + 1 AS INT) AS half, CAST((n - 1) % 12 + 1 AS INT) AS place, false AS overtime, n IN (1, 13) AS pistol,
+CASE WHEN n > r THEN '1' ELSE '2' END AS winner, CASE WHEN (n > r) = (n <= 12) THEN 'ct' ELSE 't' END AS winner_side, CASE WHEN n <= 12 THEN 'ct' ELSE 't' END AS left_side,
+CASE WHEN (n > r) = (n <= 12) THEN 'ct_win.svg' ELSE 't_win.svg' END AS outcome, CAST(NULL AS VARCHAR) AS reason FROM i""",
+)
+def round_history_query(spark, sf):
+    """Pages made of suppliers: the right team wins the first rounds, the left one thirteen after them."""
+    g = table(spark, sf, "supplier").where("s_suppkey IS NOT NULL").select(F.col("s_suppkey").alias("page"), (F.col("s_suppkey") % 12).alias("r"))
+    r = F.col("r")
+
+    def icons(mine: bool):
+        def one(n):
+            won = (n > r) if mine else (n <= r)
+            icon = F.when((n > r) == (n <= 12), "ct_win.svg").otherwise("t_win.svg")
+            said = F.concat(F.greatest(n - r, F.lit(0)).cast("string"), F.lit("-"), F.least(n, r).cast("string"))
+            seen = F.when(won & (n <= r + 13), F.concat(icon, F.lit('" title="'), said)).otherwise("emptyHistory.svg")
+            bar = F.when((n - 1) % 12 == 0, '<div class="round-history-bar"></div>').otherwise("")
+            return F.concat(bar, F.lit('<img class="round-history-outcome" src="/i/'), seen, F.lit('">'))
+
+        return F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), F.lit(24).cast("long")), one), "")
+
+    def team(side: str, k: int, score):
+        return F.concat(F.lit(f'<div class="team-{side}"><a href="/stats/teams/{k}/x">T{k}</a><div class="bold">'), score.cast("string"), F.lit("</div></div>"))
+
+    def row(k: int):
+        return F.concat(F.lit(f'<div class="round-history-team-row"><img class="round-history-team" title="T{k}">'), icons(k == 1), F.lit("</div>"))
+
+    html = F.concat(team("left", 1, F.lit(13)), team("right", 2, r), F.lit('<div class="round-history-con">'), row(1), row(2), F.lit("</div>"))
+    return round_history(g.select("page", html.alias("html")), "page", "html")
