@@ -30,6 +30,7 @@ manifest without rows and no documents.
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 import zlib
@@ -50,8 +51,10 @@ VOCAB = "byte_bpe_50k.json"
 #: Bytes of text in a folder: at most some ``RANGE_BYTES``, and less where that leaves a cluster's cores
 #: without work, but no less than ``LEAST_RANGE``.
 RANGE_BYTES, LEAST_RANGE = 1 << 30, 16 << 20
-#: Pieces of text that a worker remembers with their ids (some 50 bytes each); it starts afresh beyond.
-REMEMBERED = 3_000_000
+#: Pieces of text that a worker remembers with their ids; beyond, it forgets those that it has met once.
+REMEMBERED = 400_000
+#: Bytes of text that are encoded at a time; pieces take some 60 times their text's space.
+CHUNK_BYTES = 1 << 20
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -106,6 +109,7 @@ class Encoder:
     time, the odds that any two share one are under one in a million."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads would each hold memory
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -135,8 +139,19 @@ class Encoder:
     def clear(self) -> None:
         self.keys = np.empty(0, np.uint64)
         self.start = self.count = np.empty(0, np.int64)
+        self.again = np.empty(0, bool)
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
 
+    def forget(self) -> None:
+        """Keep the pieces that were met again since the last time; none if they are over half of the bound."""
+        kept = self.again
+        if 2 * np.count_nonzero(kept) > REMEMBERED:
+            return self.clear()
+        n = self.count[kept]
+        self.flat = self.flat[positions(self.start[kept], n)]
+        self.keys, self.count, self.start, self.used = self.keys[kept], n, np.cumsum(n) - n, len(self.flat)
+        self.again = np.zeros(len(n), bool)
+
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
         """Add pieces by their sorted keys."""
         counts: list[int] = []
@@ -152,13 +167,14 @@ class Encoder:
         at = np.searchsorted(self.keys, keys)
         self.start = np.insert(self.start, at, self.used + np.cumsum(n) - n)
         self.count = np.insert(self.count, at, n)
+        self.again = np.insert(self.again, at, False)
         self.keys = np.insert(self.keys, at, keys)
         self.used += len(new)
 
     def encode(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the chunk's texts, one after another, and the number of ids of each text."""
         if len(self.keys) > REMEMBERED:
-            self.clear()
+            self.forget()
         s, e, bounds = self.pieces(c)
         h = span_hash(c.data, s, e)
         if not len(h):
@@ -170,6 +186,7 @@ class Encoder:
         at = np.searchsorted(self.keys, distinct)
         new = np.append(self.keys, np.uint64(0))[at] != distinct
         new |= at == len(self.keys)
+        self.again[at[~new]] = True
         if new.any():
             raw = c.data.tobytes()
             texts = [raw[x:y].decode() for x, y in zip(s[example[new]].tolist(), e[example[new]].tolist(), strict=True)]
@@ -259,7 +276,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, seq: int = S
         part, w = TaskContext.get().partitionId(), None
         enc = encoder(tokenizer or default_tokenizer())  # the vocabulary is a file of each executor's own
         for b in batches:
-            for c in chunks(b.column("text"), 2 << 20):
+            for c in chunks(b.column("text"), CHUNK_BYTES):
                 ids, n = enc.encode(c)
                 w = w or _Writer(path, seq, batch, max(enc.tok.get_vocab_size(), end_id + 1))
                 w.add(b.column("doc_id").slice(c.first, c.n), n + 1, np.insert(ids, np.cumsum(n), end_id))

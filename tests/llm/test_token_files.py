@@ -102,3 +102,14 @@ def test_same_ids_as_the_library(texts):
     ids, n = ENC.encode(one(texts))
     want = [x.ids for x in PLAIN.encode_batch(texts, add_special_tokens=False)]
     assert [list(x) for x in np.split(ids, np.cumsum(n)[:-1])] == want
+
+
+def test_forgetting_pieces_changes_no_ids(monkeypatch):
+    monkeypatch.setattr(T, "REMEMBERED", 40)
+    enc, tok = T.Encoder(T.default_tokenizer()), Tokenizer.from_file(T.default_tokenizer())
+    for i in range(30):
+        texts = [f"common words stand here {i}", " ".join(f"rare{i}x{j}" for j in range(i)), "common words"]
+        ids, n = enc.encode(one(texts))
+        expected = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert list(ids) == sum(expected, []) and list(n) == list(map(len, expected))
+        assert len(enc.keys) == len(enc.again) == len(enc.start) == len(enc.count)
