@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, host_rules, jaccard_join, language_id, lm_scoring, mixing, pii, quality_classifier, token_files
+from . import bpe_codec, chat_format, decontamination, host_rules, jaccard_join, language_id, lm_scoring, mixing, pii, quality_classifier, token_files
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_personal_data": pii.op8_personal_data,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_token_files": token_files.op10_token_files,
+        "op11_bpe_codec": bpe_codec.op11_bpe_codec,
     }
 
 

@@ -152,12 +152,15 @@ class Encoder:
         self.keys, self.count, self.start, self.used = self.keys[kept], n, np.cumsum(n) - n, len(self.flat)
         self.again = np.zeros(len(n), bool)
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
         """Add pieces by their sorted keys."""
         counts: list[int] = []
         ids: list[np.ndarray] = []
         for lo in range(0, len(texts), 8192):
-            got = [e.ids for e in self.tok.encode_batch_fast(texts[lo : lo + 8192], add_special_tokens=False)]
+            got = self._ids(texts[lo : lo + 8192])
             counts += map(len, got)
             ids.append(np.fromiter(chain.from_iterable(got), np.uint32))
         new, n = np.concatenate(ids), np.array(counts, np.int64)
