@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, chat_format, decontamination, host_rules, jaccard_join, language_id, lm_scoring, mixing, pii, quality_classifier, token_files
+from . import bpe_codec, chat_format, decontamination, divergence, host_rules, jaccard_join, language_id, lm_scoring, merkle_manifest, mixing, pii, quality_classifier, token_files
 
 
 def queries() -> dict:
@@ -18,8 +18,16 @@ def queries() -> dict:
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_token_files": token_files.op10_token_files,
         "op11_bpe_codec": bpe_codec.op11_bpe_codec,
+        "op12_source_divergence": divergence.op12_source_divergence,
+        "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_host_rules": host_rules.OP4_SQL, "op6_chat_format": chat_format.OP6_SQL, "op7_jaccard_join": jaccard_join.OP7_SQL}
+    return {
+        "op4_host_rules": host_rules.OP4_SQL,
+        "op6_chat_format": chat_format.OP6_SQL,
+        "op7_jaccard_join": jaccard_join.OP7_SQL,
+        "op12_source_divergence": divergence.OP12_SQL,
+        "op13_merkle_manifest": merkle_manifest.OP13_SQL,
+    }
