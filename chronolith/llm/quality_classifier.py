@@ -12,13 +12,20 @@ Unlabelled documents form a pool, with documents of equal features as one, so th
 is one lesson. In each of ``ROUNDS`` rounds each view scores the pool and labels its most confident
 documents for the other view: the share ``SHARE`` of those that it hasn't labelled yet, positives from the
 top and negatives from the bottom in the classes' ratio among the labelled, and none on the wrong side
-of even odds. So a round's lessons grow with the corpus, both views give both classes, and no document is
-taught twice by a view. All lessons of a view together weigh ``WEIGHT`` times the labelled ones.
+of even odds. Where a cut falls among documents of one bin of scores, a hash of their features decides. So a round's
+lessons grow with the corpus, never exceed their share, and no document is taught twice by a view. All lessons of a view
+together weigh ``WEIGHT`` times the labelled ones.
+
+A view teaches only what it knows: on the calibrating fold, those that it puts in a class must be of that class
+more often than not, and more often than all are, beyond what chance explains (Wilson's lower bound of ``Z`` standard errors). A view that doesn't know a class
+gives no lessons of it; if neither view knows any, the rounds end. Of the models before and after each round those with the least
+loss of the combined, calibrated score on the calibrating fold are kept.
 
 What a view has labelled follows from the weights and cuts of the rounds so far, so it isn't stored. A
-round is one pass for the distributions of scores (counts in bins of a logit's ``1 / FINE``) and ``STEPS``
+round is one pass for the distributions of scores (counts in bins of a logit's ``1 / FINE``) and at most ``PASSES``
 passes of Newton's method, whose sums are made on executors and added up in a tree; the driver gets
-counts by bin and a few sums, at any corpus size.
+counts by bin and a few sums, at any corpus size. A step is taken only where it lowers the summed loss enough, and halved
+until it does, so the fit descends to its optimum from wherever it starts.
 
 At the end each view is calibrated (Platt) on the calibrating fifth, a logistic combination of both
 calibrated views is fitted there, and every document is scored.
@@ -46,14 +53,20 @@ from .textops import LOWER, chunks, owner, runs, span_hash, words
 
 SAMPLE = 20_000
 ROUNDS = 3
-SHARE, WEIGHT, STEPS = 0.05, 0.5, 2
+SHARE, WEIGHT, PASSES = 0.05, 0.5, 10
+#: Bins of a logit, and where the outermost ones begin; standard errors of the bound for what a view knows.
 FINE, BOUND = 100, 30
+Z = 1.64
+#: A fit ends when a whole step promises to lower the loss by less than this share of it.
+ENOUGH = 1e-5
 KEEP = 0.5
 #: Rows of sums that the driver takes; more are added up on executors first.
 SUMS = 16
 RIDGE = 1.0
 WORD_BUCKETS, SOURCE_BUCKETS, LANG_BUCKETS = 160, 48, 16
 TEXT, META = WORD_BUCKETS + 6, SOURCE_BUCKETS + LANG_BUCKETS + 3
+#: Lengths of the vectors of both views' sums.
+TEXT_SUMS, META_SUMS = (1 + (n + 1) * (n + 2) for n in (TEXT, META))
 
 _UPPER = np.zeros(256, bool)
 _UPPER[0x41:0x5B] = True
@@ -129,19 +142,42 @@ def featurize(docs: DataFrame) -> DataFrame:
     return narrow.mapInArrow(run, f"doc_id {kind}, text binary, meta binary")
 
 
+class Descent:
+    """Newton's method with backtracking on a ridged loss, fed with the sums at each ``trial``."""
+
+    def __init__(self, w: np.ndarray, ridge: float = RIDGE):
+        self.w = self.trial = w
+        self.penalty = np.full(len(w), ridge)
+        self.penalty[-1] = 1e-6
+        self.loss, self.size, self.slope, self.step = np.inf, 1.0, 0.0, np.zeros(len(w))
+        self.done = False
+
+    def observe(self, sums: np.ndarray) -> None:
+        """Take or halve the step to ``trial``, whose loss, gradient and Hessian these are."""
+        if self.done:
+            return
+        loss = sums[0] + self.penalty @ self.trial**2 / 2
+        n = len(self.w)
+        if loss <= self.loss - 1e-4 * self.size * self.slope:
+            self.w, self.loss, self.size = self.trial, loss, 1.0
+            gradient = sums[1 : n + 1] + self.penalty * self.w
+            self.step = np.linalg.solve(sums[n + 1 :].reshape(n, n) + np.diag(self.penalty), gradient)
+            self.slope = gradient @ self.step
+            self.done = self.slope <= ENOUGH * (1e-9 + abs(loss))
+        else:
+            self.size /= 2
+            self.done = self.size < 1e-6
+        self.trial = self.w if self.done else self.w - self.size * self.step
+
+
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
-    """Logistic regression by Newton steps; the last weight is the intercept."""
-    a = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(a.shape[1])
-    penalty = np.full(len(w), ridge)
-    penalty[-1] = 1e-6
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag(penalty), a.T @ (p - y) + penalty * w)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+    """Logistic regression; the last weight is the intercept."""
+    d, c = Descent(np.zeros(x.shape[1] + 1), ridge), np.ones(len(y))
+    for _ in range(100):
+        d.observe(newton_sums(x, y, c, d.trial))
+        if d.done:
             break
-    return w
+    return d.w
 
 
 def logit(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -149,7 +185,7 @@ def logit(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-z))
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def labelled_sample(labels: DataFrame, size: int = SAMPLE) -> DataFrame:
@@ -160,22 +196,39 @@ def labelled_sample(labels: DataFrame, size: int = SAMPLE) -> DataFrame:
 
 
 def newton_sums(x: np.ndarray, y: np.ndarray, c: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Gradient and Hessian of the loss of rows weighted by ``c``, as one vector."""
+    """Loss, gradient and Hessian of the loss of rows weighted by ``c``, as one vector."""
     a = np.hstack([x, np.ones((len(x), 1))])
-    p = 1 / (1 + np.exp(-np.clip(a @ w, -BOUND, BOUND)))
-    return np.concatenate([a.T @ (c * (p - y)), ((a * (c * (p * (1 - p) + 1e-9))[:, None]).T @ a).ravel()])
-
-
-def newton_step(sums: np.ndarray, w: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
-    penalty = np.full(len(w), ridge)
-    penalty[-1] = 1e-6
-    return w - np.linalg.solve(sums[len(w) :].reshape(len(w), -1) + np.diag(penalty), sums[: len(w)] + penalty * w)
+    z = a @ w
+    p = sigmoid(z)
+    return np.concatenate([[c @ (np.logaddexp(0, z) - y * z)], a.T @ (c * (p - y)), ((a * (c * p * (1 - p))[:, None]).T @ a).ravel()])
+
+
+def log_loss(z: np.ndarray, y: np.ndarray) -> float:
+    return float(np.mean(np.logaddexp(0, z) - y * z))
+
+
+def known(z: np.ndarray, y: np.ndarray) -> set[int]:
+    """The classes that logits tell better than even odds and the classes' shares do, beyond chance."""
+    out = set()
+    for label in (0, 1):
+        called = (z >= 0) == bool(label)
+        n = int(called.sum())
+        if n and len(set(y.tolist())) == 2:
+            right = float((y[called] == label).mean())
+            spread = Z * np.sqrt(right * (1 - right) / n + Z * Z / (4 * n * n))
+            if (right + Z * Z / (2 * n) - spread) / (1 + Z * Z / n) > max(0.5, float((y == label).mean())):
+                out.add(label)
+    return out
 
 
 def bins(z: np.ndarray) -> np.ndarray:
     return np.floor((z + BOUND) * FINE).astype(np.int64)
 
 
+#: A cut of one class: all bins beyond ``edge``, and of its own bin the documents whose hash is below ``part`` of 2**32.
+Cut = tuple[int, int]
+
+
 class Views:
     """The two models, what they learn from, and the rounds so far."""
 
@@ -188,70 +241,102 @@ class Views:
         self.w = [fit(v, self.y) for v in self.x]
         #: Weight of all lessons of each class.
         self.weight = WEIGHT * len(self.y) * np.array([1 - self.y.mean(), self.y.mean()])
-        #: For each round the weights of both views, and for each view its highest bin of 0 and its lowest of 1.
-        self.rounds: list[tuple[list[np.ndarray], list[tuple[int, int]]]] = []
-        #: For each view its lessons of 0 and 1 so far, and for each round what was new.
-        self.given = [[0, 0], [0, 0]]
+        #: For each round the weights of both views, and for each view its cuts of 0 and of 1.
+        self.rounds: list[tuple[list[np.ndarray], list[tuple[Cut, Cut]]]] = []
+        #: For each view its lessons of 0 and 1 so far (as expected from their hashes), and for each round what was new.
+        self.given = [[0.0, 0.0], [0.0, 0.0]]
         self.log: list[dict] = []
-
-    def close_round(self, counts: list[dict[int, int]]) -> None:
-        """Set the cuts of a round from each view's counts by bin of documents it hasn't labelled."""
-        cuts, half = [], BOUND * FINE
+        self.fits: list[Descent] = []
+        self.calibrate()
+        self.best = self.checked(), self.w, self.platt, self.mix
+        self.losses = [self.best[0]]
+
+    def close_round(self, counts: list[dict[int, int]]) -> bool:
+        """Set the cuts of a round from each view's counts by bin of documents it hasn't labelled; whether
+        there is any lesson in it."""
+        cuts, half, some = [], BOUND * FINE, False
         for k, by in enumerate(counts):
             total, share = sum(by.values()), self.y.mean()
+            knows = known(logit(self.check[0][k], self.w[k]), self.check[1])
             limits = []
             for label, part, order in ((0, 1 - share, sorted(b for b in by if b < half)), (1, share, sorted((b for b in by if b >= half), reverse=True))):
-                n, cut = 0, -1 if label == 0 else 2 * half + 1
+                left = want = SHARE * part * total if label in knows else 0.0
+                cut: Cut = (-1 if label == 0 else 2 * half + 1, 0)
                 for b in order:
-                    if n and n + by[b] > SHARE * part * total:
+                    if left <= 0:
                         break
-                    n, cut = n + by[b], b
+                    cut = b, min(1 << 32, int(left / by[b] * (1 << 32)))
+                    left -= min(left, by[b])
                 limits.append(cut)
-                self.given[k][label] += n
-                self.log.append({"round": len(self.rounds), "view": k, "label": label, "lessons": n, "of": total})
+                self.given[k][label] += want - left
+                some |= want > left
+                self.log.append({"round": len(self.rounds), "view": k, "label": label, "lessons": want - left, "of": total})
             cuts.append((limits[0], limits[1]))
         self.rounds.append((self.w, cuts))
+        self.fits = [Descent(w) for w in self.w]
+        return some
 
     def bare(self) -> Views:
         """What executors need: all but the labelled rows."""
         out = copy.copy(self)
-        out.x = out.y = out.check = None
+        out.x = out.y = out.check = out.best = None
         return out
 
-    def labels(self, x: list[np.ndarray]) -> list[np.ndarray]:
-        """The label that each view has given each row in some round, or -1."""
+    def labels(self, x: list[np.ndarray], h: np.ndarray) -> list[np.ndarray]:
+        """The label that each view has given each row (``h`` is its hash, below 2**32) in some round, or -1."""
         out = [np.full(len(x[0]), -1), np.full(len(x[0]), -1)]
         for w, cuts in self.rounds:
             for k in (0, 1):
-                b = bins(logit(x[k], w[k]))
-                out[k] = np.where(out[k] >= 0, out[k], np.where(b <= cuts[k][0], 0, np.where(b >= cuts[k][1], 1, -1)))
+                b, (low, high) = bins(logit(x[k], w[k])), cuts[k]
+                zero = (b < low[0]) | (b == low[0]) & (h < low[1])
+                one = (b > high[0]) | (b == high[0]) & (h < high[1])
+                out[k] = np.where(out[k] >= 0, out[k], np.where(zero, 0, np.where(one, 1, -1)))
         return out
 
-    def lesson_sums(self, x: list[np.ndarray]) -> np.ndarray:
-        """Newton sums of both views over the lessons among these rows."""
-        given, out = self.labels(x), []
+    def lesson_sums(self, x: list[np.ndarray], h: np.ndarray) -> np.ndarray:
+        """Newton sums of both views' trials over the lessons among these rows."""
+        given, out = self.labels(x, h), []
         for k in (0, 1):
             label, n = given[1 - k], np.maximum(1, self.given[1 - k])
             some = label >= 0
             c = (self.weight / n)[label[some]]
-            out.append(newton_sums(x[k][some], label[some].astype(float), c, self.w[k]))
+            out.append(newton_sums(x[k][some], label[some].astype(float), c, self.fits[k].trial))
         return np.concatenate(out)
 
-    def step(self, sums: np.ndarray) -> None:
-        cut = (TEXT + 1) * (TEXT + 2)
-        both = sums[:cut], sums[cut:]
-        self.w = [newton_step(s + newton_sums(x, self.y, np.ones(len(x)), w), w) for s, x, w in zip(both, self.x, self.w, strict=True)]
+    def observe(self, sums: np.ndarray) -> bool:
+        """Add the labelled rows' sums, move both fits, and say whether both have ended."""
+        for f, s, x in zip(self.fits, (sums[:TEXT_SUMS], sums[TEXT_SUMS:]), self.x, strict=True):
+            f.observe(s + newton_sums(x, self.y, np.ones(len(x)), f.trial))
+        return all(f.done for f in self.fits)
 
-    def calibrate(self) -> None:
-        """Platt scaling of each view, and the combination of both, on the calibrating fold; on all
-        labelled rows if that fold lacks a class."""
+    def end_round(self) -> None:
+        self.w = [f.w for f in self.fits]
+        self.calibrate()
+        self.losses.append(self.checked())
+        if self.losses[-1] < self.best[0]:
+            self.best = self.losses[-1], self.w, self.platt, self.mix
+
+    def keep_best(self) -> None:
+        _, self.w, self.platt, self.mix = self.best
+
+    def _calibrating(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """The calibrating fold; all labelled rows if that fold lacks a class."""
         x, y = self.check
-        if len(set(y.tolist())) < 2:
-            x, y = self.x, self.y
+        return (x, y) if len(set(y.tolist())) == 2 else (self.x, self.y)
+
+    def calibrate(self) -> None:
+        """Platt scaling of each view, and the combination of both."""
+        x, y = self._calibrating()
         z = [logit(v, w) for v, w in zip(x, self.w, strict=True)]
         self.platt = [fit(v[:, None], y) for v in z]
         self.mix = fit(np.stack([v * p[0] + p[1] for v, p in zip(z, self.platt, strict=True)], 1), y)
 
+    def checked(self) -> float:
+        """The combined score's loss on the calibrating fold."""
+        x, y = self._calibrating()
+        z = [logit(v, w) * p[0] + p[1] for v, w, p in zip(x, self.w, self.platt, strict=True)]
+        return log_loss(logit(np.stack(z, 1), self.mix), y)
+
     def score(self, text: np.ndarray, meta: np.ndarray) -> list[np.ndarray]:
         """Calibrated text view, calibrated metadata view, and both."""
         z = [logit(v, w) * p[0] + p[1] for v, w, p in zip((text, meta), self.w, self.platt, strict=True)]
@@ -262,6 +347,10 @@ def _both(batch) -> list[np.ndarray]:
     return [_unpacked(batch.column("text"), TEXT), _unpacked(batch.column("meta"), META)]
 
 
+def _hash(batch) -> np.ndarray:
+    return batch.column("h").to_numpy()
+
+
 def _counts(pool: DataFrame, views: Views) -> list[dict[int, int]]:
     """For each view, the number of documents that it hasn't labelled by bin of its present logit."""
     sent = pool.sparkSession.sparkContext.broadcast(views.bare())
@@ -270,7 +359,7 @@ def _counts(pool: DataFrame, views: Views) -> list[dict[int, int]]:
         total = np.zeros((2, 2 * BOUND * FINE + 1), np.int64)
         for batch in batches:
             x = _both(batch)
-            for k, given in enumerate(sent.value.labels(x)):
+            for k, given in enumerate(sent.value.labels(x, _hash(batch))):
                 total[k] += np.bincount(bins(logit(x[k], sent.value.w[k]))[given < 0], minlength=total.shape[1])
         k, b = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(b), pa.array(total[k, b])], ["view", "bin", "n"])
@@ -285,7 +374,7 @@ def _lesson_sums(pool: DataFrame, views: Views, tasks: int) -> np.ndarray:
     sent = pool.sparkSession.sparkContext.broadcast(views.bare())
 
     def own(batches):
-        total = sum((sent.value.lesson_sums(_both(b)) for b in batches), start=np.zeros((TEXT + 1) * (TEXT + 2) + (META + 1) * (META + 2)))
+        total = sum((sent.value.lesson_sums(_both(b), _hash(b)) for b in batches), start=np.zeros(TEXT_SUMS + META_SUMS))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
     def merged(batches):
@@ -297,13 +386,13 @@ def _lesson_sums(pool: DataFrame, views: Views, tasks: int) -> np.ndarray:
     while tasks > SUMS:
         tasks = int(np.ceil(np.sqrt(tasks)))
         out = out.repartition(tasks).mapInArrow(merged, "sums binary")
-    total = np.sum([np.frombuffer(bytes(r.sums), float) for r in out.collect()], axis=0)
+    total = sum((np.frombuffer(bytes(r.sums), float) for r in out.collect()), start=np.zeros(TEXT_SUMS + META_SUMS))
     sent.destroy()
     return total
 
 
 def co_train(feats: DataFrame, sample: DataFrame, rounds: int = ROUNDS) -> Views | None:
-    """Both views after all rounds, calibrated; None if a class lacks lessons."""
+    """Both views, calibrated, as of the best round; None if a class lacks lessons."""
     small = F.broadcast(sample)  # at most SAMPLE rows of three numbers
     one = feats.join(small, "doc_id").groupBy("doc_id", "quality", "fold").agg(F.min(F.struct("text", "meta")).alias("x"))
     rows = one.select("doc_id", "quality", "fold", "x.*").orderBy("doc_id").collect()
@@ -311,13 +400,17 @@ def co_train(feats: DataFrame, sample: DataFrame, rounds: int = ROUNDS) -> Views
         return None
     views = Views(rows)
     free = feats.join(small.select("doc_id"), "doc_id", "left_anti")
-    pool = storage.stage(free.select("text", "meta").distinct(), "quality-pool")
+    own = F.shiftrightunsigned(F.xxhash64("text", "meta"), 32).alias("h")
+    pool = storage.stage(free.select("text", "meta").distinct().select("text", "meta", own), "quality-pool")
     tasks = pool.rdd.getNumPartitions()
     for _ in range(rounds):
-        views.close_round(_counts(pool, views))
-        for _ in range(STEPS):
-            views.step(_lesson_sums(pool, views, tasks))
-    views.calibrate()
+        if not views.close_round(_counts(pool, views)):
+            break
+        for _ in range(PASSES):
+            if views.observe(_lesson_sums(pool, views, tasks)):
+                break
+        views.end_round()
+    views.keep_best()
     return views
 
 
