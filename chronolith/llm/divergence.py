@@ -40,6 +40,8 @@ SCALE = 1_000_000_000
 #: Two factors of SCALE, so that counts to 2.9 * 10**14 multiply without overflow.
 _FIRST, _SECOND = 31_250, 32_000
 PART, BLOCK = 20_000, 256
+#: A language's vectors meet its sizes in so many groups.
+SALTS = 64
 #: Cells of counts that are evaluated at a time, and bytes of text that are counted at a time.
 CELLS, CHUNK_BYTES = 1 << 19, 4 << 20
 
@@ -134,7 +136,9 @@ def _pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("sources") / BLOCK).cast("int").alias("blocks")
     sizes = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("sources")).join(distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("d")), "lang", "left").select("lang", parts, blocks)
     block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    left = distinct.join(sizes, "lang").select("lang", F.pmod(F.xxhash64("vec"), "parts").cast("int").alias("part"), block, "vec", "m")
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a row for each language and salt
+    h = F.xxhash64("vec")
+    left = distinct.withColumn("salt", F.pmod(h, F.lit(SALTS)).cast("int")).join(salted, ["lang", "salt"]).select("lang", F.pmod(F.shiftright(h, 8), "parts").cast("int").alias("part"), block, "vec", "m")
     right = groups.join(sizes, "lang").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("lang", "part", block, "source", "total")
     by = ["lang", "part", "block"]
     sums = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_pair_sums, "lang string, source string, item string, high long, low long")
