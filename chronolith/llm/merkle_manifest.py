@@ -34,6 +34,8 @@ from . import storage
 FANOUT, DEPTH = 3, 5
 SPAN = FANOUT**DEPTH
 LIMIT, DIGIT = 512, 12
+#: Rows of a table that may be sent to all tasks; a larger one is met in so many parts of a key.
+SMALL, PARTS = 20_000, 64
 #: Bits of a leaf that part rows of equal ids.
 LEAF_BITS = 60
 _STEPS = "array<struct<before:string,after:string>>"
@@ -70,6 +72,15 @@ def leaves(docs: DataFrame) -> DataFrame:
 KEYS = ("k0", "k1", "k2")
 
 
+def _meet(rows: DataFrame, facts: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with the one row that ``facts`` (a staged table) has for their key, however many rows share it."""
+    if facts.count() <= SMALL:
+        return rows.join(F.broadcast(facts), on)
+    part = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    own = F.pmod(F.xxhash64("leaf"), F.lit(PARTS)).cast("int")
+    return rows.withColumn("__part", own).join(facts.withColumn("__part", part), [*on, "__part"]).drop("__part")
+
+
 def _cut(rows: DataFrame, limit: int) -> DataFrame:
     """For each bucket (tree, bucket) its size, the key that parts it, and the shift that leaves its next digit."""
     sizes = rows.groupBy("tree", "bucket").agg(F.count(F.lit(1)).alias("n"), *(f(k).alias(f"{f.__name__}_{k}") for k in KEYS for f in (F.min, F.max)))
@@ -86,9 +97,9 @@ def ranked(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     """The rows of :func:`leaves` with ``idx``, their place in their tree from 0."""
     todo, out = rows.withColumns({"bucket": F.lit(""), "first": F.lit(0).cast("long")}), []
     while True:
-        cuts = _cut(todo, limit)
+        cuts = storage.stage(_cut(todo, limit), "merkle-cuts")
         digit = F.coalesce(F.expr("shiftright(CASE key WHEN 0 THEN k0 WHEN 1 THEN k1 ELSE k2 END, shift)"), F.lit(0).cast("long"))
-        dealt = todo.join(cuts, ["tree", "bucket"]).withColumn("digit", digit).drop("key", "shift")
+        dealt = _meet(todo, cuts, ["tree", "bucket"]).withColumn("digit", digit).drop("key", "shift")
         by = ["tree", "bucket", "digit"]
         counts = dealt.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.first("first").alias("first"))
         before = Window.partitionBy("tree", "bucket").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)  # at most 2**DIGIT rows
@@ -215,8 +226,8 @@ def manifest(docs: DataFrame) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root and verified of every row."""
     rows = storage.stage(leaves(docs), "merkle-leaves")
     placed = storage.stage(ranked(rows), "merkle-ranks")
-    sizes = placed.groupBy("tree").agg(F.count(F.lit(1)).alias("n"))
-    first = placed.withColumnRenamed("leaf", "node").join(sizes, "tree")
+    sizes = storage.stage(placed.groupBy("tree").agg(F.count(F.lit(1)).alias("n")), "merkle-sizes")
+    first = _meet(placed, sizes, ["tree"]).withColumnRenamed("leaf", "node")
     given, subroots = rounds(first)
     trees = storage.stage(_in_order(subroots), "merkle-trees")
     top_given, top = rounds(trees)
