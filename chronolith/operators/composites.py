@@ -63,17 +63,38 @@ def blend_weights(df: DataFrame, period: str, y: str, p: str, q: str, weights: l
 
 @F.pandas_udf(DoubleType())
 def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    """Two-sided p-values of 2 x 2 tables: the sum over all tables as unlikely as the one seen."""
+    """Two-sided p-values of 2 x 2 tables: the sum over all tables as unlikely as the one seen. From either end of the
+    likelier ones it goes outwards until terms no longer count, so it takes as many steps as the tail is wide."""
 
     def one(a: int, b: int, c: int, d: int) -> float:
         lg = math.lgamma
         r, k, n = a + b, a + c, a + b + c + d
+        lo, hi = max(0, k - (n - r)), min(r, k)
 
         def log_p(x: int) -> float:
             return lg(r + 1) - lg(x + 1) - lg(r - x + 1) + lg(n - r + 1) - lg(k - x + 1) - lg(n - r - k + x + 1) - lg(n + 1) + lg(k + 1) + lg(n - k + 1)
 
-        seen = log_p(a)
-        return min(1.0, sum(math.exp(v) for v in map(log_p, range(max(0, k - (n - r)), min(r, k) + 1)) if v <= seen + 1e-9))
+        top, seen = min(hi, max(lo, (r + 1) * (k + 1) // (n + 2))), log_p(a) + 1e-9
+
+        def edge(inner: int, outer: int, way: int) -> int:
+            """The first table from ``inner`` to ``outer`` that is as unlikely as the one seen; one beyond, if none is."""
+            if log_p(outer) > seen:
+                return outer + way
+            near, far = 0, abs(outer - inner)
+            while near < far:
+                mid = (near + far) // 2
+                near, far = (near, mid) if log_p(inner + way * mid) <= seen else (mid + 1, far)
+            return inner + way * near
+
+        total = 0.0
+        left, right = edge(top, lo, -1), edge(top, hi, 1)
+        for start, stop, way in ((left, lo - 1, -1), (right if right != left else right + 1, hi + 1, 1)):
+            for x in range(start, stop, way):
+                term = math.exp(log_p(x))
+                total += term
+                if term < 1e-18 * total:
+                    break
+        return min(1.0, total)
 
     return pd.Series([one(*map(int, t)) for t in zip(a, b, c, d, strict=True)])
 

@@ -12,6 +12,7 @@ from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringInd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.staging import stage
 from .calibration import apply, fit
 
 NULL = "__null__"
@@ -60,7 +61,7 @@ def backtest(df: DataFrame, segment: str, period: str, y: str, key: str, numeric
     """Out-of-fold table (segment, fold, key, y, p, calibrated): for each segment and period with two
     before it, a base fit on periods before the last but one, Platt on the last one. Segments and
     periods are few; each fold's fits are jobs over its rows."""
-    df = df.persist()  # each fold reads it again
+    df = stage(df, "backtest")  # each fold reads it again
     folds = df.select(segment, period).distinct().orderBy(segment, period).collect()
     by: dict = {}
     for r in folds:

@@ -120,10 +120,8 @@ def paired_bootstrap(df: DataFrame, day: str, diff: str, replicates: int = 200,
 
 def mcnemar(df: DataFrame, a: Column, b: Column) -> DataFrame:
     """Discordant counts and the exact two-sided test: twice the binomial tail at even odds, 1 at most. The
-    driver gets two counts; the tail is summed from logarithms."""
-    from math import exp, lgamma, log
+    driver gets two counts."""
+    from .significance import binomial_tail
 
     na, nb = df.agg(F.count_if(a & ~b), F.count_if(~a & b)).first()
-    n = na + nb
-    tail = sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * log(2)) for k in range(min(na, nb) + 1))
-    return df.sparkSession.createDataFrame([(na, nb, min(1.0, 2 * tail) if n else 1.0)], "only_a long, only_b long, p double")
+    return df.sparkSession.createDataFrame([(na, nb, min(1.0, 2 * binomial_tail(na + nb, min(na, nb))) if na + nb else 1.0)], "only_a long, only_b long, p double")

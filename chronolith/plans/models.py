@@ -52,7 +52,7 @@ def order_features(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"))
     o = table(spark, sf, "orders").join(li, "o_orderkey").join(c, "o_custkey", "left")
     gap = lambda c, n: F.when(F.col("o_orderkey") % n != 0, F.col(c)).alias(c)
-    return o.select("o_orderkey", F.year("o_orderdate").alias("year"), "y", gap("quantity", 11), gap("discount", 7), "tax", F.col("lines").cast("double").alias("lines"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("priority"), "segment")
+    return o.select("o_orderkey", F.year("o_orderdate").alias("year"), (F.year("o_orderdate") * 4 + F.quarter("o_orderdate") - 1).alias("quarter"), "y", gap("quantity", 11), gap("discount", 7), "tax", F.col("lines").cast("double").alias("lines"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("priority"), "segment")
 
 
 @query(
@@ -116,7 +116,14 @@ def scoreline_classes(spark, sf):
     return E.multiclass(d.where("year < 1996"), d.where("year >= 1996"), "score", "o_orderkey", ["edge", "lines"], 4, ["edge"])
 
 
-@query("redundant_columns", "SELECT 'same' AS \"column\", 'duplicate' AS reason, 'q' AS of UNION ALL SELECT 'flat', 'constant', NULL")
+@query(
+    "redundant_columns",
+    """WITH d AS (SELECT row_number() OVER () AS r, l_quantity AS q, l_quantity + 0 AS same, 3.0::DOUBLE AS flat, l_tax FROM lineitem),
+v AS (SELECT r, 1 AS i, 'q' AS c, round(q, 12) AS v FROM d UNION ALL SELECT r, 2, 'same', round(same, 12) FROM d UNION ALL SELECT r, 3, 'flat', round(flat, 12) FROM d UNION ALL SELECT r, 4, 'l_tax', round(l_tax, 12) FROM d),
+k AS (SELECT i, c, min(coalesce(v, 0)) = max(coalesce(v, 0)) AS fixed FROM v GROUP BY 1, 2),
+p AS (SELECT b.i, b.c, min_by(a.c, a.i) AS of FROM (SELECT x.i AS ai, y.i AS bi FROM v x JOIN v y ON x.r = y.r AND x.i < y.i GROUP BY 1, 2 HAVING count(*) FILTER (WHERE coalesce(x.v, 0) <> coalesce(y.v, 0)) = 0) e JOIN k a ON a.i = e.ai JOIN k b ON b.i = e.bi WHERE NOT a.fixed GROUP BY 1, 2)
+SELECT c AS "column", 'constant' AS reason, NULL::VARCHAR AS of FROM k WHERE fixed UNION ALL SELECT p.c, 'duplicate', p.of FROM p JOIN k USING (i) WHERE NOT k.fixed""",
+)
 def redundant_columns(spark, sf):
     d = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), (F.col("l_quantity") + 0).alias("same"), F.lit(3.0).alias("flat"), "l_tax")
     return E.redundant(d, ["q", "same", "flat", "l_tax"])

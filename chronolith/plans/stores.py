@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..sources import io
 from ..sources.io import table
-from ..streaming.pipelines import shared_folder
+from ..sources.staging import new_path
 from .registry import query
 
-
-def _new(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 SUPPLIER = "s_suppkey long, s_name string, s_nationkey int, s_acctbal double"
 
 
 @query("source_csv_typed", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def source_csv_typed(spark, sf):
-    path = _new(spark, "csv")
+    path = new_path(spark, "csv")
     io.write_csv(table(spark, sf, "supplier"), path)
     schema = StructType.fromDDL(SUPPLIER)
     return io.read_csv(spark, path, schema, ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]).drop("source_path")
@@ -31,7 +24,7 @@ def source_csv_typed(spark, sf):
 @query("source_csv_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN CAST(o_orderdate AS DATE) END AS born FROM orders")
 def source_csv_dates(spark, sf):
     """Dates as yyyyMMdd; what is no date is null."""
-    path = _new(spark, "csv")
+    path = new_path(spark, "csv")
     text = F.when(F.col("o_orderkey") % 9 != 0, F.date_format("o_orderdate", "yyyyMMdd")).otherwise("00000000")
     io.write_csv(table(spark, sf, "orders").select("o_orderkey", text.alias("dob")), path)
     rows = io.read_csv(spark, path, StructType.fromDDL("o_orderkey long, dob string"))
@@ -40,7 +33,7 @@ def source_csv_dates(spark, sf):
 
 @query("source_years_pruned", "SELECT o_orderkey, o_totalprice, CAST(year(o_orderdate) AS INT) AS year FROM orders WHERE year(o_orderdate) BETWEEN 1994 AND 1996")
 def source_years_pruned(spark, sf):
-    path = _new(spark, "years")
+    path = new_path(spark, "years")
     io.write_parquet(table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("year")), path, ["year"])
     return io.years_between(spark, path, 1994, 1996)
 
@@ -48,7 +41,7 @@ def source_years_pruned(spark, sf):
 @query("source_provenance", "SELECT o_orderstatus AS family, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1")
 def source_provenance(spark, sf):
     """Files carry their family in their path; rows keep where they come from."""
-    path = _new(spark, "family")
+    path = new_path(spark, "family")
     table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("family")).write.partitionBy("family").option("header", True).csv(path)
     rows = io.read_csv(spark, f"{path}/*", StructType.fromDDL("o_orderkey long"))
     return rows.groupBy(F.regexp_extract("source_path", r"family=([^/]+)/", 1).alias("family")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
@@ -57,7 +50,7 @@ def source_provenance(spark, sf):
 @query("source_rankings", "SELECT c_custkey, CASE WHEN c_nationkey <> 7 THEN c_nationkey END AS rank, c_mktsegment FROM customer")
 def source_rankings(spark, sf):
     """Integers with a sentinel for what is missing."""
-    path = _new(spark, "csv")
+    path = new_path(spark, "csv")
     c = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_nationkey") == 7, -1).otherwise(F.col("c_nationkey")).alias("rank"), "c_mktsegment")
     io.write_csv(c, path)
     rows = io.read_csv(spark, path, StructType.fromDDL("c_custkey long, rank int, c_mktsegment string"))
@@ -73,7 +66,7 @@ def source_pruned_filter(spark, sf):
 
 @query("sink_parquet", "SELECT l_returnflag, count(*) AS n, round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY 1")
 def sink_parquet(spark, sf):
-    path = _new(spark, "sink")
+    path = new_path(spark, "sink")
     io.write_parquet(table(spark, sf, "lineitem").select("l_orderkey", "l_extendedprice", "l_returnflag"), path, ["l_returnflag"])
     return spark.read.parquet(path).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
 
@@ -88,7 +81,7 @@ def source_results_json(spark, sf):
     """A JSON list, with an era floor; the table has 25 rows."""
     day = F.date_add(F.lit("2020-01-01").cast("date"), F.col("n_nationkey")).cast("string")
     row = F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(day, F.lit("T10:00:00Z"))).otherwise(day).alias("date"))
-    path = _new(spark, "results")
+    path = new_path(spark, "results")
     _one_text(table(spark, sf, "nation").agg(F.to_json(F.collect_list(row)).alias("value")), path)
     return io.read_results_json(spark, path, "id int, name string, date string", floor="2020-01-04").select("id", "name", "day", "precision")
 
@@ -96,7 +89,7 @@ def source_results_json(spark, sf):
 @query("source_keyed_json", "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, n_regionkey AS region FROM nation")
 def source_keyed_json(spark, sf):
     entry = F.struct(F.col("n_nationkey").cast("string"), F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")))
-    path = _new(spark, "master")
+    path = new_path(spark, "master")
     _one_text(table(spark, sf, "nation").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")), path)
     return io.read_keyed_json(spark, path, "struct<name:string,region:int>")
 
@@ -132,7 +125,7 @@ for _name, _sql in VIEWS.items():
 @query("source_sitemap_xml", "SELECT page_id, url FROM pages WHERE url LIKE 'http%' AND page_id % 5 <> 0")
 def source_sitemap_xml(spark, sf):
     """Addresses of a sitemap; those of another site are left out."""
-    path = _new(spark, "sitemap")
+    path = new_path(spark, "sitemap")
     url = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("ftp://foreign/"), F.col("page_id"))).otherwise(F.col("url"))
     table(spark, sf, "pages").select(url.alias("loc"), "page_id").write.format("xml").option("rowTag", "url").option("rootTag", "urlset").save(path)
     rows = io.read_xml_rows(spark, path, "url", "loc string, page_id long")
@@ -141,7 +134,7 @@ def source_sitemap_xml(spark, sf):
 
 @query("sink_csv", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O'")
 def sink_csv(spark, sf):
-    path = _new(spark, "predictions")
+    path = new_path(spark, "predictions")
     io.write_csv(table(spark, sf, "orders").where("o_orderstatus = 'O'").select("o_orderkey", "o_totalprice"), path)
     return io.read_csv(spark, path, StructType.fromDDL("o_orderkey long, o_totalprice double")).drop("source_path")
 
@@ -149,7 +142,7 @@ def sink_csv(spark, sf):
 @query("source_runs_latest", "SELECT user_id, event_type, arg_max(value, ts) AS value FROM events GROUP BY 1, 2")
 def source_runs_latest(spark, sf):
     """A folder for each run; of a key's captures the latest stands."""
-    path = _new(spark, "runs")
+    path = new_path(spark, "runs")
     e = table(spark, sf, "events").select("user_id", "event_type", "value", F.col("ts").cast("string").alias("captured_at"), F.col("ts").cast("date").cast("string").alias("run"))
     e.write.partitionBy("run").json(path)
     rows = spark.read.schema("user_id long, event_type string, value double, captured_at string").json(f"{path}/*")

@@ -2,18 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is set and the master is local."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return (found or "file://" + tempfile.mkdtemp(prefix="chronolith-")).rstrip("/")
+from ..sources.staging import file_system, new_path
 
 
 def stream(spark: SparkSession, path: str, like: DataFrame, files: int = 1) -> DataFrame:
@@ -24,8 +15,8 @@ def stream(spark: SparkSession, path: str, like: DataFrame, files: int = 1) -> D
 
 
 def _is_file(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
+    p, fs = file_system(spark, path)
+    return fs.getFileStatus(p).isFile()
 
 
 def run(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -34,7 +25,7 @@ def run(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     before input ends: each batch appends the groups that it changed with its number, and the latest row of
     a group stands. State is bounded by the watermark either way."""
     spark = df.sparkSession
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    base = new_path(spark, "stream")
     writer = df.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if keys is None:
         writer.outputMode("append").format("parquet").option("path", f"{base}/out").start().awaitTermination()
