@@ -56,6 +56,8 @@ FREQUENT = 1 << 18
 HELD = 1_500_000
 #: Bits of the filter for sets to verify: 16 for each, up to 32 MB.
 FILTER_BITS = 1 << 28
+#: Bits that a task sets before it gives them out.
+FILTER_HELD = 1 << 20
 _CHUNK = 1 << 20
 #: Marks the place of an entry in a pair bucket.
 _PAIR = 1 << 31
@@ -405,14 +407,23 @@ def _filter(nodes: DataFrame) -> np.ndarray:
     bits = 1 << int(np.clip(np.ceil(np.log2(16 * max(1, nodes.count()))), 16, np.log2(FILTER_BITS)))
     slices = max(1, bits >> 20)
 
+    def packed(held: list[np.ndarray]):
+        """The slices in which bits are set, from the bits' sorted numbers."""
+        at, size = np.unique(np.concatenate(held)), bits // slices
+        for some in np.split(at, np.flatnonzero(np.diff(at // size)) + 1):
+            part = np.zeros(size, bool)
+            part[some % size] = True
+            yield pa.RecordBatch.from_arrays([pa.array([int(some[0] // size)]), pa.array([np.packbits(part).tobytes()], pa.binary())], ["slice", "bits"])
+
     def own(batches):
-        out = np.zeros(bits, bool)
+        held: list[np.ndarray] = []
         for batch in batches:
-            for x in _probes(np.asarray(batch.column("node")), np.asarray(batch.column("doc_id")), bits):
-                out[x] = True
-        for k, part in enumerate(np.split(out, slices)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.packbits(part).tobytes()], pa.binary())], ["slice", "bits"])
+            held += _probes(np.asarray(batch.column("node")), np.asarray(batch.column("doc_id")), bits)
+            if sum(map(len, held)) > FILTER_HELD:
+                yield from packed(held)
+                held = []
+        if sum(map(len, held)):
+            yield from packed(held)
 
     def merged(batches):
         got: dict[int, np.ndarray] = {}
