@@ -11,7 +11,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def fold(df: DataFrame, universe: list[str], order: list[str], inputs: list[str], step: Callable, outputs: str, start: Callable[[], dict] = dict, keep: list[str] | None = None) -> DataFrame:
@@ -77,11 +77,12 @@ def _k(n: int) -> float:
     return 250 / (n + 5) ** 0.4
 
 
-def elo_block(df: DataFrame, universe: list[str], day: str, order: list[str], a: str, b: str, y: str, surface: str, keep: list[str], base: float = 1500.0) -> DataFrame:
-    """Elo in day blocks: all rows of a day read the state before the day, and their deltas are
-    summed (exactly) when the next day begins. A general rating and one for each surface; without a
-    surface only the general one moves. Emits ratings before the day, both sides' games before it,
-    and the expectation from the mean of general and surface ratings."""
+BLOCK_SIDES = "elo_a double, elo_b double, surface_a double, surface_b double, games_a long, games_b long, expected double"
+
+
+def _blocks(base: float) -> tuple[Callable, Callable]:
+    """Start and step of Elo in day blocks. A row whose ``seed`` is set gives a state instead of a game: ``a``'s rating and
+    games on ``surface`` (general, if null)."""
 
     def start() -> dict:
         return {"day": None, "r": {}, "n": {}, "pending": {}}
@@ -93,10 +94,16 @@ def elo_block(df: DataFrame, universe: list[str], day: str, order: list[str], a:
         s["pending"] = {}
 
     def step(s: dict, row) -> tuple:
+        none = row.surface is None or row.surface != row.surface
+        seed = getattr(row, "seed", None)
+        if seed is not None and seed == seed:
+            key = (None if none else row.surface, row.a)
+            s["r"][key], s["n"][key] = seed, int(row.seed_games)
+            return (None,) * 9
         if row.day != s["day"]:
             close(s)
             s["day"] = row.day
-        kinds = [None] if row.surface is None or row.surface != row.surface else [None, row.surface]
+        kinds = [None] if none else [None, row.surface]
         got = {}
         for kind in kinds:
             ka, kb = (kind, row.a), (kind, row.b)
@@ -106,12 +113,64 @@ def elo_block(df: DataFrame, universe: list[str], day: str, order: list[str], a:
             s["pending"].setdefault(kb, []).append(_k(s["n"].get(kb, 0)) * (e - row.y))
             got[kind] = ra, rb
         ga, gb = got[None]
-        sa, sb = got.get(row.surface if len(kinds) > 1 else None)
-        return ga, gb, sa, sb, s["n"].get((None, row.a), 0), s["n"].get((None, row.b), 0), _p((ga + sa) / 2, (gb + sb) / 2)
+        sa, sb = got[kinds[-1]]
+        n = [s["n"].get((kind, x), 0) for kind in (None, kinds[-1]) for x in (row.a, row.b)]
+        return ga, gb, sa, sb, n[0], n[1], _p((ga + sa) / 2, (gb + sb) / 2), n[2], n[3]
 
+    return start, step
+
+
+def elo_block(df: DataFrame, universe: list[str], day: str, order: list[str], a: str, b: str, y: str, surface: str, keep: list[str], base: float = 1500.0) -> DataFrame:
+    """Elo in day blocks: all rows of a day read the state before the day, and their deltas are
+    summed (exactly) when the next day begins. A general rating and one for each surface; without a
+    surface only the general one moves. Emits ratings before the day, both sides' games before it,
+    and the expectation from the mean of general and surface ratings."""
+    start, step = _blocks(base)
     d = df.withColumnsRenamed({day: "day", a: "a", b: "b", y: "y", surface: "surface"})
-    out = "elo_a double, elo_b double, surface_a double, surface_b double, games_a long, games_b long, expected double"
-    return fold(d, universe, ["day", *order], ["day", "a", "b", "y", "surface"], step, out, start, keep)
+    return fold(d, universe, ["day", *order], ["day", "a", "b", "y", "surface"], lambda s, r: step(s, r)[:7], BLOCK_SIDES, start, keep)
+
+
+def elo_block_seeded(states: DataFrame | None, games: DataFrame, universe: str, order: list[str], base: float = 1500.0) -> DataFrame:
+    """Day-block Elo over ``games`` (universe, day, order, a, b, y, surface) that begins with ``states`` (universe, entity,
+    kind, rating, games). Keeps the games' columns, and adds what :func:`elo_block` emits and both sides' games on the surface."""
+    start, step = _blocks(base)
+    cols = list(dict.fromkeys([universe, "day", *order, "a", "b", "y", "surface"]))
+    rows = games.select(*cols).withColumns({"seed": F.lit(None).cast("double"), "seed_games": F.lit(None).cast("long"), "is_game": F.lit(1)})
+    if states is not None:
+        kinds = {f.name: f.dataType for f in games.schema}
+        general = F.when(F.col("kind") != "general", F.col("kind"))
+        own = {universe: F.col(universe), "a": F.col("entity").cast(kinds["a"]), "surface": general, "seed": F.col("rating"), "seed_games": F.col("games"), "is_game": F.lit(0)}
+        rows = rows.unionByName(states.select(*[own.get(c, F.lit(None).cast(kinds[c]) if c in kinds else None).alias(c) for c in [*cols, "seed", "seed_games", "is_game"]]))
+    out = fold(rows, [universe], ["is_game", "day", *order, "a", "surface"], ["day", "a", "b", "y", "surface", "seed", "seed_games"], step, BLOCK_SIDES + ", surface_games_a long, surface_games_b long", start, [*[c for c in cols if c != universe], "is_game"])
+    return out.where("is_game = 1").drop("is_game")
+
+
+def mixed_days(df: DataFrame, universe: list[str], day: str, order: list[str], a: str, b: str, y: str, frozen: str, keep: list[str], k: float = 32.0, base: float = 1500.0) -> DataFrame:
+    """Emit, then observe: online Elo in which rows of a day with ``frozen`` set all read the state before the day, and are
+    observed in order when a later day begins; other days are observed row by row. Ratings and expectation before each row."""
+
+    def start() -> dict:
+        return {"day": None, "r": {}, "pending": []}
+
+    def observe(s: dict, x, z, won: float) -> None:
+        p, q = s["r"].get(x, base), s["r"].get(z, base)
+        d = k * (won - _p(p, q))
+        s["r"][x], s["r"][z] = p + d, q - d
+
+    def step(s: dict, row) -> tuple:
+        if row.day != s["day"]:
+            for game in s["pending"]:
+                observe(s, *game)
+            s["day"], s["pending"] = row.day, []
+        p, q = s["r"].get(row.a, base), s["r"].get(row.b, base)
+        if row.frozen:
+            s["pending"].append((row.a, row.b, row.y))
+        else:
+            observe(s, row.a, row.b, row.y)
+        return p, q, _p(p, q)
+
+    d = df.withColumnsRenamed({day: "day", a: "a", b: "b", y: "y", frozen: "frozen"})
+    return fold(d, universe, ["day", *order], ["day", "a", "b", "y", "frozen"], step, "rating_a double, rating_b double, expected double", start, keep)
 
 
 def _phi(x: float) -> float:

@@ -8,7 +8,7 @@ from ..functions.scalars import log_loss
 from ..operators import calibration as C, estimators as E, folds as R, incremental as I
 from ..sources.io import table
 from .aggregates import PRED, predictions
-from .folds import ORDER, games
+from .folds import GAMES_SQL, ORDER, elo_sql, games
 from .registry import query
 from .validation import models
 
@@ -152,12 +152,12 @@ def _parts(spark, sf):
     return g.where(F.col("day") <= CUT), g.where(F.col("day") > CUT), rate
 
 
-@query("elo_seeded")
+@query("elo_seeded", elo_sql("32 * (y - e)", f"AND on_day > {CUT}"))
 def elo_seeded(spark, sf):
     """Games after the cut, continued from the states that the games before it left."""
     old, new, rate = _parts(spark, sf)
     states = I.states_after(rate(old), "universe", ORDER)
-    return I.seeded_elo(states, new, "universe", ORDER, ["game"]).select("universe", "game", "b", "rating_a", "rating_b", "expected")
+    return I.seeded_elo(states, new, "universe", ORDER, ["game"]).select("universe", "game", "b", *[F.round(c, 6).alias(c) for c in ("rating_a", "rating_b", "expected")])
 
 
 @query("elo_checkpoints")
@@ -166,10 +166,14 @@ def elo_checkpoints(spark, sf):
     return I.block_checkpoints(rate(games(spark, sf)), "universe")
 
 
-@query("elo_states")
+@query(
+    "elo_states",
+    f"""WITH o AS ({elo_sql("32 * (y - e)", digits=15)}), {GAMES_SQL}, x AS (SELECT g.universe, g.day, g.game, g.b AS opp, unnest([{{'e': g.a, 'r': rating_a + 32 * (g.y - expected)}}, {{'e': g.b, 'r': rating_b - 32 * (g.y - expected)}}]) AS s FROM g JOIN o ON o.universe = g.universe AND o.game = g.game AND o.b = g.b)
+SELECT universe, s.e AS entity, round(arg_max(s.r, {{'d': day, 'g': game, 'b': opp}}), 6) AS rating, max(day) AS day FROM x GROUP BY 1, 2""",
+)
 def elo_states(spark, sf):
     _, _, rate = _parts(spark, sf)
-    return I.states_after(rate(games(spark, sf)), "universe", ORDER)
+    return I.states_after(rate(games(spark, sf)), "universe", ORDER).withColumn("rating", F.round("rating", 6))
 
 
 @query(
