@@ -6,9 +6,11 @@ matches that fail their check are dropped. They seed the bootstrap:
 1. Candidates are runs of 1 to ``RUN`` white-space words, single spaces between them, each with a digit,
    an @ or an underscore, that no base span touches; without the marks around them they have ``LEAST``
    characters or more. What has a card's or an IP's form and fails its check is no candidate.
-2. Each occurrence of a seed or candidate has patterns: its shape (digits 0, runs of letters a), its
-   shape with runs of digits as one, the word before it, the two words before, the word after, and the word before or after with the shape.
-   Context words are lower-cased, without marks around them and with 0 for digits; they are looked for
+2. Each occurrence of a seed or candidate has patterns, each with a word of its context: the word before it, the two words
+   before, the label (a word that ends in a colon, an equals sign or a number sign) among the ``NEAR`` words before, the word
+   after; the word before or after with the value's shape (digits 0, runs of letters a); and each of the ``NEAR`` words
+   before and after with its coarse shape (runs of digits as one). No pattern is a shape alone: what a value looks like counts
+   only in a context that seeds have. Context words are lower-cased, without marks around them and with 0 for digits; they are looked for
    in ``CONTEXT`` characters on either side, whatever matches stand there.
 3. Patterns and distinct values form a bipartite graph. A pattern's score for a kind is the summed
    score of its values over their number plus one; a seed scores 1 for its kind. Patterns of
@@ -17,10 +19,12 @@ matches that fail their check are dropped. They seed the bootstrap:
    also a seed; it has the kind it scores best for (ties: first by name). Steps 3 and 4 repeat
    ``ROUNDS`` times, or until nothing changes: promoted values support new patterns.
 5. Values that score ``MIN_VALUE`` or more become spans of the kind ``ctx_<kind>`` wherever they are
-   candidates, unless they lie inside another such span. Base spans stay as they are.
+   candidates: of those that begin at one place the one of the best score (ties: the longest), unless it lies inside another such
+   span. A value that begins where better ones do, and is the best at no such place, is a piece of theirs and gives no span. Base
+   spans stay as they are.
 
-Only distinct (pattern, value) pairs are joined, and sums are pre-aggregated, so that a very common
-word or value is one row. The text is read once; what the rounds need is written in between.
+Only distinct (pattern, value) pairs are joined, patterns of fewer than ``MIN_SUPPORT`` values never (they can't be trusted
+in any round), and sums are pre-aggregated, so that a very common word or value is one row. The text is read once; what the rounds need is written in between.
 
 Regular expressions differ from the plain ones only in that they can't backtrack: possessive
 repeats where the next character can't belong to the repeat, and starts bound to the beginning of a
@@ -54,6 +58,7 @@ WORD = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@_]*+[0-9@_])[^\x20\x09-\x0D]
 #: Marks before a candidate; a parenthesis that closes before its end belongs to it.
 LEAD = r"^(?!\([^()]*+\)[\x20-])[^\p{L}\p{N}+@_]*+"
 RUN, LEAST, CONTEXT = 6, 6, 128
+NEAR = 4
 MIN_SUPPORT, MIN_PATTERN, MIN_VALUE, ROUNDS = 5.0, 0.7, 0.7, 4
 #: Block of the two-level running sum below.
 _BLOCK = 256
@@ -202,19 +207,32 @@ def shape(value: Column) -> Column:
 
 
 def lexical_patterns(value: Column, before: Column, after: Column) -> Column:
-    """Patterns of an occurrence, each with a mark of what it is."""
+    """Patterns of an occurrence, each with a mark of what it is and at least one context word."""
     plain = lambda w: F.regexp_replace(F.regexp_replace(F.lower(w), r"^[^\p{L}\p{N}+@]++|(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$", ""), "[0-9]", "0")
-    word = r"[^\x20\x09-\x0D]{1,60}"
-    left = lambda n: F.regexp_extract(before, rf"(?<![^\x20\x09-\x0D])({word})[\x20\x09-\x0D]++" + rf"{word}[\x20\x09-\x0D]++" * (n - 1) + "$", 1)
-    one, two = plain(left(1)), plain(left(2))
-    right = plain(F.regexp_extract(after, rf"^[^\x20\x09-\x0D]*+[\x20\x09-\x0D]++({word})", 1))
-    form = shape(value)
-    return F.array_compact(F.array(
-        F.concat(F.lit("= "), form), F.concat(F.lit("~ "), F.regexp_replace(form, "0++", "0")),
-        F.when(one != "", F.concat(F.lit("1< "), one)), F.when(one != "", F.concat(F.lit("1<= "), one, F.lit(" "), form)),
-        F.when((one != "") & (two != ""), F.concat(F.lit("2< "), two, F.lit(" "), one)),
-        F.when(right != "", F.concat(F.lit(">1 "), right)), F.when(right != "", F.concat(F.lit("=>1 "), form, F.lit(" "), right)),
-    ))
+    blank = r"[\x20\x09-\x0D]+"
+    short = lambda w: (w != "") & (F.length(w) <= 60)
+    # the first word before and the last one after may be cut off where the context ends
+    ahead = F.split(before, blank)
+    ahead = F.filter(F.when(F.length(before) >= CONTEXT, F.slice(ahead, F.lit(2), F.size(ahead))).otherwise(ahead), short)
+    ahead = F.reverse(F.slice(F.reverse(ahead), 1, NEAR))
+    behind = F.split(after, blank)
+    last = F.when(F.length(after) >= CONTEXT, F.size(behind) - 2).otherwise(F.size(behind) - 1)
+    behind = F.slice(F.filter(F.slice(behind, F.lit(2), F.greatest(F.lit(0), last)), short), 1, NEAR)
+
+    def made(x: Column) -> Column:
+        form, near = x["form"], x["ahead"]
+        coarse = F.regexp_replace(form, "0++", "0")
+        one, two, right = F.try_element_at(near, F.lit(-1)), F.try_element_at(near, F.lit(-2)), F.try_element_at(x["behind"], F.lit(1))
+        some = F.array(
+            F.concat(F.lit("1< "), one), F.concat(F.lit("1<= "), one, F.lit(" "), form), F.concat(F.lit("2< "), two, F.lit(" "), one),
+            F.concat(F.lit(">1 "), right), F.concat(F.lit("=>1 "), form, F.lit(" "), right), F.concat(F.lit("l< "), x["label"]),
+        )
+        bag = lambda side, ws: F.transform(ws, lambda w: F.concat(F.lit(side), w, F.lit(" "), coarse))
+        return F.array_compact(F.concat(some, bag("b<= ", near), bag("=>b ", x["behind"])))
+
+    words = lambda ws: F.filter(F.transform(ws, plain), lambda w: w != "")
+    label = F.try_element_at(F.filter(ahead, lambda w: w.rlike(r"[\p{L}\p{N}][:=#]++$")), F.lit(-1))
+    return let(F.struct(shape(value).alias("form"), words(ahead).alias("ahead"), words(behind).alias("behind"), plain(label).alias("label")), made)
 
 
 def edges(found_: DataFrame) -> DataFrame:
@@ -224,10 +242,12 @@ def edges(found_: DataFrame) -> DataFrame:
 
 def bootstrap(graph: DataFrame) -> DataFrame:
     """Candidate values and the kind and score that the graph gives them."""
-    held = graph.groupBy("pattern").agg(F.count_distinct("value").alias("values"))
+    held = graph.groupBy("pattern").agg(F.count_distinct("value").alias("values")).where(F.col("values") >= MIN_SUPPORT)
+    again = graph.where("kind IS NOT NULL").select("value", "kind").distinct().join(graph.where("kind IS NULL").select("value").distinct().hint("merge"), "value", "left_semi").withColumn("score", F.lit(1.0))
+    graph = storage.stage(graph.join(held.hint("merge"), "pattern"), "pii-shared")
+    held = graph.select("pattern", "values").distinct()
     seeds = graph.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.count_distinct("value").cast("double").alias("score"))
     free = graph.where("kind IS NULL").select("pattern", "value")
-    again = graph.where("kind IS NOT NULL").select("value", "kind").distinct().join(free.select("value").distinct().hint("merge"), "value", "left_semi").withColumn("score", F.lit(1.0))
     known, before = storage.stage(again, "pii-values"), None
     for _ in range(ROUNDS):
         # the values known differ from the seeds of the same pattern, or count there already
@@ -255,8 +275,13 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, ``base`` and ``added`` spans (kind, start, end, value)."""
     spots = storage.stage(spotted(docs), "pii-spots")
     seen = storage.stage(occurrences(spots), "pii-occurrences")
-    values = bootstrap(storage.stage(edges(seen), "pii-graph")).select("value", F.concat(F.lit("ctx_"), "kind").alias("kind"))
+    values = bootstrap(storage.stage(edges(seen), "pii-graph")).select("value", F.concat(F.lit("ctx_"), "kind").alias("kind"), F.round("score", 9).alias("score"))
     at = seen.where("kind IS NULL").drop("kind").join(values.hint("merge"), "value")
+    start = Window.partitionBy(*ROW, "start")  # at most RUN rows
+    ranked = storage.stage(at.withColumns({"best": F.row_number().over(start.orderBy(F.desc("score"), F.desc("end"))), "rivals": F.count(F.lit(1)).over(start)}), "pii-ranked")
+    contested = ranked.where("rivals > 1").groupBy("value").agg(F.min("best").alias("best"))
+    whole = ranked.join(contested.where("best > 1").select("value").hint("merge"), "value", "left_anti")
+    at = whole.withColumn("best", F.row_number().over(start.orderBy(F.desc("score"), F.desc("end")))).where("best = 1").drop("best", "score", "rivals")
     outer = F.max("end").over(Window.partitionBy(*ROW).orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1))
     at = at.withColumn("outer", outer).where(F.col("outer").isNull() | (F.col("end") > F.col("outer")))
     added = at.groupBy(*ROW).agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end", "value"))).alias("added"))
