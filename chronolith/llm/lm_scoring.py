@@ -18,9 +18,11 @@ All counts cover all documents, words and bigrams, and stay distributed:
 
 1. Documents are coded once, in chunks of at most ``CHUNK`` bytes or one document: the hashes of a
    chunk's words, and its documents as places in them.
-2. A chunk asks for its distinct words and its distinct bigrams. What it asks is sorted by hash and cut
-   into ranges, whose number follows the text. One range meets in one task, which adds the counts up and
-   answers each chunk; a chunk asks for a key once, however often it has it, so no key is hot.
+2. A chunk asks for its distinct words and its distinct bigrams, sorted by hash and cut into ranges. Chunks are the leaves of a
+   tree whose nodes have some ``FAN`` children: a node's task gets what its children ask in one range, adds the counts
+   up, and asks the same, once, of its own parent, in ranges that are cut further. The root's tasks have the sums of all text; answers go
+   down the way that questions came. So a task has some ``FAN`` rows at every level, however many chunks there are and however
+   many of them have a word, and a chunk makes at most ``FAN`` / 2 rows of each kind. Up to ``FAN`` chunks there is one level.
 3. The answers meet their chunk, which scores its documents.
 
 Only three sums (N of each model and V) reach the driver. Words and bigrams are 64-bit hashes: among
@@ -49,6 +51,8 @@ MU = 50.0
 FLUSH = 1_500_000
 #: Bytes of text in a chunk, and for each range of hashes.
 CHUNK, RANGE = 8 << 20, 16 << 20
+#: Children of a node, on average.
+FAN = 256
 #: The token before a document's first.
 _START = np.uint64(0x9D8F3C5B7A61E24F)
 
@@ -175,6 +179,35 @@ class Coded:
         return np.unique(pair, return_index=True, return_inverse=True)
 
 
+ASKED = "node string, range int, keys binary, counts binary"
+
+
+def _questions(node: str, keys: np.ndarray, counts: np.ndarray, ranges: int, first: int = 0, last: int | None = None) -> pa.Table:
+    """Rows of ASKED: sorted keys with a node's counts of them, cut into the ranges from ``first`` to before ``last`` of
+    ``ranges``."""
+    last = ranges if last is None else last
+    cut = np.searchsorted((keys >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24), np.arange(first, last + 1))
+    full = np.flatnonzero(np.diff(cut))
+    parts = [slice(cut[p], cut[p + 1]) for p in full]
+    return pa.table(
+        {
+            "node": pa.array([node] * len(full), pa.string()),
+            "range": pa.array(full + first, pa.int32()),
+            "keys": pa.array([_planes(np.diff(keys[p], prepend=np.uint64(0))) for p in parts], pa.binary()),
+            "counts": pa.array([_planes(counts[:, p].astype(np.int64).ravel()) for p in parts], pa.binary()),
+        }
+    )
+
+
+def _added(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of rows of ASKED the distinct keys, the sums of their counts, and each row's places in them."""
+    keys = [np.cumsum(_unplanes(x.as_py(), np.uint64), dtype=np.uint64) for x in t["keys"]]
+    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.concatenate([_unplanes(x.as_py(), np.int64).reshape(-1, len(k)) for x, k in zip(t["counts"], keys, strict=True)], 1)
+    sums = np.stack([np.bincount(at, x, len(every)) for x in counts]).astype(np.int64)
+    return every, sums, np.split(at, np.cumsum([len(k) for k in keys])[:-1])
+
+
 def _asked(chunks_: DataFrame, what: str, ranges: int) -> DataFrame:
     """What each chunk asks, by range of hashes: its distinct ``what`` and its own counts of them, in all
     documents and in target ones; for words the counts as a token, then those as the token before."""
@@ -192,38 +225,59 @@ def _asked(chunks_: DataFrame, what: str, ranges: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 keys, counts = ask({k: batch.column(k)[i].as_py() for k in ("lengths", "goal", "words", "seq")})
-                cut = np.searchsorted((keys >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24), np.arange(ranges + 1))
-                full = np.flatnonzero(np.diff(cut))
-                parts = [slice(cut[p], cut[p + 1]) for p in full]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([batch.column("chunk")[i].as_py()] * len(full), pa.string()),
-                        pa.array(full, pa.int32()),
-                        pa.array([_planes(np.diff(keys[p], prepend=np.uint64(0))) for p in parts], pa.binary()),
-                        pa.array([_planes(np.concatenate([n[p] for n in counts]).astype(np.int64)) for p in parts], pa.binary()),
-                    ],
-                    ["chunk", "range", "keys", "counts"],
-                )
-
-    return chunks_.mapInArrow(run, "chunk string, range int, keys binary, counts binary")
-
-
-def _answered(asked: DataFrame, what: str) -> DataFrame:
-    """The sums of what all chunks counted, for each chunk and range in the order asked. ``found``, ``n``
-    and ``n_target`` are the range's tokens: distinct, all and target ones (in one of its rows)."""
-
-    def total(t: pa.Table) -> pa.Table:
-        keys = [np.cumsum(_unplanes(x.as_py(), np.uint64), dtype=np.uint64) for x in t["keys"]]
-        ends = np.cumsum([len(k) for k in keys])[:-1]
-        every, at = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.concatenate([_unplanes(x.as_py(), np.int64).reshape(-1, len(k)) for x, k in zip(t["counts"], keys, strict=True)], 1)
-        sums = np.stack([np.bincount(at, x, len(every)) for x in counts]).astype(np.int64)
-        facts = np.zeros((3, len(keys)), np.int64)
-        facts[:, 0] = np.count_nonzero(sums[0]), sums[0].sum(), sums[1].sum()
-        blobs = [_planes(np.concatenate(list(sums[:, x]))) for x in np.split(at, ends)]
-        return pa.table({"chunk": t["chunk"], "range": t["range"], "what": pa.array([what] * len(keys)), "sums": pa.array(blobs, pa.binary()), "found": facts[0], "n": facts[1], "n_target": facts[2]})
-
-    return asked.groupBy("range").applyInArrow(total, "chunk string, range int, what string, sums binary, found long, n long, n_target long")
+                yield from _questions(batch.column("chunk")[i].as_py(), keys, np.stack(counts), ranges).to_batches()
+
+    return chunks_.mapInArrow(run, ASKED)
+
+
+ANSWERED = "node string, range int, sums binary, found long, n long, n_target long"
+
+
+def _answers(t: pa.Table, sums: np.ndarray, at: list[np.ndarray], facts: list[int]) -> pa.Table:
+    """``sums`` for each row that asked, in its order; ``facts`` in the first row."""
+    rows = np.zeros((3, len(at)), np.int64)
+    rows[:, 0] = facts
+    blobs = [_planes(np.concatenate(list(sums[:, x]))) for x in at]
+    return pa.table({"node": t["node"], "range": t["range"], "sums": pa.array(blobs, pa.binary()), "found": rows[0], "n": rows[1], "n_target": rows[2]})
+
+
+def _answered(asked: DataFrame, nodes: int, ranges: int, total: int) -> DataFrame:
+    """The sums of what all nodes counted, for each node and range in the order asked. ``found``, ``n`` and ``n_target`` are
+    tokens: distinct, all and target ones, of each range in one of its rows. ``nodes`` have asked in ``ranges`` ranges; the
+    root answers in some ``total``."""
+
+    def summed(t: pa.Table) -> pa.Table:
+        _, sums, at = _added(t)
+        return _answers(t, sums, at, [np.count_nonzero(sums[0]), sums[0].sum(), sums[1].sum()])
+
+    if nodes <= FAN:
+        return asked.groupBy("range").applyInArrow(summed, ANSWERED)
+    parents = -(-nodes // FAN)
+    cut = max(1, min(FAN // 2, -(-total // ranges)))
+
+    def merged(key: tuple, t: pa.Table) -> pa.Table:
+        every, sums, _ = _added(t)
+        r = key[1].as_py()
+        return _questions(key[0].as_py(), every, sums, ranges * cut, r * cut, (r + 1) * cut)
+
+    def passed_on(key: tuple, t: pa.Table, got: pa.Table) -> pa.Table:
+        _, sums, at = _added(t)
+        got = got.sort_by("range")
+        whole = np.concatenate([_unplanes(x.as_py(), np.int64).reshape(len(sums), -1) for x in got["sums"]], 1)
+        return _answers(t, whole, at, [int(np.sum(got[k].to_numpy())) for k in ("found", "n", "n_target")])
+
+    asked = storage.stage(asked, "asked")
+    up = asked.withColumn("parent", F.concat(F.lit(f"{parents}-"), F.pmod(F.xxhash64("node"), F.lit(parents)).cast("string")))
+    given = _answered(up.groupBy("parent", "range").applyInArrow(merged, ASKED), parents, ranges * cut, total)
+    down = given.select(F.col("node").alias("to"), F.expr(f"`range` div {cut}").cast("int").alias("of"), "range", "sums", "found", "n", "n_target")
+    return up.groupBy("parent", "range").cogroup(down.groupBy("to", "of")).applyInArrow(passed_on, ANSWERED)
+
+
+def counted(parts: DataFrame, what: str, size: int) -> DataFrame:
+    """What each chunk of ``parts`` asked of ``what``, answered; ``size`` is the text's in bytes."""
+    nodes, total = parts.count(), 1 + size // RANGE
+    ranges = total if nodes <= FAN else min(total, max(1, FAN // 2))
+    return _answered(_asked(parts, what, ranges), nodes, ranges, total).withColumnRenamed("node", "chunk").withColumn("what", F.lit(what))
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, size: int | None = None) -> DataFrame:
@@ -233,9 +287,9 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, size: int | Non
     wanted = target.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().withColumn("__t", F.lit(True))
     # the target's ids grow with the corpus: both sides shuffle, at any size
     marked = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("__t", F.lit(False)).alias("target"))
-    ranges = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE
+    text = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = coded(marked, vocab)
-    of_words = storage.stage(_answered(_asked(parts, "words", ranges), "words"), "word-counts")
+    of_words = storage.stage(counted(parts, "words", text), "word-counts")
     facts = of_words.agg(F.sum("found"), F.sum("n"), F.sum("n_target")).first()
     found, n_all, n_goal = (x or 0 for x in facts)
     types = 1 + (found if vocab is None else len(vocab) + CLASSES)
@@ -260,7 +314,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, size: int | Non
         none = c.lengths == 0
         return pa.table([mine["ids"][0].values, pa.array(c.lengths), *(pa.array(x, mask=none) for x in (goal, back, goal - back))], ["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
 
-    answers = of_words.unionByName(_answered(_asked(parts, "bigrams", ranges), "bigrams")).select("chunk", "range", "what", "sums")
+    answers = of_words.unionByName(counted(parts, "bigrams", text)).select("chunk", "range", "what", "sums")
     texts = parts.select("chunk", "ids", "lengths", "words", "seq")
     return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, n_tokens long, loss_target double, loss_background double, score double")
 

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from chronolith.llm import lm_scoring as L
+from chronolith.llm import lm_scoring as L, storage
 
 DOCS = "doc_id long, text string, target string, n string"
 
@@ -88,8 +88,12 @@ def test_no_targets_and_no_rows(spark):
     assert L.cross_entropy_difference(df.where("false"), none).collect() == []
 
 
-def test_every_word_counts(spark, monkeypatch):
+@pytest.mark.parametrize("fan", [256, 4])
+def test_every_word_counts(spark, monkeypatch, fan):
+    """Counts by one level, and by a tree of several."""
     monkeypatch.setattr(L, "RANGE", 1 << 12)
+    monkeypatch.setattr(L, "FAN", fan)
+    monkeypatch.setattr(L, "CHUNK", 1 << (20 if fan > 4 else 10))
     rnd = random.Random(5)
     pools = [[f"{k}{''.join(rnd.choice('abcdefgh') for _ in range(4))}" for _ in range(2500)] for k in "xy"]
     rows = [(i, " ".join(rnd.choice(pools[i % 2]) for _ in range(rnd.randint(0, 120)))) for i in range(120)]
@@ -107,3 +111,29 @@ def test_every_word_counts(spark, monkeypatch):
         if n:
             assert got[d].loss_target == pytest.approx(goal) and got[d].loss_background == pytest.approx(back)
     assert got[201].score < got[200].score
+
+
+def test_rows_grow_as_the_text_does(spark, monkeypatch):
+    """Eight times the chunks ask eight times the rows at each level, and no node asks more of them."""
+    for k, x in (("RANGE", 512), ("FAN", 4), ("CHUNK", 256)):
+        monkeypatch.setattr(L, k, x)
+    made, stage = [], storage.stage
+
+    def kept(df, name):
+        out = stage(df, name)
+        if name == "asked":
+            made[-1].append(out)
+        return out
+
+    monkeypatch.setattr(storage, "stage", kept)
+    rnd = random.Random(3)
+    line = lambda: "the " + " ".join(f"w{rnd.randrange(4000)}" for _ in range(30))
+    for n in (16, 128):
+        made.append([])
+        rows = [(i, line(), "", "") for i in range(n)]
+        L.cross_entropy_difference(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(0,)], "doc_id long")).count()
+    total = [sum(x.count() for x in level) for level in made]
+    assert 0 < total[1] <= 16 * total[0]  # 8, and higher levels, each half of the one below it
+    for level in made:
+        for x in level:
+            assert x.groupBy("node").count().agg({"count": "max"}).first()[0] <= L.FAN**2
