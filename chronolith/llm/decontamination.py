@@ -4,22 +4,20 @@ Words are lower-cased (A-Z) runs of letters, digits and bytes beyond ASCII; punc
 them. An item's or window's shingles are its ``K``-word runs (all its words as one, if fewer). A
 shingle weighs 1 / (number of items that hold it), so what many items share counts for less.
 
-1. Each item that shares no shingle with another has a ``BITS``-bit SimHash of its shingles, which weigh
-   the same. ``HammingIndex`` cuts fingerprints into blocks; two within ``RADIUS`` bits agree in some
+1. Each item has a ``BITS``-bit SimHash of its shingles, each with the square root of its weight; an item that shares a shingle with
+   another one has a second one, in which all weigh the same. With square roots the cosine of two bags is at least
+   2 J / (1 + J) for a weighted Jaccard J, whatever the weights are, so that one radius serves for all of them.
+   ``HammingIndex`` cuts fingerprints into blocks; two within ``RADIUS`` bits agree in some
    block to within RADIUS // blocks bits, and each block's table lists, for each value of the block, the
    items that near to it.
    An item of fewer than ``K`` words is one shingle, so only windows of the very same words reach the
-   threshold; those of ``LEAST`` words or more are looked up by hash in every document. Shorter ones
-   are ordinary words and match only a document that is the same words.
+   threshold; those are looked up by hash in every document.
 2. A document's window, for an item of L words, is any L words in a row (all words of a shorter
-   document). Windows that hold no shingle of any item have similarity 0 to all and aren't
-   fingerprinted; that loses nothing.
+   document). A window reaches the threshold only if shingles of items make up three quarters of it, by
+   weight or by number; other windows aren't fingerprinted, which loses nothing.
 3. The index gives the items within the radius of each window's fingerprint. At the threshold the
-   expected distance is 44 of 256 bits at most (what a window has of other items weighs less, which
-   brings it nearer), with a deviation of 6; the radius is 4.5 deviations away, so the share of pairs at
-   the very threshold that it misses is a few in a million.
-   Where weights differ, as in an item with shared shingles, no such radius holds: those items are
-   compared with each window by an upper bound of both similarities of step 4, which misses none.
+   expected distance is 44 of 256 bits at most, with a deviation of 6; the radius is 4.5 deviations away, so the share
+   of pairs at the very threshold that it misses is a few in a million.
 4. Candidates are verified: weighted Jaccard of the shingles with their multiplicities, at least
    ``THRESHOLD``; or else plain Jaccard, at least that. A shingle that no item holds weighs most, so in
    an item that occurs often a single changed word outweighs the rest by far; plain Jaccard finds it.
@@ -48,8 +46,6 @@ K = 5
 THRESHOLD = 0.75
 BITS, BLOCKS, RADIUS = 256, 16, 71
 ITEMS = 4096
-#: Words of the shortest item that is looked for inside documents.
-LEAST = 3
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -77,7 +73,7 @@ def signs(h: np.ndarray) -> np.ndarray:
 
 def simhash(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """The fingerprint of one bag of shingles, packed into bytes."""
-    return np.packbits(signs(h).T.astype(np.float64) @ weight > 0, bitorder="little")
+    return np.packbits(signs(h).T.astype(np.float64) @ weight > 1e-9, bitorder="little")
 
 
 class HammingIndex:
@@ -131,36 +127,27 @@ class Items:
                 self.holders.setdefault(x, set()).add(self.lengths[i])
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.known >> np.uint64(44)).astype(np.int64)] = True
-        #: Items with a shingle that others hold too, the shingles of each with their weights, and who holds a shingle.
-        self.shared = {i: np.fromiter(b, np.uint64, len(b)) for i, b in enumerate(self.bags) if any(self.df.get(x, 0) > 1 for x in b)}
-        self.totals: dict[int, tuple[float, int, float]] = {}
-        at: dict[int, list[int]] = {}
-        for i, keys in self.shared.items():
-            w, n = self.weight(keys), np.fromiter(self.bags[i].values(), float, len(keys))
-            self.totals[i] = float(w @ n), int(n.sum()), THRESHOLD * min(n.sum(), float(w @ n) / w.max()) - 1e-6
-            for x in keys.tolist():
-                at.setdefault(x, []).append(i)
-        self.sharers = {x: np.array(v) for x, v in at.items()}
-        #: Items of LEAST to K - 1 words: for each number of words their hashes in order, and who has each.
+        #: Items of fewer than K words: for each number of words their hashes in order, and who has each.
         self.short: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
-        for size in range(LEAST, K):
+        for size in range(1, K):
             own = {}
             for i, b in enumerate(self.bags):
                 if self.lengths[i] == size:
                     own.setdefault(next(iter(b)), []).append(i)
             if own:
                 self.short[size] = np.array(sorted(own), np.uint64), [own[x] for x in sorted(own)]
-        #: The others, by place in the index.
-        self.alone = np.array([i for i in range(len(self.bags)) if i not in self.shared], np.int64)
-        self.alone_sizes = {self.lengths[i] for i in self.alone.tolist()}
-        self.index = HammingIndex(np.array([self._print(self.bags[i]) for i in self.alone], np.uint8)) if len(self.alone) else None
+        #: Items by place in the indexes: by weighted fingerprints all, by plain ones those with a shingle that others hold.
+        long = [i for i in range(len(self.bags)) if self.lengths[i] >= K]
+        shared = [i for i in long if any(self.df.get(x, 0) > 1 for x in self.bags[i])]
+        self.indexes = [(np.array(x, np.int64), HammingIndex(np.array([self._print(self.bags[i], plain) for i in x], np.uint8)), plain) for x, plain in ((long, False), (shared, True)) if x]
 
     def weight(self, h: np.ndarray) -> np.ndarray:
         return 1.0 / np.maximum(1, [self.df.get(x, 0) for x in h.tolist()])
 
-    def _print(self, bag: Counter) -> np.ndarray:
+    def _print(self, bag: Counter, plain: bool) -> np.ndarray:
         h = np.fromiter(bag, np.uint64, len(bag))
-        return simhash(h, self.weight(h) * np.fromiter(bag.values(), float, len(bag)))
+        n = np.fromiter(bag.values(), float, len(bag))
+        return simhash(h, n if plain else np.sqrt(self.weight(h)) * n)
 
     def similarity(self, bag: Counter, i: int) -> tuple[float, float]:
         """Weighted and plain Jaccard of a bag and an item's: sum of minima by sum of maxima."""
@@ -190,43 +177,35 @@ class Items:
         """The best similarity and its window's first word, for each item that a document holds.
         ``h``: the document's shingles in order; ``hits``: places of known ones; ``words``: its words."""
         found: dict[int, tuple[bool, float, int]] = {}
-        self._compared(h, hits, words, found)
-        for size in sorted({n for x in set(h[hits].tolist()) for n in self.holders[x]} & self.alone_sizes):
+        sizes = sorted({n for x in set(h[hits].tolist()) for n in self.holders[x]} - set(range(K)))
+        if not sizes:
+            return {}
+        w, known = self.weight(h), np.zeros(len(h))
+        known[hits] = 1
+        run = lambda x: np.concatenate([[0.0], np.cumsum(x)])
+        totals = run(w), run(w * known), run(known)
+        for size in sizes:
             width = max(1, min(size, words) - K + 1)  # shingles in a window
-            starts = self._windows(hits, width, len(h))
-            for part in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-                for cut in range(0, len(part), 4096):  # bounded pieces of a long run
-                    self._fingerprinted(h, int(part[cut]), min(4096, len(part) - cut), width, size, found)
+            mass, held, count = (c[width:] - c[:-width] for c in totals)
+            for ids, index, plain in self.indexes:
+                starts = np.flatnonzero(count >= THRESHOLD * width - 1e-6 if plain else held >= THRESHOLD * mass - 1e-6)
+                for part in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
+                    for cut in range(0, len(part), 4096):  # bounded pieces of a long run
+                        n = min(4096, len(part) - cut)
+                        self._fingerprinted(h, None if plain else w, int(part[cut]), n, width, size, ids, index, found)
         return {i: x[1:] for i, x in found.items()}
 
-    def _compared(self, h: np.ndarray, hits: np.ndarray, words: int, found: dict) -> None:
-        """Items with shared shingles against all windows that an upper bound leaves."""
-        holds = [self.sharers[x] for x in h[hits].tolist() if x in self.sharers]
-        if not holds:
-            return
-        items, n = np.unique(np.concatenate(holds), return_counts=True)
-        near = [i for i, c in zip(items.tolist(), n.tolist(), strict=True) if c >= self.totals[i][2]]
-        w = self.weight(h) if near else None
-        sums = lambda x, width: (c := np.concatenate([[0.0], np.cumsum(x)]))[width:] - c[:-width]
-        for i in near:
-            width = max(1, min(self.lengths[i], words) - K + 1)
-            mine = np.isin(h, self.shared[i])
-            of_item, count, _ = self.totals[i]
-            both, alike = sums(np.where(mine, w, 0.0), width), sums(mine, width)
-            # a window's repeated shingles may exceed the item's, so these are bounds
-            weighted = both / np.maximum(1e-12, np.maximum(of_item, sums(w, width) + of_item - both))
-            plain = alike / np.maximum(count, width + count - alike)
-            for k in np.flatnonzero(np.maximum(weighted, plain) >= THRESHOLD - 1e-6).tolist():
-                self._verify(Counter(h[k : k + width].tolist()), i, k, found)
-
-    def _fingerprinted(self, h: np.ndarray, lo: int, n: int, width: int, size: int, found: dict) -> None:
-        """Windows lo .. lo + n - 1 through the index; verified matches go to ``found``."""
-        own = h[lo : lo + n + width - 1]
+    def _fingerprinted(self, h: np.ndarray, w: np.ndarray | None, lo: int, n: int, width: int, size: int, ids: np.ndarray, index: HammingIndex, found: dict) -> None:
+        """Windows lo .. lo + n - 1 through an index; verified matches go to ``found``."""
+        part = slice(lo, lo + n + width - 1)
+        own, each = h[part], signs(h[part]).astype(np.float64)
+        if w is not None:
+            each *= np.sqrt(w[part])[:, None]
         total = np.zeros((len(own) + 1, BITS))
-        np.cumsum(signs(own) * self.weight(own)[:, None], axis=0, out=total[1:])
+        np.cumsum(each, axis=0, out=total[1:])
         prints = np.packbits(total[width:] - total[:-width] > 1e-9, axis=1, bitorder="little")
-        for k, i in zip(*map(np.ndarray.tolist, self.index.search(prints)), strict=True):
-            i = int(self.alone[i])
+        for k, i in zip(*map(np.ndarray.tolist, index.search(prints)), strict=True):
+            i = int(ids[i])
             if self.lengths[i] == size:
                 self._verify(Counter(own[k : k + width].tolist()), i, lo + k, found)
 
@@ -245,15 +224,6 @@ class Items:
                 if k + size <= bounds[d + 1]:
                     yield from ((d, i, k - int(bounds[d])) for i in holders[at[k]])
 
-    @staticmethod
-    def _windows(hits: np.ndarray, width: int, n: int) -> np.ndarray:
-        """First shingles of the windows that hold a hit."""
-        mark = np.zeros(n + 2, np.int64)
-        np.add.at(mark, np.maximum(0, hits - width + 1), 1)
-        np.add.at(mark, hits + 1, -1)
-        starts = np.flatnonzero(np.cumsum(mark)[:n] > 0)
-        return starts[starts <= n - width]
-
 
 def _frequencies(benchmark: DataFrame) -> DataFrame:
     """block-wise items with the number of items that hold each of their shingles."""

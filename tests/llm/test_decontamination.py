@@ -103,7 +103,7 @@ def test_short_items_inside_documents(spark):
     items = [(1, "answer key hidden"), (2, "two words"), (3, "one"), (4, "A b c d"), (5, "answer key hidden")]
     docs = [(1, "the Answer: key, hidden below"), (2, "these two words are ordinary"), (3, "two words"), (4, "answer key"), (5, "x a b c d a b c d"), (6, "hidden answer key"), (7, "answer key"), (8, "hidden")]
     got = D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert sorted((r.doc_id, r.item_id, r.similarity, r.at) for r in got) == [(1, 1, 1.0, 1), (1, 5, 1.0, 1), (3, 2, 1.0, 0), (5, 4, 1.0, 1)]
+    assert sorted((r.doc_id, r.item_id, r.similarity, r.at) for r in got) == [(1, 1, 1.0, 1), (1, 5, 1.0, 1), (2, 2, 1.0, 1), (3, 2, 1.0, 0), (5, 4, 1.0, 1)]
 
 
 def test_stage_drops_no_clean_row_for_its_id(spark, tmp_path):
@@ -132,3 +132,40 @@ def test_repeated_items_and_templates_with_one_word_changed(spark):
         got = D.contamination(df, bench, per_block=per_block).collect()
         assert {(r.doc_id, r.item_id) for r in got} == want
         assert {r.at for r in got} == {30}
+
+
+def test_weights_keep_within_the_radius():
+    """With square roots of the weights, bags at the threshold are near each other however unlike their weights are."""
+    rnd = np.random.default_rng(3)
+    far = []
+    for _ in range(60):
+        n = int(rnd.integers(20, 120))
+        h = rnd.integers(0, 1 << 63, n).astype(np.uint64)
+        w = 1.0 / rnd.choice([1, 2, 10, 200], n)
+        order, total = rnd.permutation(n), w.sum()
+        out = order[np.cumsum(w[order]) < total / 7]  # each bag lacks some of the other's: 5 / 7 in common, then 3 / 4
+        side = rnd.random(len(out)) < 0.5
+        a, b = np.ones(n, bool), np.ones(n, bool)
+        a[out[side]], b[out[~side]] = False, False
+        if w[a & b].sum() / total >= 0.75:
+            far.append(np.bitwise_count(D.simhash(h[a], np.sqrt(w[a])) ^ D.simhash(h[b], np.sqrt(w[b]))).sum())
+    assert len(far) > 40 and max(far) <= D.RADIUS
+
+
+def test_a_long_text_of_a_shared_template_takes_little_memory():
+    import time
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rnd = random.Random(2)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    frame = text(12)
+    items = D.Items(list(range(2000)), [f"{frame} {text(30)}" for _ in range(2000)])
+    doc = pa.array([" ".join(f"{frame} {text(3)}" for _ in range(10_000))])  # 1 MB
+    _, _, wb, sh, sb = next(D.word_shingles(doc))
+    tracemalloc.start()
+    t = time.time()
+    assert items.search(sh, items.hits(sh), int(wb[1])) == {}
+    assert tracemalloc.get_traced_memory()[1] < 200e6 and time.time() - t < 60
+    tracemalloc.stop()
