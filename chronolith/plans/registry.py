@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import aggregates, composites, decisions, diagnostics, features, folds, incremental, joins, models, opponents, records, scalars, sets, stores, streams, validation, windows  # noqa: F401
+    from . import aggregates, composites, decisions, diagnostics, features, folds, incremental, joins, models, opponents, pages, records, scalars, sets, stores, streams, validation, windows  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
