@@ -47,11 +47,15 @@ def asof_join(
 def edition_asof(left: DataFrame, seen: DataFrame, on: list[str], left_time: str, edition: str, captured: str, value: str) -> DataFrame:
     """The latest edition (not the latest capture) strictly before each left row, captured before it
     too. An edition whose captures disagree gives a null value; the earliest capture is reported."""
-    both = left.join(seen, on, "left").where(F.col(edition).isNull() | ((F.col(edition) < F.col(left_time)) & (F.col(captured) < F.col(left_time))))
-    per = both.groupBy(*left.columns, edition).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.min(captured).alias(captured))
-    last = per.groupBy(*left.columns).agg(F.max_by(F.struct(edition, captured, "__lo", "__hi"), edition).alias("e"))
-    out = left.join(last, left.columns, "left")
-    return out.select(*left.columns, f"e.{edition}", f"e.{captured}", F.when(F.col("e.__lo") == F.col("e.__hi"), F.col("e.__lo")).alias(value))
+    per = seen.groupBy(*on, edition, captured).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    so_far = Window.partitionBy(*on, edition).orderBy(captured).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = per.withColumns({"__lo": F.min("__lo").over(so_far), "__hi": F.max("__hi").over(so_far), "__first": F.min(captured).over(so_far)})
+    # from when on an edition is known, and the latest one known by then
+    known = per.groupBy(*on, edition).agg(F.greatest(F.col(edition), F.min(captured)).alias("__at")).groupBy(*on, "__at").agg(F.max(edition).alias("__e"))
+    known = known.withColumn("__e", F.max("__e").over(Window.partitionBy(*on).orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    one = asof_join(left, known, on, left_time, "__at", ["__e"], prefix="").withColumnRenamed("__e", edition).drop("__at")
+    out = asof_join(one, run, [*on, edition], left_time, captured, ["__lo", "__hi", "__first"], prefix="__c")
+    return out.select(*left.columns, edition, F.col("__c__first").alias(captured), F.when(F.col("__c__lo") == F.col("__c__hi"), F.col("__c__lo")).alias(value))
 
 
 def valid_at(t: Column, start: Column, end: Column) -> Column:

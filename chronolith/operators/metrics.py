@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .significance import quantiles
+
 from ..functions.scalars import brier, log_loss
 
 
@@ -51,11 +53,8 @@ def expected_calibration_error(df: DataFrame, by: list[str], bins: int = 10, y:
 
 def quantile_reliability(df: DataFrame, bins: int = 10, y: str = "y", p: str = "p") -> DataFrame:
     """Bins between linearly interpolated quantiles; equal edges collapse; right-closed."""
-    qs = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = df.agg(F.array_distinct(F.percentile(p, qs)).alias("edges"))  # one row
-    d = df.crossJoin(F.broadcast(edges))
-    inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
-    d = d.withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col(p))))
+    inner = F.array(*map(F.lit, sorted(set(quantiles(df, p, [i / bins for i in range(bins + 1)])))[1:-1])).cast("array<double>")
+    d = df.withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col(p))))
     return d.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(p), 6).alias("mean_p"), F.round(F.avg(F.col(y).cast("double")), 6).alias("mean_y"))
 
 

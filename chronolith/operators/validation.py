@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import brier, log_loss
+from ..sources.staging import stage
 
 
 #: Seasons that expanding folds are made for; each row is in one fold for each later season.
@@ -59,19 +60,26 @@ def gate(champion: DataFrame, challenger: DataFrame, key: str, y: str, p: str, l
     return m.select("n", *[F.round(c, 6).alias(c) for c in m.columns[1:]], ok.cast("int").alias("promoted"))
 
 
+#: Groups whose two numbers the driver holds.
+MOST_GROUPS = 100_000
+
+
 def platt(df: DataFrame, by: list[str], y: str, p: str, steps: int = 30) -> DataFrame:
     """Slope and intercept of a logistic fit on the logit, for each group. Newton's sums are
     aggregations over the data; only they (five numbers a group) meet in one place."""
     from ..functions.scalars import logit
 
-    d = df.where(F.col(p).isNotNull()).select(*by, F.col(y).cast("double").alias("y"), logit(F.col(p)).alias("x"))
+    x = df.where(F.col(p).isNotNull()).select(*by, F.col(y).cast("double").alias("y"), logit(F.col(p)).alias("x"))
+    d = stage(x.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s")), "platt")  # equal logits once
     fit = d.select(*by).distinct().withColumn("a", F.lit(1.0)).withColumn("b", F.lit(0.0)).toPandas()
+    if len(fit) > MOST_GROUPS:
+        raise ValueError(f"{len(fit)} groups are more than the {MOST_GROUPS} that are fitted at a time")
     spark = df.sparkSession
     for _ in range(steps):
         q = 1 / (1 + F.exp(-(F.col("a") * F.col("x") + F.col("b"))))
-        w = d.join(F.broadcast(spark.createDataFrame(fit)), by).withColumn("q", q).withColumn("w", F.col("q") * (1 - F.col("q")))
+        w = d.join(F.broadcast(spark.createDataFrame(fit)), by).withColumn("g", F.col("n") * q - F.col("s")).withColumn("w", F.col("n") * q * (1 - q))
         s = w.groupBy(*by, "a", "b").agg(
-            F.sum((F.col("q") - F.col("y")) * F.col("x")).alias("ga"), F.sum(F.col("q") - F.col("y")).alias("gb"),
+            F.sum(F.col("g") * F.col("x")).alias("ga"), F.sum("g").alias("gb"),
             F.sum(F.col("w") * F.col("x") ** 2).alias("haa"), F.sum(F.col("w") * F.col("x")).alias("hab"), F.sum("w").alias("hbb"),
         ).toPandas()
         det = (s.haa + 1e-6) * (s.hbb + 1e-6) - s.hab**2
@@ -83,23 +91,28 @@ def platt(df: DataFrame, by: list[str], y: str, p: str, steps: int = 30) -> Data
 
 
 def isotonic(df: DataFrame, y: str, p: str) -> DataFrame:
-    """Pool-adjacent-violators steps (p_from, p_to, value, n): equal probabilities are summed first,
-    so what is pooled has a row for each distinct one."""
+    """Pool-adjacent-violators steps (p_from, p_to, value, n). Equal probabilities are summed first, ranges of them are
+    pooled each in its task, and the blocks that are left, of which there are few, are pooled once more: pooling gives the same
+    blocks in whatever order it is done."""
     per = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.sum(F.col(y).cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
+    each = per.select(F.col(p).cast("double").alias("p_from"), F.col(p).cast("double").alias("p_to"), "s", "n")
 
     def pool(batches):
         blocks: list[list[float]] = []
         for pdf in batches:
-            for x, s, n in zip(pdf[p], pdf["s"], pdf["n"], strict=True):
-                blocks.append([x, x, s, n])
+            for lo, hi, s, n in zip(pdf["p_from"], pdf["p_to"], pdf["s"], pdf["n"], strict=True):
+                blocks.append([lo, hi, s, n])
                 while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
-                    _, hi, s1, n1 = blocks.pop()
-                    blocks[-1][1] = hi
+                    _, end, s1, n1 = blocks.pop()
+                    blocks[-1][1] = end
                     blocks[-1][2] += s1
                     blocks[-1][3] += n1
-        yield pd.DataFrame([(a, b, s / n, int(n)) for a, b, s, n in blocks], columns=["p_from", "p_to", "value", "n"])
+        yield pd.DataFrame([(a, b, s, int(n)) for a, b, s, n in blocks], columns=["p_from", "p_to", "s", "n"])
 
-    return per.repartition(1).sortWithinPartitions(p).mapInPandas(pool, "p_from double, p_to double, value double, n long")
+    kind = "p_from double, p_to double, s double, n long"
+    some = each.repartitionByRange("p_from").sortWithinPartitions("p_from").mapInPandas(pool, kind)
+    whole = some.repartition(1).sortWithinPartitions("p_from").mapInPandas(pool, kind)
+    return whole.select("p_from", "p_to", (F.col("s") / F.col("n")).alias("value"), "n")
 
 
 def paired_bootstrap(df: DataFrame, day: str, diff: str, replicates: int = 200, seed: int = 7) -> DataFrame:

@@ -59,13 +59,17 @@ def form_of_last(df: DataFrame, key: str, day: str, win: str, n: int = 10) -> Da
     w = Window.partitionBy(key).orderBy(day)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     run = days.withColumn("__n", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("__w", F.coalesce(F.sum("wins").over(before), F.lit(0)))
-    # day j is in the form of day i iff the results after j and before i are fewer than n: the first
-    # such day is where the running count first exceeds (count before i) - n
-    frame = w.rowsBetween(Window.unboundedPreceding, -1)
-    past = F.collect_list(F.struct((F.col("__n") + F.col("n")).alias("upto"), F.col("__n").alias("n"), F.col("__w").alias("w"))).over(frame)
-    run = run.withColumn("__first", F.get(F.filter(past, lambda x: x["upto"] > F.col("__n") - n), F.lit(0)))
-    held, won = F.col("__n") - F.col("__first.n"), F.col("__w") - F.col("__first.w")
-    return run.select(key, day, F.coalesce(held, F.lit(0)).cast("long").alias("form_n"), F.try_divide(won, held).alias("form"))
+    # day j is in the form of day i iff the results after j and before i are fewer than n: the first such day is the one
+    # with the least running count above (count before i) - n. Days (by the count after them) and questions stand in one
+    # sequence by falling count, and the last day seen is carried on
+    here = run.select(key, day, F.col("__n").alias("total"), F.col("__w").alias("all_won"), (F.col("__n") - n).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast("struct<upto:bigint,n:bigint,w:double>").alias("__day"))
+    past = run.select(key, F.lit(None).cast(df.schema[day].dataType).alias(day), F.lit(None).cast("long").alias("total"), F.lit(None).cast("double").alias("all_won"), (F.col("__n") + F.col("n")).alias("__at"), F.lit(1).alias("__side"),
+                      F.struct((F.col("__n") + F.col("n")).alias("upto"), F.col("__n").alias("n"), F.col("__w").cast("double").alias("w")).alias("__day"))
+    carried = F.last("__day", ignorenulls=True).over(Window.partitionBy(key).orderBy(F.desc("__at"), "__side").rowsBetween(Window.unboundedPreceding, -1))
+    asked = here.withColumn("all_won", F.col("all_won").cast("double")).unionByName(past).withColumn("__first", carried).where("__side = 0")
+    known = F.col("__first.upto") <= F.col("total")  # else the day itself is the first one
+    held, won = F.when(known, F.col("total") - F.col("__first.n")), F.when(known, F.col("all_won") - F.col("__first.w"))
+    return asked.select(key, day, F.coalesce(held, F.lit(0)).cast("long").alias("form_n"), F.try_divide(won, held).alias("form"))
 
 
 def head_to_head(df: DataFrame, a: str, b: str, order: list[str], won_a: str) -> DataFrame:

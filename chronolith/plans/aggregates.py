@@ -8,6 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions.scalars import confidence_band, devig
 from ..operators import metrics as M
+from ..operators.significance import quantiles
 from ..sources.io import events, table
 from .registry import query
 
@@ -273,9 +274,8 @@ def two_way_fatigue(spark, sf):
 )
 def quantile_segments(spark, sf):
     o = table(spark, sf, "orders")
-    q = o.agg(F.percentile("o_totalprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("e"))  # one row
-    quart = reduce(lambda a, i: a + (F.col("o_totalprice") > F.col("e")[i]).cast("int"), range(3), F.lit(1))
-    return o.crossJoin(F.broadcast(q)).groupBy(quart.alias("quart")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    quart = reduce(lambda a, e: a + (F.col("o_totalprice") > e).cast("int"), quantiles(o, "o_totalprice", [0.25, 0.5, 0.75]), F.lit(1))
+    return o.groupBy(quart.alias("quart")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query(

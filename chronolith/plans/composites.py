@@ -213,16 +213,26 @@ def opponent_strength(spark, sf):
     return events(spark, sf).withColumn("v", v).select("event_id", (F.coalesce(F.avg("v").over(prior(["user_id"], ["ts", "event_id"], 5)), F.lit(150000)) / 100).alias("strength"))
 
 
-@query("fisher_segments")
+@query(
+    "fisher_segments",
+    """WITH g AS (SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS a, count(*) FILTER (o_orderstatus <> 'F') AS b FROM orders GROUP BY 1), t AS (SELECT *, sum(a) OVER () - a AS c, sum(b) OVER () - b AS d FROM g),
+m AS (SELECT o_orderpriority, a, b, a + b AS r, a + c AS k, a + b + c + d AS n FROM t), x AS (SELECT *, unnest(range(greatest(0, k - n + r)::BIGINT, least(r, k)::BIGINT + 1)) AS x FROM m),
+l AS (SELECT *, lgamma(r + 1) - lgamma(x + 1) - lgamma(r - x + 1) + lgamma(n - r + 1) - lgamma(k - x + 1) - lgamma(n - r - k + x + 1) - lgamma(n + 1) + lgamma(k + 1) + lgamma(n - k + 1) AS lp FROM x),
+s AS (SELECT o_orderpriority, lp AS seen FROM l WHERE x = a) SELECT l.o_orderpriority, any_value(a) AS a, any_value(b) AS b, round(least(1.0, sum(exp(lp)) FILTER (lp <= seen + 1e-9)), 6) AS p FROM l JOIN s USING (o_orderpriority) GROUP BY 1""",
+)
 def fisher_segments(spark, sf):
     o = table(spark, sf, "orders")
     g = o.groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "F").alias("a"), F.count_if(F.col("o_orderstatus") != "F").alias("b"))
     w = Window.partitionBy(F.lit(0))  # a row for each priority
     g = g.withColumn("c", F.sum("a").over(w) - F.col("a")).withColumn("d", F.sum("b").over(w) - F.col("b"))
-    return g.select("o_orderpriority", "a", "b", fisher_exact("a", "b", "c", "d").alias("p"))
+    return g.select("o_orderpriority", "a", "b", F.round(fisher_exact("a", "b", "c", "d"), 6).alias("p"))
 
 
-@query("html_rows")
+@query(
+    "html_rows",
+    """WITH p AS (SELECT page_id, regexp_extract_all(html, '<li>(.*?)</li>', 1) AS li FROM pages), u AS (SELECT page_id, generate_subscripts(li, 1) - 1 AS pos, unnest(li) AS x FROM p)
+SELECT page_id, pos, replace(trim(regexp_replace(x, '<[^>]*>', '', 'g')), '&amp;', '&') AS text, nullif(replace(regexp_extract(x, 'href="([^"]*)"', 1), '&amp;', '&'), '') AS href FROM u""",
+)
 def html_rows(spark, sf):
     return html_table(table(spark, sf, "pages").select("page_id", "html"), "page_id", "html", "li")
 

@@ -74,9 +74,14 @@ def platt(spark, sf):
     return V.platt(models(spark, sf).where("m2 > 0 AND m2 < 1"), ["period"], "y", "m1")
 
 
-@query("isotonic")
+@query(
+    "isotonic",
+    f"""WITH c AS (SELECT m1 AS p, sum(y)::DOUBLE AS s, count(*) AS n FROM ({MODELS}) WHERE m1 IS NOT NULL GROUP BY 1), k AS (SELECT *, sum(s) OVER w AS cs, sum(n) OVER w AS cn FROM c WINDOW w AS (ORDER BY p)),
+r AS (SELECT a.p AS pa, b.p AS pb, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS m FROM k a JOIN k b ON a.p <= b.p), l AS (SELECT c.p, r.pa, min(r.m) AS lo FROM c JOIN r ON r.pa <= c.p AND r.pb >= c.p GROUP BY 1, 2),
+v AS (SELECT p, round(max(lo), 9) AS value FROM l GROUP BY 1) SELECT min(p) AS p_from, max(p) AS p_to, value, sum(n)::BIGINT AS n FROM v JOIN c USING (p) GROUP BY value""",
+)
 def isotonic(spark, sf):
-    return V.isotonic(models(spark, sf), "y", "m1")
+    return V.isotonic(models(spark, sf), "y", "m1").withColumn("value", F.round("value", 9))
 
 
 @query("paired_bootstrap")
