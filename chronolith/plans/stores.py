@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 from pyspark.sql.types import StructType
 
 from ..sources import io
@@ -151,10 +151,20 @@ def source_runs_latest(spark, sf):
 
 @query(
     "source_publication",
-    """SELECT page_id, lower(url) AS url, CASE WHEN url NOT LIKE 'http%' THEN 'url' WHEN conf NOT BETWEEN 50 AND 100 THEN 'confidence' ELSE '' END AS reason FROM (SELECT page_id, url, 40 + page_id % 60 AS conf, page_id % 3 AS day FROM pages) WHERE day = 1""",
+    """WITH p AS (SELECT page_id, DATE '2024-01-01' + CAST(page_id % 28 AS INT) AS day, url, 40 + page_id % 60 AS conf FROM pages)
+SELECT day, page_id, lower(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)) || regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1), '[?#].*$', ''), '/$', '') AS url,
+CASE WHEN NOT regexp_matches(url, '^https?://[^/?#]+') THEN 'url' WHEN conf NOT BETWEEN 50 AND 100 THEN 'confidence' WHEN row_number() OVER (PARTITION BY day, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) ORDER BY conf DESC, page_id) > 1 THEN 'host_repeated' ELSE '' END AS reason FROM p""",
 )
 def source_publication(spark, sf):
-    """Rows of the target day, each with the first reason against publishing it."""
-    p = table(spark, sf, "pages").select("page_id", "url", (40 + F.col("page_id") % 60).alias("conf"), (F.col("page_id") % 3).alias("day")).where("day = 1")
-    reason = F.when(~F.col("url").startswith("http"), "url").when(~F.col("conf").between(50, 100), "confidence").otherwise("")
-    return p.select("page_id", F.lower("url").alias("url"), reason.alias("reason"))
+    """Publications, a folder of JSON lines for each day, with canonical addresses and the first reason against each row: no web
+    address, a confidence out of range, or a host that the day has with a higher one."""
+    path = new_path(spark, "publication")
+    p = table(spark, sf, "pages").select("page_id", "url", (40 + F.col("page_id") % 60).alias("confidence"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 28).cast("int")).alias("day"))
+    p.write.partitionBy("day").json(path)
+    rows = spark.read.schema("page_id long, url string, confidence double, day date").json(path)
+    host = F.lower(F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1))
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://[^/?#]*(.*)$", 1), r"[?#].*$", ""), "/$", "")
+    url = F.concat(F.lower(F.regexp_extract("url", r"^([a-z]+://[^/?#]*)", 1)), rest)
+    again = F.row_number().over(Window.partitionBy("day", host).orderBy(F.desc("confidence"), "page_id")) > 1
+    reason = F.when(~F.col("url").rlike(r"^https?://[^/?#]+"), "url").when(~F.col("confidence").between(50, 100), "confidence").when(again, "host_repeated").otherwise("")
+    return rows.select("day", "page_id", url.alias("url"), reason.alias("reason"))
