@@ -50,7 +50,7 @@ MU = 50.0
 #: Distinct counts that a task gathers before it hands them on.
 FLUSH = 1_500_000
 #: Bytes of text in a chunk, and for each range of hashes.
-CHUNK, RANGE = 8 << 20, 16 << 20
+CHUNK, RANGE = 8 << 20, 8 << 20
 #: Children of a node, on average.
 FAN = 256
 #: The token before a document's first.
@@ -202,10 +202,14 @@ def _questions(node: str, keys: np.ndarray, counts: np.ndarray, ranges: int, fir
 def _added(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Of rows of ASKED the distinct keys, the sums of their counts, and each row's places in them."""
     keys = [np.cumsum(_unplanes(x.as_py(), np.uint64), dtype=np.uint64) for x in t["keys"]]
-    every, at = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.concatenate([_unplanes(x.as_py(), np.int64).reshape(-1, len(k)) for x, k in zip(t["counts"], keys, strict=True)], 1)
-    sums = np.stack([np.bincount(at, x, len(every)) for x in counts]).astype(np.int64)
-    return every, sums, np.split(at, np.cumsum([len(k) for k in keys])[:-1])
+    sizes = [len(k) for k in keys]
+    flat = np.concatenate(keys)
+    del keys
+    every, at = np.unique(flat, return_inverse=True)
+    del flat
+    counts = [_unplanes(x.as_py(), np.int64).reshape(-1, n) for x, n in zip(t["counts"], sizes, strict=True)]
+    sums = np.stack([np.bincount(at, np.concatenate([c[j] for c in counts]), len(every)).astype(np.int64) for j in range(len(counts[0]))])
+    return every, sums, np.split(at, np.cumsum(sizes)[:-1])
 
 
 def _asked(chunks_: DataFrame, what: str, ranges: int) -> DataFrame:
