@@ -196,10 +196,17 @@ def trueskill_rosters(spark, sf):
     return R.fold(g, ["universe"], ORDER, ["a", "b", "players_a", "players_b", "y"], R.roster_trueskill_step(), R.ROSTER_SKILL, keep=KEEP)
 
 
-@query("history_state")
+@query(
+    "history_state",
+    f"""WITH o AS ({elo_sql("32 * (y - e)", digits=15)}), {GAMES_SQL},
+x AS (SELECT g.universe, g.day, g.game, g.b AS opp, surface AS event, unnest([{{'team': g.a, 'won': y, 'diff': margin, 'rival': rating_b, 'after': rating_a + 32 * (y - expected)}}, {{'team': g.b, 'won': 1 - y, 'diff': -margin, 'rival': rating_a, 'after': rating_b + 32 * (1 - y - (1 - expected))}}]) AS s
+FROM g JOIN o ON o.universe = g.universe AND o.game = g.game AND o.b = g.b)
+SELECT universe, s.team AS team, event, CAST(grouping(event) AS INT) AS whole, count(*) AS games, sum(s.won)::BIGINT AS wins, round(avg(s.diff), 6) AS mean_margin, round(avg(s.rival), 6) AS opponents, max(day) AS last_day, round(arg_max(s.after, {{'d': day, 'g': game, 'b': opp}}), 6) AS rating
+FROM x GROUP BY GROUPING SETS ((universe, s.team), (universe, s.team, event))""",
+)
 def history_state_query(spark, sf):
     g = R.fold(games(spark, sf), ["universe"], ORDER, ["a", "b", "y"], R.elo_step(), PAIR, keep=[*ORDER, "a", "y", "margin", "surface"])
-    return history_state(g, ["universe"], ORDER, "surface")
+    return _rounded(history_state(g, ["universe"], ORDER, "surface"))
 
 
 @query("opportunity_bank", fold_sql(BANK, BANK_STEP, BANK_SHOWN, PICKS))
