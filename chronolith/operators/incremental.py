@@ -6,7 +6,7 @@ history, so a day costs its own games.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .folds import _p, fold
 
@@ -72,3 +72,20 @@ def roster_adjusted(df: DataFrame, current: str, previous: str, days: str, ratin
     out = df.withColumn("retained", F.when(comparable, kept)).withColumn("credit", f)
     wide = F.sqrt(F.col("credit") * F.col(rd) * F.col(rd) + (1 - F.col("credit")) * max_rd * max_rd)
     return out.withColumns({"rating_adjusted": neutral + F.col("credit") * (F.col(rating) - neutral), "rd_adjusted": F.when(F.col("credit") < 1, F.least(F.lit(max_rd), wide)).otherwise(F.col(rd))})
+
+
+def roster_ratings(rated: DataFrame, universe: str, order: list[str], size: int = 5, neutral: float = 1500.0, **credit) -> DataFrame:
+    """Games of an Elo run (universe, order, day, a, b, players_a, players_b, rating_a, rating_b) with both sides' players kept,
+    adjusted ratings and the expectation from them. A side's announced players are compared with the last complete line-up that it
+    was seen with, in an earlier game of the order and on an earlier day; the run's own ratings stay as they are."""
+    side = lambda s: F.struct(F.lit(s).alias("side"), F.col(s).alias("team"), F.col(f"players_{s}").alias("now"), F.col(f"rating_{s}").alias("rating"))
+    keys = list(dict.fromkeys([universe, *order, "day"]))
+    each = rated.select(*keys, F.explode(F.array(side("a"), side("b"))).alias("s")).select(*keys, "s.*")
+    five = F.array_distinct(F.filter("now", lambda x: x.isNotNull()))
+    before = Window.partitionBy(universe, "team").orderBy(*order, "side").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.size(five) == size, F.struct(five.alias("five"), F.col("day").alias("day"))), ignorenulls=True).over(before)
+    seen = each.withColumn("last", last).withColumns({"old": F.col("last.five"), "age": F.col("day") - F.col("last.day"), "rd": F.lit(0.0)})
+    adjusted = roster_adjusted(seen, "now", "old", "age", "rating", "rd", size=size, neutral=neutral, **credit)
+    of = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
+    out = adjusted.groupBy(*keys).agg(*[of(s, c).alias(f"{name}_{s}") for s in ("a", "b") for c, name in (("retained", "kept"), ("rating_adjusted", "adjusted"))])
+    return out.withColumn("expected", 1 / (1 + F.pow(F.lit(10.0), (F.col("adjusted_b") - F.col("adjusted_a")) / 400)))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import blocks as K, folds as R, late_results as L
+from ..operators import blocks as K, folds as R, incremental as I, late_results as L
 from ..sources.io import table
 from ..sources.staging import new_path
 from ..streaming import ingest, pipelines as P
-from .folds import BLOCK_SQL, GAMES_SQL, emitted, games
+from .folds import BLOCK_SQL, GAMES_SQL, ORDER, elo_sql, emitted, games
 from .registry import query
 
 SPAN = 1300
@@ -83,3 +83,22 @@ def elo_frozen_share(spark, sf):
     g = K.frozen_days(games(spark, sf), "universe", "day", F.col("surface").isNull())
     return g.groupBy("universe").agg(F.count(F.lit(1)).alias("games"), F.count_if("frozen").alias("frozen_games"), F.count_distinct(F.when(F.col("frozen"), F.col("day"))).alias("frozen_days"))
 
+
+@query(
+    "roster_ratings",
+    f"""WITH o AS ({elo_sql("32 * (y - e)", digits=15)}), {GAMES_SQL},
+e AS (SELECT g.universe, g.game, g.b, day, unnest([{{'side': 'a', 'team': g.a, 'r': rating_a}}, {{'side': 'b', 'team': g.b, 'r': rating_b}}]) AS s FROM g JOIN o ON o.universe = g.universe AND o.game = g.game AND o.b = g.b),
+p AS (SELECT universe, game, b, day, s.side AS side, s.team AS team, s.r AS r, list_sort(list_distinct([s.team * 10, s.team * 10 + game % 7, s.team * 10 + 2 * game % 7, s.team * 10 + 3 * game % 7, s.team * 10 + 4 * game % 7])) AS five FROM e),
+l AS (SELECT *, last_value(CASE WHEN len(five) = 5 THEN {{'f': five, 'd': day}} END IGNORE NULLS) OVER (PARTITION BY universe, team ORDER BY day, game, b, side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM p),
+k AS (SELECT *, CASE WHEN len(five) = 5 AND day > last.d AND day - last.d <= 90 THEN len(list_intersect(five, last.f)) END AS kept FROM l),
+x AS (SELECT *, 1500 + CASE WHEN 5 - kept >= 2 THEN 0.2::DOUBLE + 0.8::DOUBLE * kept / 5 ELSE 1 END * (r - 1500) AS adj FROM k)
+SELECT a.universe, a.game, a.b, CAST(a.kept AS INT) AS kept_a, CAST(b.kept AS INT) AS kept_b, round(a.adj, 6) AS adjusted_a, round(b.adj, 6) AS adjusted_b, round(1 / (1 + power(10, (b.adj - a.adj) / 400)), 6) AS expected
+FROM x a JOIN x b ON a.universe = b.universe AND a.game = b.game AND a.b = b.b AND a.side = 'a' AND b.side = 'b'""",
+)
+def roster_ratings(spark, sf):
+    """Ratings with credit for changed rosters; every seventh game has incomplete line-ups."""
+    five = lambda side: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.col(side) * 10 + F.pmod(i * F.col("game"), F.lit(7)))
+    g = games(spark, sf)
+    rated = R.fold(g, ["universe"], ORDER, ["a", "b", "y"], R.elo_step(), "rating_a double, rating_b double, expected double", keep=[*ORDER, "a"])
+    out = I.roster_ratings(rated.withColumns({"players_a": five("a"), "players_b": five("b")}), "universe", ORDER)
+    return out.select("universe", "game", "b", "kept_a", "kept_b", *[F.round(c, 6).alias(c) for c in ("adjusted_a", "adjusted_b", "expected")])
