@@ -58,7 +58,7 @@ HELD = 1_500_000
 FILTER_BITS = 1 << 28
 #: Bits that a task sets before it gives them out.
 FILTER_HELD = 1 << 20
-_CHUNK = 1 << 20
+_CHUNK = (1 << 20) - 1
 #: Marks the place of an entry in a pair bucket.
 _PAIR = 1 << 31
 _M48, _M42 = np.uint64((1 << 48) - 1), np.uint64((1 << 42) - 1)

@@ -17,14 +17,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+#: One less than a power of two, as tables by byte have an entry more.
+CHUNK_BYTES = (2 << 20) - 1
+_LIBC = ctypes.CDLL(None)
 
 
 def _return_freed_memory() -> None:
     """Workers are reused, and what an allocator keeps counts against the executor: let arrays of a
     megabyte or more come from the system and go back to it as soon as they are freed."""
     pa.set_memory_pool(pa.system_memory_pool())
-    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    mallopt = getattr(_LIBC, "mallopt", None)
     if mallopt:
         mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
         mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
@@ -32,6 +34,14 @@ def _return_freed_memory() -> None:
 
 _return_freed_memory()
 
+
+def trim() -> None:
+    """Give what is free back to the system: a worker that waits for its next task counts against its executor, too."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 WS = np.zeros(256, bool)
 WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -110,6 +120,7 @@ def chunks(col: pa.Array, chunk_bytes: int = CHUNK_BYTES, max_docs: int = 1 << 2
         hi = min(max(hi, lo + 1), lo + max_docs, len(col))
         yield Chunk(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], lo)
         lo = hi
+    trim()
 
 
 def words(c: Chunk, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -42,7 +42,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from . import storage
-from .textops import Chunk, chunks, positions, span_hash
+from .textops import Chunk, chunks, positions, span_hash, trim
 
 SEQ = 2048
 BATCH = 256
@@ -54,7 +54,7 @@ RANGE_BYTES, LEAST_RANGE = 1 << 30, 16 << 20
 #: Pieces of text that a worker remembers with their ids; beyond, it forgets those that it has met once.
 REMEMBERED = 400_000
 #: Bytes of text that are encoded at a time; pieces take some 60 times their text's space.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = (1 << 20) - 1
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -118,6 +118,8 @@ class Encoder:
         usual = how.get("type") == "ByteLevel" and how.get("use_regex", True) and not how.get("add_prefix_space")
         self.cuts = usual and not told.get("normalizer") and not told.get("truncation") and not told.get("post_processor")
         self.added = [t["content"].encode() for t in told.get("added_tokens") or []]
+        del told
+        trim()
         self.clear()
 
     def pieces(self, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
