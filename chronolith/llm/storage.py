@@ -34,13 +34,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Rows in a row group of staged tables whose rows have large values. A reader holds a batch of 4,096 rows of a row group, and a
+#: writer the whole group; so both hold some tens of MB.
+ROWS = {"coded": 2, "asked": 64, "word-counts": 64}
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the frame that reads it."""
     spark = df.sparkSession
     path = new_path(spark, name)
     p, fs = _hadoop(spark, path)
     fs.deleteOnExit(p)
-    df.write.parquet(path)
+    w = df.write
+    if name in ROWS:
+        w = w.option("parquet.block.row.count.limit", ROWS[name])
+    w.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out

@@ -137,3 +137,23 @@ def test_rows_grow_as_the_text_does(spark, monkeypatch):
     for level in made:
         for x in level:
             assert x.groupBy("node").count().agg({"count": "max"}).first()[0] <= L.FAN**2
+
+
+def test_staged_rows_with_large_values_lie_in_small_row_groups(spark, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    made = []
+    seen = storage.new_path
+    monkeypatch.setattr(storage, "new_path", lambda s, name: made.append((name, seen(s, name))) or made[-1][1])
+    monkeypatch.setattr(L, "CHUNK", 40)
+    monkeypatch.setattr(L, "RANGE", 40)
+    monkeypatch.setattr(L, "FAN", 16)
+    docs = spark.createDataFrame([(i, f"a{i % 9} b{i % 5} c{i}", None, None) for i in range(200)], DOCS).coalesce(1)
+    out = L.cross_entropy_difference(docs, docs.where("doc_id < 50").select("doc_id"))
+    assert out.count() == 200
+    for name, most in (("coded", 2), ("asked", 64), ("word-counts", 64)):
+        paths = [p for n, p in made if n == name]
+        groups = [f.row_group(i).num_rows for p in paths for x in glob.glob(p.removeprefix("file://") + "/*.parquet") for f in [pq.ParquetFile(x).metadata] for i in range(f.num_row_groups)]
+        assert groups and max(groups) <= most and sum(groups) > most, name
