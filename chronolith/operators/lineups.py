@@ -10,26 +10,57 @@ def players_set(x: str) -> Column:
     return F.array_sort(F.array_distinct(F.filter(x, lambda p: p.isNotNull())))
 
 
+def _recent(per_day: DataFrame, team: str, days: int) -> DataFrame:
+    """Of line-ups by day (team, five, d, n, g) the rows (team, five, day, n, last) of each day that has the line-up in the ``days``
+    before it: its games of that time, and day and game of the last one."""
+    w = Window.partitionBy(team, "five").orderBy("d")
+    until = F.least(F.col("d") + days, F.coalesce(F.lead("d").over(w), F.col("d") + days))
+    days_on = per_day.withColumn("until", until).withColumn("day", F.explode(F.sequence(F.col("d") + 1, "until")))
+    both = days_on.select(team, "five", "day", F.lit(0).cast("long").alias("n"), F.struct("d", "g").alias("last"))
+    both = both.unionByName(per_day.select(team, "five", F.col("d").alias("day"), "n"), allowMissingColumns=True)
+    cells = both.groupBy(team, "five", "day").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    before = Window.partitionBy(team, "five").orderBy("day").rangeBetween(-days, -1)
+    return cells.withColumn("n", F.sum("n").over(before)).where(F.col("last").isNotNull())
+
+
+def _without_own(near: DataFrame, known: DataFrame, own: DataFrame, team: str, days: int) -> DataFrame:
+    """``near`` for each game of ``own`` (game, team, day, five, own), less the game's ``own`` rows."""
+    games = own.select("game", team, "day").distinct()
+    latest = Window.partitionBy(team, "five", "d").orderBy(F.desc("g"))  # of a day's games two at most are asked for
+    two = known.select(team, "five", "d", "g").distinct().withColumn("at", F.row_number().over(latest)).where("at <= 2")
+    again = own.join(two, [team, "five"]).where((F.col("d") < F.col("day")) & (F.col("d") >= F.col("day") - days) & (F.col("g") != F.col("game")))
+    last = again.groupBy("game", team, "day", "five").agg(F.max(F.struct("d", "g")).alias("other"))
+    mine = own.join(last, ["game", team, "day", "five"], "left").withColumn("is_own", F.lit(True))
+    out = games.join(near, [team, "day"]).join(mine, ["game", team, "day", "five"], "left").withColumn("n", F.col("n") - F.coalesce("own", F.lit(0)))
+    return out.where("n > 0").select("game", team, "day", "five", "n", F.when(F.col("is_own"), F.col("other")).otherwise(F.col("last")).alias("last"))
+
+
 def roster_change(announced: DataFrame, played: DataFrame, team: str, size: int = 5, days: int = 90) -> DataFrame:
     """``announced`` (game, team, day, players) with what changed against the team's line-ups of ``played`` (game, team, day,
     players) of the last ``days`` before it: status, games compared, distinct line-ups, games of the most frequent one (ties: that of
     the latest), changed from the latest and from it, players in and out since the latest, and players that none of them had.
 
-    Only complete line-ups of ``size`` count. The join is on the team and time buckets of ``days``, so a game meets line-ups of two
-    buckets; what one game meets is at most a team's games of that time."""
+    Only complete line-ups of ``size`` count. Games aren't compared by pairs: a team's line-ups are counted by day, each line-up
+    stands for the days on which it is a recent one, and a window adds up its games of the last ``days``. So rows grow with a
+    team's days and line-ups of that time, however many games it has. Games that ``played`` has on an earlier day too (they
+    were put off) leave themselves out."""
     now = announced.select("game", team, "day", players_set("players").alias("now"))
     known = played.select(F.col("game").alias("g"), team, F.col("day").alias("d"), players_set("players").alias("five")).where(F.size("five") == size)
-    bucket = lambda c: F.floor(F.col(c) / days)
-    left = now.where(F.size("now") == size).withColumn("b", F.explode(F.array(bucket("day"), bucket("day") - 1)))
-    near = left.join(known.withColumn("b", bucket("d")), [team, "b"]).where((F.col("d") < F.col("day")) & (F.col("d") >= F.col("day") - days) & (F.col("g") != F.col("game")))
-    per = near.groupBy("game", team, "five").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("d", "g")).alias("last"))
-    w = Window.partitionBy("game", team)
-    top = per.withColumn("most", F.max("n").over(w))
-    out = top.groupBy("game", team).agg(
-        F.sum("n").alias("compared"), F.count(F.lit(1)).alias("distinct"), F.first("most").alias("modal_games"),
-        F.max_by("five", "last").alias("latest"), F.max_by("five", F.when(F.col("n") == F.col("most"), F.col("last"))).alias("modal"), F.array_distinct(F.flatten(F.collect_list("five"))).alias("seen"),
-    )
-    j = now.join(out, ["game", team], "left")
+    own = now.where(F.size("now") == size).join(known.withColumnRenamed("g", "game"), ["game", team]).where((F.col("d") < F.col("day")) & (F.col("d") >= F.col("day") - days))
+    per_day = known.groupBy(team, "five", "d").agg(F.count(F.lit(1)).alias("n"), F.max("g").alias("g"))
+    near = _recent(per_day, team, days)
+    facts = [
+        F.sum("n").alias("compared"), F.count(F.lit(1)).alias("distinct"), F.max("n").alias("modal_games"),
+        F.max_by("five", "last").alias("latest"), F.max_by("five", F.struct("n", "last")).alias("modal"), F.array_distinct(F.flatten(F.collect_list("five"))).alias("seen"),
+    ]
+    out = near.groupBy(team, "day").agg(*facts)
+    put_off = own.groupBy("game", team, "day", "five").agg(F.count(F.lit(1)).alias("own"))
+    theirs = _without_own(near, known, put_off, team, days).groupBy("game", team, "day").agg(*facts)
+    names = ["compared", "distinct", "modal_games", "latest", "modal", "seen"]
+    without = theirs.select("game", team, "day", F.struct(*names).alias("b"))
+    marked = put_off.select("game", team, "day").distinct().withColumn("off", F.lit(True))
+    j = now.join(out.select(team, "day", F.struct(*names).alias("a")), [team, "day"], "left").join(marked, ["game", team, "day"], "left").join(without, ["game", team, "day"], "left")
+    j = j.withColumn("s", F.when(F.size("now") == size, F.when(F.col("off"), F.col("b")).otherwise(F.col("a")))).select("game", team, "day", "now", "s.*")
     status = F.when(F.size("now") == 0, "missing").when(F.size("now") != size, "incomplete").when(F.col("latest").isNull(), "no_recent_history").when(F.col("now") == F.col("latest"), "unchanged").otherwise("changed")
     part = lambda a, b: F.size(F.array_except(a, b))
     some = lambda c: F.when(F.col("latest").isNotNull(), c)
