@@ -53,8 +53,9 @@ def years_between(spark: SparkSession, root: str, first: int, last: int) -> Data
 
 
 def write_parquet(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "errorifexists") -> None:
-    """Parquet sink: zstd, optionally partitioned; rows of a partition are dealt to its own tasks."""
-    w = (df.repartition(*by) if by else df).write.mode(mode).option("compression", "zstd")
+    """Parquet sink: zstd, optionally partitioned; rows of a partition are dealt to its own tasks, of which a large partition
+    has several."""
+    w = (df.hint("rebalance", *by) if by else df).write.mode(mode).option("compression", "zstd")
     (w.partitionBy(*by) if by else w).parquet(path)
 
 
