@@ -57,6 +57,14 @@ def fit_predict(train: DataFrame, test: DataFrame, y: str, numeric: list[str], c
     return out.withColumn("p", vector_to_array("probability")[1]).select(*test.columns, "p")
 
 
+def compare(train: DataFrame, test: DataFrame, y: str, numeric: list[str], categorical: list[str], names: list[str]) -> dict[str, DataFrame]:
+    """For each estimator ``test`` with ``p``, as :func:`fit_predict` gives it; the features are fitted and made once for all."""
+    ready = Pipeline(stages=preprocessor(numeric, categorical)).fit(prepared(train, numeric, categorical))
+    made = [stage(ready.transform(prepared(x, numeric, categorical)).select(*cols, "features"), "features") for x, cols in ((train, [y]), (test, test.columns))]
+    fitted = {name: ZOO[name](y).fit(made[0]) for name in names}
+    return {name: m.transform(made[1]).withColumn("p", vector_to_array("probability")[1]).select(*test.columns, "p") for name, m in fitted.items()}
+
+
 def backtest(df: DataFrame, segment: str, period: str, y: str, key: str, numeric: list[str], categorical: list[str], name: str = "logistic") -> DataFrame:
     """Out-of-fold table (segment, fold, key, y, p, calibrated): for each segment and period with two
     before it, a base fit on periods before the last but one, Platt on the last one. Segments and

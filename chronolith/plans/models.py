@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import log_loss
 from ..operators import calibration as C, estimators as E, folds as R, incremental as I
 from ..sources.io import table
+from ..sources.staging import stage
 from .aggregates import PRED, predictions
 from .folds import GAMES_SQL, ORDER, elo_sql, games
 from .registry import query
@@ -77,10 +78,9 @@ def preprocess_scaled(spark, sf):
 @query("estimator_zoo")
 def estimator_zoo(spark, sf):
     """Held-out metrics of each estimator: fitted before 1996, tested from then on."""
-    d = order_features(spark, sf)
+    d = stage(order_features(spark, sf).select("year", "y", *NUMERIC, *CATEGORICAL), "zoo")
     out = None
-    for name in E.ZOO:
-        p = E.fit_predict(d.where("year < 1996"), d.where("year >= 1996"), "y", NUMERIC, CATEGORICAL, name)
+    for name, p in E.compare(d.where("year < 1996"), d.where("year >= 1996"), "y", NUMERIC, CATEGORICAL, list(E.ZOO)).items():
         m = p.agg(F.count(F.lit(1)).alias("n"), F.avg(log_loss(F.col("y"), F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("p"))))).alias("log_loss"), F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("int")).alias("accuracy"))
         m = m.select(F.lit(name).alias("estimator"), "*")
         out = m if out is None else out.unionByName(m)
@@ -96,8 +96,8 @@ def segment_backtest(spark, sf):
 @query("feature_gate")
 def feature_gate(spark, sf):
     """Families of features, each added only if it lowers the log loss on the inner validation years."""
-    d = order_features(spark, sf)
     families = {"counts": ["lines"], "prices": ["discount", "tax"], "quantity": ["quantity"]}
+    d = stage(order_features(spark, sf).select("year", "y", *[c for cols in families.values() for c in cols]), "gate")  # each fit reads it many times
     train, held = d.where("year < 1997"), d.where("year = 1997")
     loss = lambda cols: E.fit_predict(train, held, "y", cols, []).agg(F.avg(log_loss(F.col("y"), F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("p")))))).first()[0]
     kept, rows, best = [], [], float("inf")
