@@ -111,12 +111,16 @@ def history_state(games: DataFrame, universe: list[str], order: list[str], event
 
     both = F.explode(F.array(side("a", "b", "rating_a", "rating_b", 1), side("b", "a", "rating_b", "rating_a", -1))).alias("s")
     rows = games.select(*universe, *order, F.col(event).alias("event"), both).select("*", "s.*")
+    # sides leave the fold's few tasks before they are added up, and whole states are those of events added up
+    per = rows.repartition(*universe, "team").groupBy(*universe, "team", "event").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("won").alias("won"), F.max("day").alias("day"), F.max(F.struct(*order, "after")).alias("last"),
+        *[f(c).alias(f"{name}_{c}") for c in ("diff", "rival") for name, f in (("sum", F.sum), ("n", F.count))],
+    )
     keys = [F.col(c) for c in [*universe, "team"]]
-    g = rows.groupingSets([keys, [*keys, F.col("event")]], *keys, F.col("event"))
-    last = F.max_by("after", F.struct(*order))
-    return g.agg(
-        F.grouping("event").cast("int").alias("whole"), F.count(F.lit(1)).alias("games"), F.sum("won").alias("wins"), F.avg("diff").alias("mean_margin"),
-        F.avg("rival").alias("opponents"), F.max("day").alias("last_day"), last.alias("rating"),
+    mean = lambda c: F.try_divide(F.sum(f"sum_{c}").cast("double"), F.sum(f"n_{c}"))
+    return per.groupingSets([keys, [*keys, F.col("event")]], *keys, F.col("event")).agg(
+        F.grouping("event").cast("int").alias("whole"), F.sum("n").alias("games"), F.sum("won").alias("wins"), mean("diff").alias("mean_margin"),
+        mean("rival").alias("opponents"), F.max("day").alias("last_day"), F.max("last")["after"].alias("rating"),
     )
 
 

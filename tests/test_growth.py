@@ -6,6 +6,8 @@ import os
 from pyspark.sql import functions as F
 
 from chronolith.operators import estimators as E
+from chronolith.operators.blocks import block_hashes
+from chronolith.operators.composites import history_state
 from chronolith.plans import models as M
 from chronolith.sources import io
 
@@ -39,3 +41,21 @@ def test_fits_read_the_orders_once(spark, monkeypatch):
     if os.path.isdir("/root/testdata/sf0.001"):
         assert M.feature_gate(spark, "/root/testdata/sf0.001").count() == 3
         assert seen == ["gate"]
+
+
+def test_history_state_adds_up_outside_the_folds_tasks(spark):
+    df = spark.createDataFrame([(0, d, d, "a", "b", d % 2, 3, "e", 1500.0, 1500.0, 0.5) for d in range(8)], "u int, day int, game int, a string, b string, y int, margin int, event string, rating_a double, rating_b double, expected double")
+    out = history_state(df, ["u"], ["day", "game"], "event")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Expand") < plan.index("RepartitionByExpression") and plan.count("Aggregate") == 2  # only sums by event are expanded
+    assert sorted((r.team, r.whole, r.games, r.wins) for r in out.collect()) == [("a", 0, 8, 4), ("a", 1, 8, 4), ("b", 0, 8, 4), ("b", 1, 8, 4)]
+
+
+def test_block_hashes_are_exact_sums(spark):
+    rows = [("u", 1, i, i, i + 1, 1, None) for i in range(500)]
+    df = spark.createDataFrame(rows, "u string, day int, game long, a long, b long, y int, surface string")
+    row = F.xxhash64("day", "game", "a", "b", "y", "surface").cast("decimal(38,0)")
+    want = df.agg(F.sum(row).cast("string")).first()[0]
+    got = block_hashes(df, "u", ["game"])
+    assert got.first().input_hash == want
+    assert "decimal(38,0)))" not in got._jdf.queryExecution().optimizedPlan().toString()
