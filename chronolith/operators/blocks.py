@@ -21,8 +21,11 @@ GENERAL = "general"
 
 def block_hashes(games: DataFrame, universe: str, order: list[str]) -> DataFrame:
     """universe, day, games and an order-free hash of all that a block's games say."""
-    row = F.xxhash64("day", *order, "a", "b", "y", "surface").cast("decimal(38,0)")
-    return games.groupBy(universe, "day").agg(F.count(F.lit(1)).alias("games"), F.sum(row).cast("string").alias("input_hash"))
+    row = F.xxhash64("day", *order, "a", "b", "y", "surface")
+    # both halves are added up as longs, which is exact for 2**31 games and much faster than decimals
+    high, low = F.sum(F.shiftright(row, 32)), F.sum(row.bitwiseAND(F.lit(0xFFFFFFFF)))
+    whole = high.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + low.cast("decimal(20,0)")
+    return games.groupBy(universe, "day").agg(F.count(F.lit(1)).alias("games"), whole.cast("string").alias("input_hash"))
 
 
 def changed_states(rated: DataFrame, universe: str) -> DataFrame:
