@@ -59,3 +59,33 @@ def test_pages_in_a_frame(spark):
     assert (out[1].rank, out[1]["name"], out[1].day, out[1].reason, out[1].pos) == (1, "Ann & Co", date(2024, 2, 29), None, 0)
     assert (out[2].reason, out[3].reason, out[2].rank) == ("header_changed", "empty_page", None)
     assert P.typed_table(df.where("false"), "k", "html", "t", COLUMNS).collect() == []
+
+
+def test_a_long_page_is_parsed_in_pieces(monkeypatch):
+    """As from one piece, with the same reasons in the same order; and in a bounded part of what all rows would take."""
+    import tracemalloc
+
+    pair = lambda k: f"<tr id='m{k}'><td><a href='/p/{k}/'>A &amp; {k}</a></td><td>1</td></tr><tr id='m{k}b'><td><a href='/p/x{k}/'>B</a></td><td>2</td></tr>"
+    table = lambda *rows: "<table class='t'><tr class='head'><td>G</td></tr>" + "".join(rows) + "</table>"
+    good, bad = table(*map(pair, range(40))), table(pair(1), "<tr id='q'><td>x</td><td></td></tr>", *map(pair, range(30)))
+    other = "<table class='u'><tr><td>1</td></tr></table>"
+    nested = table(pair(1), "<tr><td><table class='t'></table></td></tr>")
+    pages = [good, bad, other, other + good + other, good + good, bad + good, good + bad, good[:-8], bad[:-8], bad + nested, "<table class='t'></table>" + good, "<table class='t'></table>", "", None, good + "<td>x</td>", "<table class='t'><td>x</td></table>"]
+
+    def read(html):
+        try:
+            return P.paired_rows(html, "t", r"/p/([^/]+)/")
+        except P.Rejected as e:
+            return str(e)
+
+    want = [read(x) for x in pages]
+    assert len(want[0]) == 40 and want[1] == "second_row_missing_after_q" and want[5] == want[6] == "table_doubled" and want[8] == "table_open" and want[9] == "table_in_table"
+    for size in (1, 50, 1000):
+        monkeypatch.setattr(P, "PIECE", size)
+        assert [read(x) for x in pages] == want
+    monkeypatch.setattr(P, "PIECE", 1 << 16)
+    long = table(*map(pair, range(20_000)))
+    tracemalloc.start()
+    assert sum(1 for _ in P._pairs(P.rows_of(long, "t"), r"/p/([^/]+)/")) == 20_000
+    assert tracemalloc.get_traced_memory()[1] < len(long)
+    tracemalloc.stop()
