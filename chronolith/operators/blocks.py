@@ -141,7 +141,9 @@ def preview(states: DataFrame, fixtures: DataFrame, universe: str, base: float =
     for side in ("a", "b"):
         for name, kind in ((f"elo_{side}", F.lit(GENERAL)), (f"surface_{side}", F.col("surface"))):
             keyed = out.withColumns({"entity": F.col(side), "kind": kind})
-            got = asof_join(keyed, states, [universe, "entity", "kind"], "day", "day", ["rating", "games"], "__")
+            # general ratings are asked of general states alone
+            known = states.where(F.col("kind") == GENERAL) if name.startswith("elo") else states
+            got = asof_join(keyed, known, [universe, "entity", "kind"], "day", "day", ["rating", "games"], "__")
             rating = F.coalesce("__rating", F.lit(base))
             if name.startswith("elo"):
                 out = got.withColumns({name: rating, f"games_{side}": F.coalesce("__games", F.lit(0))}).drop("entity", "kind", "__day", "__rating", "__games")

@@ -6,7 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from chronolith.operators import estimators as E
-from chronolith.operators.blocks import block_hashes
+from chronolith.operators.blocks import block_hashes, preview
 from chronolith.operators.composites import history_state
 from chronolith.plans import models as M
 from chronolith.sources import io
@@ -59,3 +59,10 @@ def test_block_hashes_are_exact_sums(spark):
     got = block_hashes(df, "u", ["game"])
     assert got.first().input_hash == want
     assert "decimal(38,0)))" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_previews_ask_general_states_alone(spark):
+    states = spark.createDataFrame([("u", 1, 1, k, r, 1) for k, r in (("general", 1600.0), ("clay", 1700.0))], "u string, day int, entity long, kind string, rating double, games long")
+    out = preview(states, spark.createDataFrame([("u", 2, 5, 1, 2, "clay")], "u string, day int, game long, a long, b long, surface string"), "u")
+    assert (out.first().elo_a, out.first().surface_a, out.first().elo_b) == (1600.0, 1700.0, 1500.0)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("= general)") >= 2
