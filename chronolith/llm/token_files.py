@@ -20,7 +20,8 @@ with an added token, and all texts for other files, are encoded whole.
 
 A task writes to a name of its own attempt and renames it when complete, so a lost executor or a
 second attempt leaves nothing half written in the manifest. Folders hold ranges of documents, so no
-task holds more than one range.
+task holds more than one range. Documents that stand in files in the wanted order already are written as their
+tasks read them, a folder for each piece of a file; they are neither shuffled nor sorted.
 
 Defined results: a null text is empty and gives the end id alone. A null doc_id sorts first. Rows
 with equal ids stand in order of a hash of their texts. Extra columns are ignored. An empty table gives a
@@ -34,7 +35,7 @@ import os
 import re
 import uuid
 import zlib
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -294,6 +295,56 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, seq: int = S
     return spark.read.schema("part int, folder string, n_docs long, n_ids long").parquet(f"{path}/manifest")
 
 
+def write_placed(placed: DataFrame, path: str, tokenizer: str | None = None, seq: int = SEQ, batch: int = BATCH, end_id: int = END_ID) -> DataFrame | None:
+    """As :func:`write`, in order of ``part``, ``file`` and ``row``, for rows (``doc_id``, ``text``, these and ``block``) that
+    are read from files: a task reads pieces of files, each from one ``block`` on and in order of its rows, and each
+    becomes a folder as it is read. None, with what was written removed, if they come otherwise (dealt out anew, say)."""
+    spark = placed.sparkSession
+    narrow = placed.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "part", "file", "block", "row")
+    fields = {"part": pa.int64(), "file": pa.string(), "block": pa.int64(), "folder": pa.string(), "n_docs": pa.int64(), "n_ids": pa.int64()}
+    schema = pa.schema(list(fields.items()))
+
+    def run(batches):
+        enc = encoder(tokenizer or default_tokenizer())
+        piece, last, met, w, ordered = None, -1, set(), None, True
+
+        def line(*made):
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((*piece, *made), schema, strict=True)], schema=schema)
+
+        for b in batches:
+            names = b.column("file").dictionary_encode()
+            file, block, row = (np.asarray(x) for x in (names.indices, b.column("block"), b.column("row")))
+            new = np.flatnonzero((np.diff(file) != 0) | (np.diff(block) != 0) | (np.diff(row) <= 0)) + 1
+            for lo, hi in pairwise([0, *new.tolist(), b.num_rows] if b.num_rows and ordered else []):
+                own = (b.column("part")[lo].as_py(), names[lo].as_py(), int(block[lo]))
+                if own != piece or row[lo] <= last:
+                    if w:
+                        yield line(*w.close())
+                    piece, w, ordered = own, None, own not in met
+                    if not ordered:
+                        yield line(None, None, None)
+                        break
+                    met.add(own)
+                last = row[hi - 1]
+                for c in chunks(b.column("text").slice(lo, hi - lo), CHUNK_BYTES):
+                    ids, n = enc.encode(c)
+                    w = w or _Writer(path, seq, batch, max(enc.tok.get_vocab_size(), end_id + 1))
+                    w.add(b.column("doc_id").slice(lo + c.first, c.n), n + 1, np.insert(ids, np.cumsum(n), end_id))
+        if w:
+            yield line(*w.close())
+
+    made = storage.stage(narrow.mapInArrow(run, "part long, file string, block long, folder string, n_docs long, n_ids long"), "token-folders")
+    rows, folders, held = made.agg(F.count(F.lit(1)), F.count("folder"), F.count_distinct("file", "block")).first()
+    if not rows == folders == held:
+        storage.drop(made)
+        storage.remove(spark, path)
+        return None
+    place = F.row_number().over(Window.orderBy("part", "file", "block")) - 1  # one row for each folder
+    made.select(place.alias("part"), "folder", "n_docs", "n_ids").write.mode("overwrite").parquet(f"{path}/manifest")
+    storage.drop(made)
+    return spark.read.schema("part int, folder string, n_docs long, n_ids long").parquet(f"{path}/manifest")
+
+
 def open_folder(root: str, folder: str):
     """The documents table and an iterator over real ids, batch by batch. A local file is mapped."""
     fs, base = storage.local_or_remote(root)
@@ -374,10 +425,17 @@ def op10_token_files(spark, sf_dir: str) -> DataFrame:
 def token_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: files of all its documents, and a row for each document read back. Documents stand as
     the stage before has written them (by number of its part files and row in them), so that the mix's
-    order becomes the files'; where ``docs`` isn't read from files, by doc_id."""
+    order becomes the files'; where ``docs`` isn't read from files, by doc_id. Rows that were dealt out anew since they
+    were read are put back in order first."""
     part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")
     try:
-        placed = docs.select("doc_id", "text", part.alias("part"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+        placed = docs.select("doc_id", "text", part.alias("part"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.row_index").alias("row"))
     except AnalysisException:
         return token_files(spark, docs)
-    return token_files(spark, placed, order=("part", "file", "row"))
+    path = storage.new_path(spark, "token-files")
+    manifest = write_placed(placed, path)
+    if manifest is None:
+        return token_files(spark, placed, path=path, order=("part", "file", "row"))
+    out = read_back(spark, path, manifest)
+    out.files_path = path
+    return out

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from chronolith.llm import storage, token_files as T
@@ -96,6 +97,40 @@ def test_stage_keeps_the_order_of_its_files(spark, tmp_path):
     assert got.files_path and [r.doc_id for r in T.token_stage(spark, spark.createDataFrame(rows, SCHEMA), "").orderBy("start").collect()] == sorted(r[0] for r in rows)
 
 
+def placed_rows(spark, path, n=60):
+    """Three files of ``n`` rows in all, whose ids don't ascend; rows in the order of the files."""
+    texts = spark.range(n).selectExpr("id * 7 % 61 AS doc_id", "repeat(concat('text number ', id, ' '), int(id % 9)) AS text")
+    texts.repartitionByRange(3, F.desc("doc_id")).sortWithinPartitions(F.xxhash64("doc_id")).write.option("parquet.block.row.count.limit", 5).parquet(path)
+    back = spark.read.parquet(path)
+    return [r.doc_id for r in back.select("doc_id", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()]
+
+
+def test_stage_writes_files_as_they_are_read(spark, tmp_path, monkeypatch):
+    ids = placed_rows(spark, path := str(tmp_path / "docs"))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(path).collect()}
+    monkeypatch.setattr(T, "write", lambda *_, **__: pytest.fail("texts are shuffled"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (old, "500"):  # whole files, then pieces of them
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            for rows in (spark.read.parquet(path), spark.read.parquet(path).where("doc_id % 3 = 1")):
+                got = T.token_stage(spark, rows, "").orderBy("start").collect()
+                left = [i for i in ids if rows.count() == len(ids) or i % 3 == 1]
+                assert [tuple(r)[::3] for r in got] == [(i, crc) for i, _, _, crc in (want([(i, texts[i])])[0] for i in left)]
+                n = [r.n_tokens for r in got]
+                assert [r.start for r in got] == np.append(0, np.cumsum(n))[:-1].tolist()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_stage_puts_rows_that_were_dealt_out_back_in_order(spark, tmp_path):
+    ids = placed_rows(spark, path := str(tmp_path / "docs"))
+    for rows in (spark.read.parquet(path).repartition(4), spark.read.parquet(path).repartition(1), spark.read.parquet(path).orderBy("doc_id")):
+        assert [r.doc_id for r in T.token_stage(spark, rows, "").orderBy("start").collect()] == ids
+    empty = T.token_stage(spark, spark.read.parquet(path).where("doc_id < 0"), "")
+    assert empty.collect() == [] and empty.files_path
+
+
 @given(st.lists(st.text(alphabet=" \n\t.,'!ab1é日\u00a0\u2003\x1c\x85\r_sSt<|", max_size=25), min_size=1, max_size=8))
 @settings(max_examples=400, deadline=None)
 def test_same_ids_as_the_library(texts):
