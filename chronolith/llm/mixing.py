@@ -52,8 +52,10 @@ GROUP_SHARDS = 1024
 #: Sources up to this many (some 100 bytes each) are sent to all executors and summed in one window; more
 #: are joined by shuffle and summed by ranges of this many.
 SMALL_SOURCES = 100_000
-#: Words of the mix in a partition that ``mixed_documents`` writes.
-PART_WORDS = 16 << 20
+#: Bytes of text in a partition that ``mixed_documents`` writes, on average; ``MAX_EPOCHS`` times as many where the mix
+#: prefers sources of long words, and more where a shard alone has more. Its sorter and its writer hold a partition, and readers
+#: hold a column of a row group, on the heap and once more in buffers outside it.
+PART_BYTES = 16 << 20
 
 
 def n_words(text: Column) -> Column:
@@ -269,7 +271,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     if "n_chars" in cols:
         j = j.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     shards = -(-plan.slots // SHARD)
-    parts = max(1, min(shards, max(docs.sparkSession.sparkContext.defaultParallelism, plan.slots * plan.block // PART_WORDS)))
+    held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # the mix has about as many words
+    parts = max(1, min(shards, max(docs.sparkSession.sparkContext.defaultParallelism, held // PART_BYTES)))
     j = j.repartitionById(parts, F.floor(F.col("__t.shard") * parts / max(1, shards)).cast("int"))
     return j.sortWithinPartitions("__t.shard", "__t.slot", F.col("__t.start") + F.col("__t.from"), key[0]).select(*cols)
 

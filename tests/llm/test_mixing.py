@@ -203,6 +203,19 @@ def test_mixed_documents_stand_by_slot(spark, tmp_path):
     assert words == want
 
 
+def test_partitions_follow_bytes_and_leave_the_order(spark, monkeypatch):
+    text = F.expr("repeat(concat(lpad(id, 39, 'x'), ' '), 24)")
+    df = spark.range(0, 11_000, 1, 4).select(F.col("id").alias("doc_id"), text.alias("text"), (F.col("id") % 8).cast("string").alias("source"))
+    as_few = [(r.doc_id, r.text) for r in M.mixed_documents(df).collect()]
+    monkeypatch.setattr(M, "PART_BYTES", 1 << 20, raising=False)
+    out = M.mixed_documents(df).withColumn("part", F.spark_partition_id()).collect()
+    held = Counter()
+    for r in out:
+        held[r.part] += len(r.text)
+    assert max(held.values()) <= 1.5 * (1 << 20)
+    assert [(r.doc_id, r.text) for r in out] == as_few
+
+
 def test_no_rows_and_no_words(spark):
     assert M.mix(spark.createDataFrame([], SCHEMA)).collect() == []
     assert M.mixed_documents(spark.createDataFrame([], SCHEMA)).collect() == []
