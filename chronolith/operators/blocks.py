@@ -9,12 +9,16 @@ stood before it, and writes its blocks in spans of days: each span is a generati
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.scalars import dynamic_k, expected_score
 from ..sources.staging import file_system, stage
-from .asof import asof_join
-from .folds import elo_block_seeded
+from .folds import Slots, elo_block_seeded
 
 GENERAL = "general"
 
@@ -104,11 +108,12 @@ class BlockStore:
         early = states.join(days.select(u, F.col(day).alias("__day")), u).where(F.col("day") < F.col("__day"))
         return early.groupBy(u, "entity", "kind").agg(F.max_by(F.struct("rating", "games"), "day").alias("s")).select(u, "entity", "kind", "s.*")
 
-    def run(self, games: DataFrame, span: int = 365, stop_after: int | None = None) -> int:
+    def run(self, games: DataFrame, span: int = 365, stop_after: int | None = None, staged: bool = False) -> int:
         """Bring the store to ``games`` (universe, day, order, a, b, y, surface), ``span`` days at a time; the number of
-        generations written. ``stop_after`` ends after so many."""
+        generations written. ``stop_after`` ends after so many. Games are staged first, unless they are ``staged`` already."""
         u, cols = self.universe, [self.universe, "day", *self.order, "a", "b", "y", "surface"]
-        games = stage(games.select(*dict.fromkeys(cols)), "block-games")
+        games = games.select(*dict.fromkeys(cols))
+        games = games if staged else stage(games, "block-games")
         written = 0
         while stop_after is None or written < stop_after:
             starts = stage(self.restarts(games), "block-starts")
@@ -134,23 +139,77 @@ class BlockStore:
         fs.create(p).close()
 
 
+def _codes(column: pa.Array) -> tuple[np.ndarray, list]:
+    """Codes of a column's values (nulls are alike), and the values they stand for."""
+    coded = column.dictionary_encode(null_encoding="encode")
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+
+
+def _cuts(*codes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows alike in all ``codes``: first row and row after the last."""
+    new = np.any([c[1:] != c[:-1] for c in codes], axis=0)
+    cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(codes[0])] if len(codes[0]) else []
+    yield from zip(cuts, cuts[1:], strict=False)
+
+
+def _looked_up(rows: pa.RecordBatch, slots: Slots, base: float) -> list[np.ndarray]:
+    """Ratings, games and ratings on the surface of either side for rows of one universe in order, where rows of states change
+    what later rows find in ``slots``."""
+    s, kinds = _codes(rows["__kind"])
+    general, on = [], []
+    for side in ("a", "b"):
+        x, names = _codes(rows[side])
+        general.append(slots.of(x, [(None, n) for n in names]))
+        pairs, back = np.unique(s.astype(np.int64) * len(names) + x, return_inverse=True)
+        on.append(slots.of(back, [(kinds[p // len(names)], names[p % len(names)]) for p in pairs.tolist()]))
+    rating, games = slots.columns
+    state, known, played = rows["__state"].to_numpy(), rows["__rating"].fill_null(base).to_numpy(), rows["__games"].fill_null(0).to_numpy()
+    out = [np.zeros(len(s), t) for t in (float, np.int64, float) * 2]
+    for lo, hi in _cuts(state, _codes(rows["day"])[0]):
+        if state[lo]:
+            rating[on[0][lo:hi]], games[on[0][lo:hi]] = known[lo:hi], played[lo:hi]
+            continue
+        for k in (0, 1):
+            g, o = general[k][lo:hi], on[k][lo:hi]
+            for column, values in zip(out[3 * k : 3 * k + 3], (rating[g], games[g], rating[o]), strict=True):
+                column[lo:hi] = values
+    return out
+
+
 def preview(states: DataFrame, fixtures: DataFrame, universe: str, base: float = 1500.0) -> DataFrame:
     """``fixtures`` (universe, day, a, b, surface) with what their day's block would emit before any of its results: both
-    general and surface ratings, games, and the expectation; read from ``states`` of strictly earlier days, which nothing changes."""
-    out = fixtures
-    for side in ("a", "b"):
-        for name, kind in ((f"elo_{side}", F.lit(GENERAL)), (f"surface_{side}", F.col("surface"))):
-            keyed = out.withColumns({"entity": F.col(side), "kind": kind})
-            # general ratings are asked of general states alone
-            known = states.where(F.col("kind") == GENERAL) if name.startswith("elo") else states
-            got = asof_join(keyed, known, [universe, "entity", "kind"], "day", "day", ["rating", "games"], "__")
-            rating = F.coalesce("__rating", F.lit(base))
-            if name.startswith("elo"):
-                out = got.withColumns({name: rating, f"games_{side}": F.coalesce("__games", F.lit(0))}).drop("entity", "kind", "__day", "__rating", "__games")
-            else:
-                out = got.withColumn(name, F.when(F.col("surface").isNull(), F.col(f"elo_{side}")).otherwise(rating)).drop("entity", "kind", "__day", "__rating", "__games")
+    general and surface ratings, games, and the expectation; read from ``states`` of strictly earlier days, which nothing changes.
+
+    States and fixtures of a universe stream through one task in the order of days, as its blocks do: each row is shuffled once,
+    and what is held is a universe's last states."""
+    kind = lambda c: F.when(F.col(c) != GENERAL, F.col(c))  # noqa: E731  # null: the general one, which is also what a game without a surface asks
+    types = {f.name: f.dataType for f in fixtures.schema}
+    asks = fixtures.withColumns({"__kind": kind("surface"), "__rating": F.lit(None).cast("double"), "__games": F.lit(None).cast("long"), "__state": F.lit(0)})
+    own = {universe: F.col(universe), "day": F.col("day"), "a": F.col("entity")}
+    known = states.select(
+        *[own.get(c, F.lit(None)).cast(t).alias(c) for c, t in types.items()],
+        kind("kind").alias("__kind"), F.col("rating").cast("double").alias("__rating"), F.col("games").cast("long").alias("__games"), F.lit(1).alias("__state"),
+    )
+    # a day's fixtures stand before the states after it
+    rows = asks.unionByName(known).repartition(universe).sortWithinPartitions(universe, "day", "__state")
+    names = [f"{c}_{side}" for side in ("a", "b") for c in ("elo", "games", "surface")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, slots = None, None
+        for batch in batches:
+            codes, keys = _codes(batch[universe])
+            for lo, hi in _cuts(codes):
+                if slots is None or keys[codes[lo]] != at:
+                    at, slots = keys[codes[lo]], Slots(base, 0)
+                part = batch.slice(lo, hi - lo)
+                got = _looked_up(part, slots, base)
+                ask = part["__state"].to_numpy() == 0
+                kept = part.select(list(types)).filter(pa.array(ask))
+                yield pa.RecordBatch.from_arrays([*kept.columns, *[pa.array(c[ask]) for c in got]], [*types, *names])
+
+    schema = StructType([*fixtures.schema, *[StructField(n, LongType() if n.startswith("games") else DoubleType()) for n in names]])
     mean = lambda s: (F.col(f"elo_{s}") + F.col(f"surface_{s}")) / 2
-    return out.withColumn("expected", expected_score(mean("a"), mean("b")))
+    return rows.mapInArrow(run, schema).withColumn("expected", expected_score(mean("a"), mean("b")))
 
 
 def frozen_days(games: DataFrame, universe: str, day: str, dated_only: Column, freeze: bool = False) -> DataFrame:

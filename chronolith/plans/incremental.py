@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import blocks as K, folds as R, incremental as I, late_results as L
 from ..sources.io import table
-from ..sources.staging import new_path
+from ..sources.staging import new_path, stage
 from ..streaming import ingest, pipelines as P
 from .folds import BLOCK_SQL, GAMES_SQL, ORDER, elo_sql, emitted, games
 from .registry import query
@@ -14,24 +14,25 @@ from .registry import query
 SPAN = 1300
 
 
-def _resumed(spark, sf) -> K.BlockStore:
-    """A store whose first run ends after one span; the second one takes it up."""
+def _resumed(spark, sf) -> tuple[K.BlockStore, DataFrame]:
+    """A store whose first run ends after one span; the second one takes it up. And its games, staged once for all that reads them."""
     store = K.BlockStore(spark, new_path(spark, "blocks"), "universe", ["game", "b"])
-    g = games(spark, sf)
-    store.run(g, SPAN, stop_after=1)
-    store.run(g, SPAN)
-    return store
+    g = stage(games(spark, sf).select("universe", "day", "game", "a", "b", "y", "surface"), "block-games")
+    store.run(g, SPAN, stop_after=1, staged=True)
+    store.run(g, SPAN, staged=True)
+    return store, g
 
 
 @query("elo_resumed", BLOCK_SQL)
 def elo_resumed(spark, sf):
-    return emitted(_resumed(spark, sf).read("rated"))
+    return emitted(_resumed(spark, sf)[0].read("rated"))
 
 
 @query("elo_preview", BLOCK_SQL)
 def elo_preview(spark, sf):
     """All games as fixtures, from the states of earlier days."""
-    return emitted(K.preview(_resumed(spark, sf).read("states"), games(spark, sf).select("universe", "day", "game", "a", "b", "surface"), "universe"))
+    store, g = _resumed(spark, sf)
+    return emitted(K.preview(store.read("states"), g.drop("y"), "universe"))
 
 
 @query("elo_frozen_days")

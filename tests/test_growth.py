@@ -2,13 +2,14 @@
 
 import glob
 import os
+import random
 
 from pyspark.sql import functions as F
 
 from chronolith.operators import estimators as E
 from chronolith.operators.blocks import block_hashes, preview
 from chronolith.operators.composites import history_state
-from chronolith.plans import models as M
+from chronolith.plans import incremental as I, models as M
 from chronolith.sources import io
 
 
@@ -66,3 +67,46 @@ def test_previews_ask_general_states_alone(spark):
     out = preview(states, spark.createDataFrame([("u", 2, 5, 1, 2, "clay")], "u string, day int, game long, a long, b long, surface string"), "u")
     assert (out.first().elo_a, out.first().surface_a, out.first().elo_b) == (1600.0, 1700.0, 1500.0)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("= general)") >= 2
+
+
+def test_previews_shuffle_states_and_fixtures_once(spark):
+    states = spark.createDataFrame([("u", 1, 1, "general", 1600.0, 1)], "u string, day int, entity long, kind string, rating double, games long")
+    out = preview(states, spark.createDataFrame([("u", 2, 5, 1, 2, "clay")], "u string, day int, game long, a long, b long, surface string"), "u")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and plan.count("Union") == 1 and "Window" not in plan and "Join" not in plan
+    assert sum(line.count("LogicalRDD") for line in plan.splitlines()) == 2  # each side is read once
+
+
+def test_previews_of_odd_fixtures_over_many_batches(spark):
+    r, kinds = random.Random(5), ("general", "hard", "clay")
+    states = [(u, d, e, k, 1500 + r.random(), r.randrange(9)) for u in ("u", "v", None) for d in range(6) for e in range(5) for k in kinds if r.random() < 0.5]
+    fixtures = [(r.choice(["u", "v", None]), r.choice([None, *range(8)]), r.choice([None, 2**60 + i]), r.choice([None, *range(7)]), r.randrange(7), r.choice([None, "general", "hard", "clay", "grass"]), i) for i in range(150)]
+
+    def state(u, day, e, kind):
+        seen = [s for s in states if s[0] == u and day is not None and s[1] < day and s[2] == e and s[3] == kind]
+        return max(seen, key=lambda s: s[1])[4:] if seen else (1500.0, 0)
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame(fixtures, "u string, day int, game long, a long, b long, surface string, i int")
+        got = preview(spark.createDataFrame(states, "u string, day int, entity long, kind string, rating double, games long"), df, "u").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(got) == len(fixtures)
+    for x in got:
+        u, day, game, a, b, surface, _ = fixtures[x.i]
+        assert tuple(x[:6]) == (u, day, game, a, b, surface)
+        for side, e in (("a", a), ("b", b)):
+            general = state(u, day, e, "general")
+            assert (x[f"elo_{side}"], x[f"games_{side}"]) == general
+            assert x[f"surface_{side}"] == (general if surface is None else state(u, day, e, surface))[0]
+
+
+def test_resumed_games_are_computed_once(spark, monkeypatch):
+    seen, games = [], I.games
+    monkeypatch.setattr(I, "games", lambda *a: seen.append(a) or games(*a))
+    if os.path.isdir("/root/testdata/sf0.001"):
+        sf = "/root/testdata/sf0.001"
+        assert I.elo_preview(spark, sf).count() == games(spark, sf).count()
+        assert len(seen) == 1
