@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.scalars import dynamic_k, expected_score
-from ..sources.staging import file_system, stage
+from ..sources.staging import file_system, shuffles_freed, stage
 from .folds import Slots, elo_block_seeded
 
 GENERAL = "general"
@@ -111,22 +111,23 @@ class BlockStore:
     def run(self, games: DataFrame, span: int = 365, stop_after: int | None = None, staged: bool = False) -> int:
         """Bring the store to ``games`` (universe, day, order, a, b, y, surface), ``span`` days at a time; the number of
         generations written. ``stop_after`` ends after so many. Games are staged first, unless they are ``staged`` already."""
-        u, cols = self.universe, [self.universe, "day", *self.order, "a", "b", "y", "surface"]
-        games = games.select(*dict.fromkeys(cols))
-        games = games if staged else stage(games, "block-games")
-        written = 0
-        while stop_after is None or written < stop_after:
-            starts = stage(self.restarts(games), "block-starts")
-            ends = starts.agg(F.min("from_day"), F.count(F.lit(1))).first()
-            if not ends[1]:
-                break
-            until = ends[0] + span  # universes that begin later wait for their turn
-            starts = starts.where(F.col("from_day") < until)
-            some = games.join(starts, u).where((F.col("day") >= F.col("from_day")) & (F.col("day") < until)).drop("from_day")
-            rated = elo_block_seeded(self.states_before(starts, "from_day"), some, u, self.order)
-            self._write(starts, some, rated)
-            written += 1
-        return written
+        with shuffles_freed(self.spark):
+            u, cols = self.universe, [self.universe, "day", *self.order, "a", "b", "y", "surface"]
+            games = games.select(*dict.fromkeys(cols))
+            games = games if staged else stage(games, "block-games")
+            written = 0
+            while stop_after is None or written < stop_after:
+                starts = stage(self.restarts(games), "block-starts")
+                ends = starts.agg(F.min("from_day"), F.count(F.lit(1))).first()
+                if not ends[1]:
+                    break
+                until = ends[0] + span  # universes that begin later wait for their turn
+                starts = starts.where(F.col("from_day") < until)
+                some = games.join(starts, u).where((F.col("day") >= F.col("from_day")) & (F.col("day") < until)).drop("from_day")
+                rated = elo_block_seeded(self.states_before(starts, "from_day"), some, u, self.order)
+                self._write(starts, some, rated)
+                written += 1
+            return written
 
     def _write(self, starts: DataFrame, games: DataFrame, rated: DataFrame) -> None:
         base = f"{self.path}/gen={self._used() + 1}"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import blocks as K, folds as R, incremental as I, late_results as L
 from ..sources.io import table
-from ..sources.staging import new_path, stage
+from ..sources.staging import new_path, shuffles_freed, stage
 from ..streaming import ingest, pipelines as P
 from .folds import BLOCK_SQL, GAMES_SQL, ORDER, elo_sql, emitted, games
 from .registry import query
@@ -17,7 +17,8 @@ SPAN = 1300
 def _resumed(spark, sf) -> tuple[K.BlockStore, DataFrame]:
     """A store whose first run ends after one span; the second one takes it up. And its games, staged once for all that reads them."""
     store = K.BlockStore(spark, new_path(spark, "blocks"), "universe", ["game", "b"])
-    g = stage(games(spark, sf).select("universe", "day", "game", "a", "b", "y", "surface"), "block-games")
+    with shuffles_freed(spark):
+        g = stage(games(spark, sf).select("universe", "day", "game", "a", "b", "y", "surface"), "block-games")
     store.run(g, SPAN, stop_after=1, staged=True)
     store.run(g, SPAN, staged=True)
     return store, g

@@ -3,11 +3,12 @@
 import glob
 import os
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from chronolith.operators import estimators as E
-from chronolith.operators.blocks import block_hashes, preview
+from chronolith.operators.blocks import BlockStore, block_hashes, preview
 from chronolith.operators.composites import history_state
 from chronolith.plans import incremental as I, models as M
 from chronolith.sources import io
@@ -110,3 +111,17 @@ def test_resumed_games_are_computed_once(spark, monkeypatch):
         sf = "/root/testdata/sf0.001"
         assert I.elo_preview(spark, sf).count() == games(spark, sf).count()
         assert len(seen) == 1
+
+
+def test_a_stores_shuffles_are_freed(spark, tmp_path):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before, gone, key = files(), time.time() + 20, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(key)
+    rows = [("u", i // 5, i, i % 7, 7 + i % 5, i % 2, None) for i in range(60)]
+    store = BlockStore(spark, f"file://{tmp_path}/s", "u", ["game"])
+    assert store.run(spark.createDataFrame(rows, "u string, day int, game long, a long, b long, y int, surface string"), 6) == 2
+    while files() - before and time.time() < gone:  # they go in the background
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get(key) == kept
